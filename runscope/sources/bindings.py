@@ -161,7 +161,8 @@ def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, sql): model SQL files from ``part``; several files can share a model name (stem)."""
     p = read_table(spark, sf_dir, "part")
     name = F.concat(F.lit("t_"), (F.col("p_partkey") % 150).cast("string"))
-    path = F.concat(F.lit("models/"), F.lower(F.regexp_replace("p_brand", "#", "_")), F.lit("/"), name, F.lit(".sql"))
+    path = F.concat(F.lit("models/"), F.lower(F.regexp_replace("p_brand", "#", "_")), F.lit("/p"),
+                    F.col("p_partkey").cast("string"), F.lit("/"), name, F.lit(".sql"))
     sql = F.concat(F.lit("SELECT "), F.col("p_size").cast("string"), F.lit(" AS size, '"), F.col("p_type"),
                    F.lit("' AS kind FROM "), F.col("p_name"))
     return p.select(path.alias("path"), sql.alias("sql"))
