@@ -54,14 +54,31 @@ def run_status(success="success") -> Column:
     return F.when(s.isNull(), F.lit("running")).when(s == F.lit(1), F.lit("success")).otherwise(F.lit("error"))
 
 
+def _price_units(price: str) -> int:
+    """USD per 1M tokens -> integer units of 1e-8 USD per token (exact for prices with 2 decimals)."""
+    from decimal import Decimal
+    return int(Decimal(price) * 100)
+
+
+def cost_units(input_tokens, output_tokens, cache_read, cache_write) -> Column:
+    """Token cost as an exact integer in units of 1e-8 USD."""
+    parts = [(input_tokens, "input"), (output_tokens, "output"), (cache_read, "cache_read"),
+             (cache_write, "cache_write")]
+    total = None
+    for c, kind in parts:
+        term = F.coalesce(col_or(c), F.lit(0)).cast("bigint") * F.lit(_price_units(PRICE_PER_MTOK[kind]))
+        total = term if total is None else total + term
+    return total
+
+
+def micro_usd(units: Column) -> Column:
+    """1e-8 USD units -> whole micro-dollars, rounded half-up (cost rounded to 6 places)."""
+    return F.floor((units + F.lit(50)) / F.lit(100)).cast("bigint")
+
+
 def estimated_cost_usd(input_tokens, output_tokens, cache_read, cache_write) -> Column:
-    """Token cost in USD rounded half-up to 6 places, computed in exact decimal micro-dollars."""
-    dec = "decimal(38,2)"
-    total = (F.coalesce(col_or(input_tokens), F.lit(0)).cast(dec) * F.lit(PRICE_PER_MTOK["input"]).cast(dec)
-             + F.coalesce(col_or(output_tokens), F.lit(0)).cast(dec) * F.lit(PRICE_PER_MTOK["output"]).cast(dec)
-             + F.coalesce(col_or(cache_read), F.lit(0)).cast(dec) * F.lit(PRICE_PER_MTOK["cache_read"]).cast(dec)
-             + F.coalesce(col_or(cache_write), F.lit(0)).cast(dec) * F.lit(PRICE_PER_MTOK["cache_write"]).cast(dec))
-    return F.round(total / F.lit(1_000_000), 6).cast("double")
+    """Token cost in USD rounded half-up to 6 places; integer arithmetic, one final division."""
+    return micro_usd(cost_units(input_tokens, output_tokens, cache_read, cache_write)).cast("double") / F.lit(1e6)
 
 
 def truncate_payload(c, max_len: int = MAX_PAYLOAD) -> Column:
@@ -93,11 +110,6 @@ def estimate_of(size) -> Column:
     return _lookup(size, ESTIMATE)
 
 
-def _alternation(markers: list[str]) -> str:
-    import re
-    return "|".join(re.escape(m) for m in markers)
-
-
 def response_succeeded(text, agent_type: str = "ticket") -> Column:
     """Success iff none of the failure markers of that agent type occurs (case-insensitive)."""
     markers = TICKET_FAILURE_MARKERS if agent_type == "ticket" else CODE_FIX_FAILURE_MARKERS
