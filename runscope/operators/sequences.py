@@ -15,16 +15,27 @@ from pyspark.sql import functions as F
 DAY_MICROS = 86_400_000_000
 
 
-def running_sum(df: DataFrame, keys: list[str], chunk_of: Column, order_cols: list[str], value: Column, out: str,
-                chunk_width: int = DAY_MICROS) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over rows of the same ``keys`` up to and including this row, in
-    ``order_cols`` order. ``chunk_of`` must be non-decreasing in that order (e.g. event-time micros).
-    Use an exact type (integer/decimal) for ``value`` so the two-level sum equals the sequential one."""
-    d = df.withColumn("_v", value).withColumn("_chunk", F.floor(chunk_of / F.lit(chunk_width)))
-    totals = d.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_tot"))
+def running_sums(df: DataFrame, keys: list[str], chunk_of: Column, order_cols: list[str],
+                 values: dict[str, Column], chunk_width: int = DAY_MICROS) -> DataFrame:
+    """Add one column per ``values`` entry: the sum of that value over rows of the same ``keys`` up to and
+    including this row, in ``order_cols`` order. ``chunk_of`` must be non-decreasing in that order (event
+    time micros, a sequence number). Use exact types (integer/decimal) so the two-level sum equals the
+    sequential one."""
+    names = list(values)
+    tmp = {n: f"_v_{i}" for i, n in enumerate(names)}
+    d = df.select("*", *[values[n].alias(tmp[n]) for n in names],
+                  F.floor(chunk_of / F.lit(chunk_width)).alias("_chunk"))
+    totals = d.groupBy(*keys, "_chunk").agg(*[F.sum(tmp[n]).alias(f"_t_{tmp[n]}") for n in names])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
+    offsets = totals.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_t_{tmp[n]}").over(before), F.lit(0))
+                                               .alias(f"_o_{tmp[n]}") for n in names])
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    return (d.join(offsets, keys + ["_chunk"])
-            .withColumn(out, F.col("_off") + F.sum("_v").over(inside))
-            .drop("_v", "_chunk", "_off"))
+    out = d.join(offsets, keys + ["_chunk"])
+    out = out.select("*", *[(F.col(f"_o_{tmp[n]}") + F.sum(tmp[n]).over(inside)).alias(n) for n in names])
+    return out.drop("_chunk", *tmp.values(), *[f"_o_{t}" for t in tmp.values()])
+
+
+def running_sum(df: DataFrame, keys: list[str], chunk_of: Column, order_cols: list[str], value: Column, out: str,
+                chunk_width: int = DAY_MICROS) -> DataFrame:
+    """Single-column form of ``running_sums``."""
+    return running_sums(df, keys, chunk_of, order_cols, {out: value}, chunk_width)

@@ -31,5 +31,6 @@ def register(name: str, oracle: str | None, ids: str):
 
 def load_all() -> dict[str, Query]:
     # Importing the query modules fills the registry.
-    from runscope.plans import queries_quality, queries_runs, queries_triage, queries_warehouse  # noqa: F401
+    from runscope.plans import (queries_quality, queries_runs, queries_trace, queries_triage,  # noqa: F401
+                                queries_warehouse)
     return REGISTRY
