@@ -59,86 +59,94 @@ def _first(d: dict, *keys, default=None):
     return default
 
 
-def replay_run(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Replay one run's events (any order in, sorted by seq here) into span rows."""
-    pdf = pdf.sort_values("seq", kind="stable")
-    nodes: list[dict] = []
-    stack: list[int] = []
-
-    def create(kind, name, seq, ts, data):
+class SpanMachine:
+    """The span stack of one run. ``apply`` takes events in seq order; closed spans are kept (batch replay)
+    or handed out and dropped (live mode, ``keep_closed=False``) so only open spans stay in memory/state."""
+
+    def __init__(self, keep_closed: bool = True, next_id: int = 0, stack: list[dict] | None = None):
+        self.keep_closed = keep_closed
+        self.next_id = next_id
+        self.nodes: dict[int, dict] = {}
+        self.stack: list[int] = []
+        for n in stack or []:
+            self.nodes[n["id"]] = n
+            self.stack.append(n["id"])
+        self.closed: list[dict] = []
+
+    def _create(self, kind, name, seq, ts, data):
         tid = data.get("tool_use_id")
-        parent = stack[-1] if stack and kind != "run" else None
-        node = {"kind": kind, "name": name, "start_seq": seq, "end_seq": None, "start": ts, "end": None,
-                "duration": None, "status": "running", "data": dict(data), "parent": parent,
-                "children": [], "tool_use_id": tid if isinstance(tid, str) else None, "tokens": [],
-                "reasoning": []}
-        nodes.append(node)
-        if parent is not None:
-            nodes[parent]["children"].append(len(nodes) - 1)
-        return len(nodes) - 1
-
-    def pop_type(kind):
-        for i in range(len(stack) - 1, -1, -1):
-            if nodes[stack[i]]["kind"] == kind:
-                return stack.pop(i)
+        parent = self.stack[-1] if self.stack and kind != "run" else None
+        node = {"id": self.next_id, "kind": kind, "name": name, "start_seq": seq, "end_seq": None, "start": ts,
+                "end": None, "duration": None, "status": "running", "data": dict(data), "parent": parent,
+                "depth": 0 if parent is None else self.nodes[parent]["depth"] + 1, "children": [],
+                "tool_use_id": tid if isinstance(tid, str) else None, "tokens": "", "reasoning": ""}
+        self.next_id += 1
+        self.nodes[node["id"]] = node
+        if parent is not None and self.keep_closed:
+            self.nodes[parent]["children"].append(node["id"])
+        return node["id"]
+
+    def _pop_type(self, kind):
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.nodes[self.stack[i]]["kind"] == kind:
+                return self.stack.pop(i)
         return None
 
-    def pop_tool(tool_use_id, kind):
+    def _pop_tool(self, tool_use_id, kind):
         if tool_use_id:
-            for i in range(len(stack) - 1, -1, -1):
-                if nodes[stack[i]]["tool_use_id"] == tool_use_id:
-                    return stack.pop(i)
-        return pop_type(kind)
-
-    def nearest(kind):
-        for i in range(len(stack) - 1, -1, -1):
-            if nodes[stack[i]]["kind"] == kind:
-                return stack[i]
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.nodes[self.stack[i]]["tool_use_id"] == tool_use_id:
+                    return self.stack.pop(i)
+        return self._pop_type(kind)
+
+    def _nearest(self, kind):
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.nodes[self.stack[i]]["kind"] == kind:
+                return self.stack[i]
         return None
 
-    def calc(n):
+    @staticmethod
+    def _calc(n):
         a, b = _ms(n["start"]), _ms(n["end"])
         if a is None or b is None:
             return None
         return max(0.0, (b - a) / 1000)
 
-    for ev in pdf.itertuples(index=False):
+    def apply(self, etype: str, seq: int, ts, agent, raw_data) -> None:
         try:
-            data = json.loads(ev.data) if isinstance(ev.data, str) and ev.data else {}
+            data = json.loads(raw_data) if isinstance(raw_data, str) and raw_data else {}
         except ValueError:
             data = {}
         if not isinstance(data, dict):
             data = {}
-        et, seq, ts, agent = ev.type, int(ev.seq), ev.timestamp, ev.agent
-        if et == "run_start":
-            i = create("run", f"Run: {_first(data, 'agent_type', default=agent if agent is not None else 'agent')}",
-                       seq, ts, data)
-            stack.append(i)
-        elif et == "invocation_start":
-            i = create("invocation",
-                       f"Invocation: {_first(data, 'agent_name', default=agent if agent is not None else 'agent')}",
-                       seq, ts, data)
-            stack.append(i)
-        elif et == "model_call_start":
-            stack.append(create("llm", "LLM Call", seq, ts, data))
-        elif et == "tool_start":
-            stack.append(create("tool", f"Tool: {_first(data, 'tool_name', default='unknown')}", seq, ts, data))
-        elif et == "sub_agent_start":
-            stack.append(create("agent", f"Agent: {_first(data, 'sub_agent_name', default='unknown')}", seq, ts, data))
-        elif et == "metrics":
-            i = create("metrics", "Final Metrics", seq, ts, data)
-            nodes[i]["status"] = None
-        elif et in CLOSE_TYPE:
-            kind = CLOSE_TYPE[et]
-            i = pop_tool(data.get("tool_use_id"), kind) if kind in ("tool", "agent") else pop_type(kind)
+        agent_or = agent if agent is not None else "agent"
+        if etype == "run_start":
+            self.stack.append(self._create("run", f"Run: {_first(data, 'agent_type', default=agent_or)}", seq, ts, data))
+        elif etype == "invocation_start":
+            self.stack.append(self._create("invocation", f"Invocation: {_first(data, 'agent_name', default=agent_or)}",
+                                           seq, ts, data))
+        elif etype == "model_call_start":
+            self.stack.append(self._create("llm", "LLM Call", seq, ts, data))
+        elif etype == "tool_start":
+            self.stack.append(self._create("tool", f"Tool: {_first(data, 'tool_name', default='unknown')}", seq, ts, data))
+        elif etype == "sub_agent_start":
+            self.stack.append(self._create("agent", f"Agent: {_first(data, 'sub_agent_name', default='unknown')}",
+                                           seq, ts, data))
+        elif etype == "metrics":
+            i = self._create("metrics", "Final Metrics", seq, ts, data)
+            self.nodes[i]["status"] = None
+            self._finish(i)
+        elif etype in CLOSE_TYPE:
+            kind = CLOSE_TYPE[etype]
+            i = self._pop_tool(data.get("tool_use_id"), kind) if kind in ("tool", "agent") else self._pop_type(kind)
             if i is None:
-                continue
-            n = nodes[i]
+                return
+            n = self.nodes[i]
             n["end"], n["end_seq"] = ts, seq
             if kind in PAYLOAD_DURATION and data.get("duration_s") is not None:
                 n["duration"] = float(data["duration_s"])
             else:
-                n["duration"] = calc(n)
+                n["duration"] = self._calc(n)
             if kind == "run":
                 n["status"] = "success" if data.get("success") else "error"
             elif kind == "llm":
@@ -150,36 +158,53 @@ def replay_run(pdf: pd.DataFrame) -> pd.DataFrame:
             n["data"] = {**n["data"], **data}
             if kind == "llm" and n["data"].get("stop_reason"):
                 n["name"] = f"LLM Call ({n['data']['stop_reason']})"
-        elif et == "token":
-            i = nearest("llm")
+            self._finish(i)
+        elif etype == "token":
+            i = self._nearest("llm")
             if i is not None:
-                nodes[i]["tokens"].append(_first(data, "text", default=""))
-        elif et == "reasoning":
-            i = nearest("llm")
+                self.nodes[i]["tokens"] += str(_first(data, "text", default=""))
+        elif etype == "reasoning":
+            i = self._nearest("llm")
             if i is not None:
-                nodes[i]["reasoning"].append(_first(data, "text", default=""))
-
-    # depth and pre-order position (roots in creation order, children in creation order)
-    depth = [0] * len(nodes)
-    for i, n in enumerate(nodes):
-        depth[i] = 0 if n["parent"] is None else depth[n["parent"]] + 1
-    order, pos = [], {}
-    roots = [i for i, n in enumerate(nodes) if n["parent"] is None]
-    todo = list(reversed(roots))
-    while todo:
-        i = todo.pop()
-        pos[i] = len(order)
-        order.append(i)
-        todo.extend(reversed(nodes[i]["children"]))
-    run_id = pdf["run_id"].iloc[0] if len(pdf) else None
-    rows = [{
-        "run_id": run_id, "span_id": f"n{i}", "parent_id": None if n["parent"] is None else f"n{n['parent']}",
-        "depth": depth[i], "preorder": pos[i], "span_type": n["kind"], "name": n["name"],
+                self.nodes[i]["reasoning"] += str(_first(data, "text", default=""))
+
+    def _finish(self, i: int) -> None:
+        if not self.keep_closed:
+            self.closed.append(self.nodes.pop(i))
+
+    def open_nodes(self) -> list[dict]:
+        return [self.nodes[i] for i in self.stack]
+
+    def preorder(self) -> dict[int, int]:
+        """Pre-order position: roots in creation order, children in creation order (batch mode only)."""
+        pos: dict[int, int] = {}
+        todo = [i for i in sorted(self.nodes, reverse=True) if self.nodes[i]["parent"] is None]
+        while todo:
+            i = todo.pop()
+            pos[i] = len(pos)
+            todo.extend(reversed(self.nodes[i]["children"]))
+        return pos
+
+
+def span_row(run_id, n: dict, preorder) -> dict:
+    return {
+        "run_id": run_id, "span_id": f"n{n['id']}", "parent_id": None if n["parent"] is None else f"n{n['parent']}",
+        "depth": n["depth"], "preorder": preorder, "span_type": n["kind"], "name": n["name"],
         "start_seq": n["start_seq"], "end_seq": n["end_seq"], "start_time": n["start"], "end_time": n["end"],
         "duration_s": n["duration"], "status": n["status"], "tool_use_id": n["tool_use_id"],
-        "token_text": "".join(str(t) for t in n["tokens"]), "reasoning_text": "".join(str(t) for t in n["reasoning"]),
-        "data": json.dumps(n["data"], sort_keys=True),
-    } for i, n in enumerate(nodes)]
+        "token_text": n["tokens"], "reasoning_text": n["reasoning"], "data": json.dumps(n["data"], sort_keys=True),
+    }
+
+
+def replay_run(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Replay one run's events (sorted by seq here) into span rows, open spans included as 'running'."""
+    pdf = pdf.sort_values("seq", kind="stable")
+    m = SpanMachine(keep_closed=True)
+    for ev in pdf.itertuples(index=False):
+        m.apply(ev.type, int(ev.seq), ev.timestamp, ev.agent, ev.data)
+    pos = m.preorder()
+    run_id = pdf["run_id"].iloc[0] if len(pdf) else None
+    rows = [span_row(run_id, m.nodes[i], pos[i]) for i in sorted(m.nodes)]
     return pd.DataFrame(rows, columns=SPAN_SCHEMA_NAMES)
 
 
