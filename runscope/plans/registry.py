@@ -31,6 +31,6 @@ def register(name: str, oracle: str | None, ids: str):
 
 def load_all() -> dict[str, Query]:
     # Importing the query modules fills the registry.
-    from runscope.plans import (queries_quality, queries_runs, queries_stream, queries_trace,  # noqa: F401
-                                queries_triage, queries_warehouse)
+    from runscope.plans import (queries_misc, queries_quality, queries_runs, queries_stream,  # noqa: F401
+                                queries_trace, queries_triage, queries_warehouse)
     return REGISTRY
