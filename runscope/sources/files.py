@@ -19,8 +19,8 @@ def read_log_files(spark: SparkSession, path: str, suffix: str = ".log") -> Data
     A log file is one run's output, so it is read whole and split into numbered lines: line order is what
     orders the error messages of a run, and a line-split text scan gives no line positions.
     """
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}")
-           .option("recursiveFileLookup", True).text(path)
+    raw = (spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True)
+           .text(path, wholetext=True)
            .select(F.col("value"), F.col("_metadata.file_name").alias("file")))
     return raw.select(_stem(F.col("file"), suffix.replace(".", r"\.")).alias("run_id"),
                       F.posexplode(F.split(F.col("value"), "\n")).alias("line_no", "value")
@@ -40,8 +40,8 @@ def read_manifests(spark: SparkSession, path: str, suffix: str = ".manifest.json
 
 def read_model_files(spark: SparkSession, root: str) -> DataFrame:
     """IO-9: every ``*.sql`` under ``root`` (recursive) -> (path, sql); the model name is the file stem."""
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.sql").text(root)
+    return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.sql")
+            .text(root, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("sql")))
 
 
