@@ -182,3 +182,10 @@ def tool_calls(events: DataFrame) -> DataFrame:
         F.when(paired, F.col("prev.seq")).alias("start_seq"), F.col("seq").alias("end_seq"), "status",
         F.when(paired, F.floor((micros + F.lit(5000)) / F.lit(10000)).cast("double") / F.lit(100.0))
         .alias("duration_s"))
+
+
+def orphan_events(events: DataFrame, runs: DataFrame) -> DataFrame:
+    """JO-5: events whose run_id has no row in the runs table (no run_start), counted per run_id.
+    A left-anti join on run_id; the runs side is one row per run."""
+    return (events.join(runs.select("run_id"), "run_id", "left_anti")
+            .groupBy("run_id").agg(F.count(F.lit(1)).alias("n_events")))

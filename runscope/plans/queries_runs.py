@@ -158,3 +158,11 @@ SELECT run_id, tool_use_id, tool_name, CASE WHEN prev_type = 'tool_start' THEN p
 FROM lagged WHERE type = 'tool_end'"""), "JO-2")
 def q_tool_calls(spark, sf_dir):
     return R.tool_calls(events(spark, sf_dir))
+
+
+@register("orphan_events", O.with_ctes(RUN_CTES, """
+SELECT run_id, COUNT(*) AS n_events FROM ev WHERE run_id NOT IN (SELECT run_id FROM runs) GROUP BY run_id"""),
+          "JO-5")
+def q_orphan_events(spark, sf_dir):
+    ev = B.telemetry_events(spark, sf_dir)
+    return R.orphan_events(ev, R.runs_table(R.parse_events(ev)))
