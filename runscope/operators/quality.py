@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runscope.operators.sequences import running_sum
@@ -59,61 +59,69 @@ RESULT_COLS = ["model", "test", "column_name", "failures", "status"]
 FAILURE_COLS = ["model", "test", "column_name", "value", "n_records"]
 
 
-def _failures_of(df: DataFrame, check: Check) -> DataFrame:
-    """Failing units of one check: (value, n_records). not_null -> one row per NULL row group; unique -> each
-    duplicated value; accepted_values -> each distinct value outside the list (NULLs ignored)."""
-    c = F.col(check.column)
-    if check.test == "not_null":
-        return (df.filter(c.isNull()).groupBy().agg(F.count(F.lit(1)).alias("n_records"))
-                .filter(F.col("n_records") > 0).select(F.lit(None).cast("string").alias("value"), "n_records"))
-    if check.test == "unique":
-        return (df.filter(c.isNotNull()).groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n_records"))
-                .filter(F.col("n_records") > 1).select(F.col("v").cast("string").alias("value"), "n_records"))
-    if check.test == "accepted_values":
-        return (df.filter(c.isNotNull() & ~c.cast("string").isin(*check.values))
-                .groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n_records"))
-                .select(F.col("v").cast("string").alias("value"), "n_records"))
-    raise ValueError(f"unknown test {check.test}")
+def _checks_frame(spark, checks) -> DataFrame:
+    """The declared checks as a small literal table (its size is the number of declared checks)."""
+    rows = [(c.model, c.test, c.column, list(c.values)) for c in checks]
+    return spark.createDataFrame(rows, "model string, test string, column_name string, accepted array<string>")
 
 
-def check_failures(models: dict[str, DataFrame], checks=DECLARED_CHECKS, select: str | None = None) -> DataFrame:
-    """DQ-1..4: every failing unit of every check (optionally of one selected model)."""
-    parts = []
+def _model_pairs(df: DataFrame, model: str, checks) -> DataFrame:
+    """One scan of a model: every checked column unpivoted to (column_name, value) and counted.
+
+    Columns with a unique or accepted_values check keep their values (as text); columns that only need a
+    not_null count keep just NULL vs present, so they add one group per column, not one per distinct value.
+    The (column, value) aggregate is map-side combined, so a hot value moves as one row per task.
+    """
+    valued = sorted({c.column for c in checks if c.test != "not_null"})
+    flags = sorted({c.column for c in checks if c.test == "not_null"} - set(valued))
+    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in valued]
+    items += [F.struct(F.lit(c).alias("column_name"), F.when(F.col(c).isNotNull(), F.lit("")).alias("value"))
+              for c in flags]
+    return (df.select(F.inline(F.array(*items)))
+            .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+            .select(F.lit(model).alias("model"), "column_name", "value", "n"))
+
+
+def _pairs_with_checks(models: dict[str, DataFrame], checks) -> tuple[DataFrame, DataFrame]:
+    by_model: dict[str, list[Check]] = {}
     for ch in checks:
-        if select and ch.model != select:
-            continue
-        f = _failures_of(models[ch.model], ch)
-        parts.append(f.select(F.lit(ch.model).alias("model"), F.lit(ch.test).alias("test"),
-                              F.lit(ch.column).alias("column_name"), "value", "n_records"))
-    return _union(parts)
+        by_model.setdefault(ch.model, []).append(ch)
+    pairs = _union([_model_pairs(models[m], m, cs) for m, cs in by_model.items()])
+    spark = next(iter(models.values())).sparkSession
+    return pairs, _checks_frame(spark, checks)
+
 
+def _is_failure() -> Column:
+    """Per (check, column value, row count): is this value a failing unit of the check?"""
+    t, v, n = F.col("test"), F.col("value"), F.col("n")
+    return (F.when(t == "not_null", v.isNull())
+            .when(t == "unique", v.isNotNull() & (n > 1))
+            .otherwise(v.isNotNull() & ~F.array_contains(F.col("accepted"), v)))
 
-def _not_null_counts(df: DataFrame, model: str, cols: list[str]) -> DataFrame:
-    """All not_null checks of one model in a single scan: one count_if per column, then unpivot."""
-    agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    return agg.select(F.inline(F.array(*[
-        F.struct(F.lit(model).alias("model"), F.lit("not_null").alias("test"), F.lit(c).alias("column_name"),
-                 F.col(c).alias("failures")) for c in cols])))
+
+def check_failures(models: dict[str, DataFrame], checks=DECLARED_CHECKS, select: str | None = None) -> DataFrame:
+    """DQ-1..4: every failing unit of every check (optionally of one selected model): not_null -> the NULL
+    rows as one unit; unique -> each duplicated value; accepted_values -> each value outside the list."""
+    chosen = [c for c in checks if not select or c.model == select]
+    pairs, cf = _pairs_with_checks(models, chosen)
+    return (pairs.join(F.broadcast(cf), ["model", "column_name"])
+            .filter(_is_failure())
+            .select("model", "test", "column_name", "value", F.col("n").alias("n_records")))
 
 
 def check_results(models: dict[str, DataFrame], checks=DECLARED_CHECKS, select: str | None = None) -> DataFrame:
-    """DQ-5: one row per check with the number of failing units and pass/fail."""
+    """DQ-5: one row per check with the number of failing units and pass/fail, all checks of a model from
+    one scan of it."""
     chosen = [c for c in checks if not select or c.model == select]
-    parts = []
-    by_model: dict[str, list[str]] = {}
-    for ch in chosen:
-        if ch.test == "not_null":
-            by_model.setdefault(ch.model, []).append(ch.column)
-        else:
-            f = _failures_of(models[ch.model], ch)
-            parts.append(f.agg(F.count(F.lit(1)).alias("failures"))
-                         .select(F.lit(ch.model).alias("model"), F.lit(ch.test).alias("test"),
-                                 F.lit(ch.column).alias("column_name"), "failures"))
-    for model, cols in by_model.items():
-        parts.append(_not_null_counts(models[model], model, cols))
-    res = _union(parts)
-    return res.select("model", "test", "column_name", F.col("failures").cast("bigint").alias("failures"),
-                      F.when(F.col("failures") == 0, "pass").otherwise("fail").alias("status"))
+    pairs, cf = _pairs_with_checks(models, chosen)
+    units = (pairs.join(F.broadcast(cf), ["model", "column_name"])
+             .groupBy("model", "test", "column_name")
+             .agg(F.sum(F.when(_is_failure(), F.when(F.col("test") == "not_null", F.col("n")).otherwise(1))
+                        .otherwise(0)).alias("failures")))
+    res = cf.select("model", "test", "column_name").join(units, ["model", "test", "column_name"], "left")
+    failures = F.coalesce(F.col("failures"), F.lit(0)).cast("bigint")
+    return res.select("model", "test", "column_name", failures.alias("failures"),
+                      F.when(failures == 0, "pass").otherwise("fail").alias("status"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -39,3 +39,26 @@ def running_sum(df: DataFrame, keys: list[str], chunk_of: Column, order_cols: li
                 chunk_width: int = DAY_MICROS) -> DataFrame:
     """Single-column form of ``running_sums``."""
     return running_sums(df, keys, chunk_of, order_cols, {out: value}, chunk_width)
+
+
+def running_last(df: DataFrame, keys: list[str], chunk_of: Column, order_cols: list[str],
+                 values: dict[str, Column], chunk_width: int = DAY_MICROS) -> DataFrame:
+    """Add one column per ``values`` entry: the last non-NULL value of it over rows of the same ``keys`` up to
+    and including this row, in ``order_cols`` order (a carry-forward / as-of lookup). Same two-level shape as
+    ``running_sums``: each chunk's last value is found by a map-side combinable ``max_by``, carried across the
+    small chunk table, and a window inside (key, chunk) finishes the job."""
+    names = list(values)
+    tmp = {n: f"_l_{i}" for i, n in enumerate(names)}
+    order = F.struct(*[F.col(c) for c in order_cols])
+    d = df.select("*", *[values[n].alias(tmp[n]) for n in names],
+                  F.floor(chunk_of / F.lit(chunk_width)).alias("_chunk"))
+    lasts = d.groupBy(*keys, "_chunk").agg(*[F.max_by(F.col(tmp[n]), F.when(F.col(tmp[n]).isNotNull(), order))
+                                             .alias(f"_c_{tmp[n]}") for n in names])
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*keys, "_chunk", *[F.last(f"_c_{tmp[n]}", ignorenulls=True).over(before)
+                                              .alias(f"_o_{tmp[n]}") for n in names])
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    out = d.join(carried, keys + ["_chunk"])
+    out = out.select("*", *[F.coalesce(F.last(tmp[n], ignorenulls=True).over(inside), F.col(f"_o_{tmp[n]}"))
+                            .alias(n) for n in names])
+    return out.drop("_chunk", *tmp.values(), *[f"_o_{t}" for t in tmp.values()])

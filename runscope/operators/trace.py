@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runscope.functions.columns import millis_between
-from runscope.operators.sequences import running_sums
+from runscope.operators.sequences import running_last, running_sums
 
 SPAN_COLS = ["run_id", "span_id", "parent_id", "depth", "preorder", "span_type", "name", "start_seq", "end_seq",
              "start_time", "end_time", "duration_s", "status", "tool_use_id", "token_text", "reasoning_text"]
@@ -244,52 +244,60 @@ def _levels(events: DataFrame) -> DataFrame:
     }, chunk_width=SEQ_CHUNK)
 
 
-def _max_level(lv: DataFrame, col: str) -> int:
-    """Deepest nesting in the data (a single scalar): sizes the per-level parent columns exactly."""
-    m = lv.agg(F.max(col)).first()[0]
-    return int(m or 0)
+def _as_of(cands: DataFrame, queries: DataFrame, out: str) -> DataFrame:
+    """For each query row (run_id, key, seq, me): the last candidate (run_id, key, seq, cand) before it."""
+    u = (cands.select("run_id", "key", "seq", "cand", F.lit(None).cast("bigint").alias("me"))
+         .unionByName(queries.select("run_id", "key", "seq", F.lit(None).cast("bigint").alias("cand"), "me")))
+    found = running_last(u, ["run_id", "key"], F.col("seq"), ["seq"], {out: F.col("cand")}, chunk_width=SEQ_CHUNK)
+    return found.filter(F.col("me").isNotNull()).select("run_id", F.col("me").alias("idx"), out)
 
 
 def trace_spans_native(events: DataFrame) -> DataFrame:
-    """TR-2: the TR-1 rows for well-nested runs, without Python. Token / reasoning text is joined in order."""
+    """TR-2: the TR-1 rows for well-nested runs, without Python. Token / reasoning text is joined in order.
+
+    The parent of an open at depth L is the last open at depth L-1 before it, and the LLM call a token
+    belongs to is the last model_call_start at the current LLM depth: both are as-of lookups keyed by
+    (run, depth), done with the chunked ``running_last``. The k-th open at a depth pairs with the k-th close
+    at that depth (chunked running counts + an equi-join), so no step holds a whole run in one task.
+    """
     lv = _levels(events).withColumn("kind", _kind())
     is_open = F.col("type").isin(*OPEN_TYPE)
     is_close = F.col("type").isin(*CLOSE_TYPE)
     lv = lv.withColumn("level", F.when(is_open, F.col("level_after") - 1).when(is_close, F.col("level_after"))
                        .when(F.col("type") == "metrics", F.col("level_after")))
-    depth_max = _max_level(lv, "level_after")
-    llm_max = _max_level(lv, "llm_after")
-    w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    # parent of an open at level L: the last open at level L-1 (an earlier row); metrics attach to the top.
-    last_open = [F.last(F.when(is_open & (F.col("level") == k), F.col("created")), ignorenulls=True).over(w)
-                 for k in range(max(depth_max, 1))]
-    llm_open = [F.last(F.when((F.col("type") == "model_call_start") & (F.col("llm_after") == m), F.col("created")),
-                       ignorenulls=True).over(w) for m in range(1, max(llm_max, 1) + 1)]
-    lv = lv.select("*", F.array(*last_open).alias("_opens"), F.array(*llm_open).alias("_llms"))
-    parent_idx = (F.when(is_open & (F.col("kind") != "run") & (F.col("level") > 0),
-                         F.element_at("_opens", F.col("level").cast("int")))
-                  .when(F.col("type") == "metrics",
-                        F.when(F.col("level_after") > 0, F.element_at("_opens", F.col("level_after").cast("int")))))
-    llm_idx = F.when(F.col("llm_after") > 0, F.element_at("_llms", F.col("llm_after").cast("int")))
-    lv = lv.withColumn("parent_idx", parent_idx).withColumn("llm_idx", llm_idx)
+    parents = _as_of(
+        lv.filter(is_open).select("run_id", (F.col("level") + 1).alias("key"), "seq", F.col("created").alias("cand")),
+        lv.filter((is_open & (F.col("kind") != "run") & (F.col("level") > 0))
+                  | ((F.col("type") == "metrics") & (F.col("level") > 0)))
+          .select("run_id", F.col("level").alias("key"), "seq", F.col("created").alias("me")),
+        "parent_idx")
+    llm_of = _as_of(
+        lv.filter(F.col("type") == "model_call_start")
+          .select("run_id", F.col("llm_after").alias("key"), "seq", F.col("created").alias("cand")),
+        lv.filter(F.col("type").isin("token", "reasoning") & (F.col("llm_after") > 0))
+          .select("run_id", F.col("llm_after").alias("key"), "seq", F.col("seq").alias("me")),
+        "llm_idx").withColumnRenamed("idx", "seq")
+    # k-th open / close at each depth
+    oc = running_sums(lv.filter(is_open | is_close | (F.col("type") == "metrics")), ["run_id", "level"],
+                      F.col("seq"), ["seq"], {"k_open": F.when(is_open, 1).otherwise(0).cast("bigint"),
+                                              "k_close": F.when(is_close, 1).otherwise(0).cast("bigint")},
+                      chunk_width=SEQ_CHUNK)
+    lv_text = lv.filter(F.col("type").isin("token", "reasoning")).join(llm_of, ["run_id", "seq"])
 
     p = F.from_json(F.col("data"), "map<string,string>")
-    opens = (lv.filter(is_open | (F.col("type") == "metrics"))
-             .select("run_id", "kind", "level", F.col("created").alias("idx"), "parent_idx",
+    opens = (oc.filter(is_open | (F.col("type") == "metrics"))
+             .select("run_id", "kind", "level", F.col("created").alias("idx"), F.col("k_open").alias("k"),
                      F.col("seq").alias("start_seq"), F.col("timestamp").alias("start_time"),
-                     F.col("agent").alias("start_agent"), p.alias("sp"),
-                     F.row_number().over(Window.partitionBy("run_id", "level", F.col("type").isin(*OPEN_TYPE))
-                                         .orderBy("seq")).alias("k")))
-    closes = (lv.filter(is_close)
-              .select("run_id", F.col("level").alias("c_level"), F.col("seq").alias("end_seq"),
-                      F.col("timestamp").alias("end_time"), p.alias("ep"),
-                      F.row_number().over(Window.partitionBy("run_id", "level").orderBy("seq")).alias("c_k")))
+                     F.col("agent").alias("start_agent"), p.alias("sp"))
+             .join(parents, ["run_id", "idx"], "left"))
+    closes = (oc.filter(is_close)
+              .select("run_id", F.col("level").alias("c_level"), F.col("k_close").alias("c_k"),
+                      F.col("seq").alias("end_seq"), F.col("timestamp").alias("end_time"), p.alias("ep")))
     spans = opens.join(closes, (opens.run_id == closes.run_id) & (opens.level == closes.c_level)
                        & (opens.k == closes.c_k) & (opens.kind != "metrics"), "left").drop(closes.run_id)
 
-    texts = (lv.filter(F.col("type").isin("token", "reasoning") & F.col("llm_idx").isNotNull())
-             .select("run_id", F.col("llm_idx").alias("idx"), "seq", "type",
-                     F.coalesce(F.get_json_object("data", "$.text"), F.lit("")).alias("text"))
+    texts = (lv_text.select("run_id", F.col("llm_idx").alias("idx"), "seq", "type",
+                            F.coalesce(F.get_json_object("data", "$.text"), F.lit("")).alias("text"))
              .groupBy("run_id", "idx")
              .agg(F.collect_list(F.when(F.col("type") == "token", F.struct("seq", "text"))).alias("tok"),
                   F.collect_list(F.when(F.col("type") == "reasoning", F.struct("seq", "text"))).alias("rea")))

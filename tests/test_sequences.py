@@ -16,3 +16,16 @@ def test_running_sums_match_window(spark):
     ref = df.withColumn("s", F.sum("v").over(w))
     diff = got.select("k", "seq", "s").exceptAll(ref.select("k", "seq", "s"))
     assert got.count() == n and diff.count() == 0
+
+
+def test_running_last_matches_window(spark):
+    from runscope.operators.sequences import running_last
+    n = 20000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 53).alias("k"), F.col("id").alias("seq"),
+        F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
+    got = running_last(df, ["k"], F.col("seq"), ["seq"], {"l": F.col("v")}, chunk_width=500)
+    w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.withColumn("l", F.last("v", ignorenulls=True).over(w))
+    assert got.count() == n
+    assert got.select("k", "seq", "l").exceptAll(ref.select("k", "seq", "l")).count() == 0
