@@ -19,7 +19,7 @@ def running_sums(df: DataFrame, keys: list[str], chunk_of: Column, order_cols: l
                  values: dict[str, Column], chunk_width: int = DAY_MICROS) -> DataFrame:
     """Add one column per ``values`` entry: the sum of that value over rows of the same ``keys`` up to and
     including this row, in ``order_cols`` order. ``chunk_of`` must be non-decreasing in that order (event
-    time micros, a sequence number). Use exact types (integer/decimal) so the two-level sum equals the
+    day number, a sequence number). Use exact types (integer/decimal) so the two-level sum equals the
     sequential one."""
     names = list(values)
     tmp = {n: f"_v_{i}" for i, n in enumerate(names)}

@@ -42,9 +42,15 @@ SEQ_CHUNK = 1 << 20
 # ---- TR-1: exact stack replay --------------------------------------------------------------------------------
 
 def _ms(ts: str | None):
+    """Epoch milliseconds of an ISO timestamp (naive = UTC); None when missing or unparsable."""
     if not ts:
         return None
-    t = pd.Timestamp(ts)
+    try:
+        t = pd.Timestamp(ts)
+    except (ValueError, TypeError):
+        return None
+    if t is pd.NaT:
+        return None
     if t.tzinfo is None:
         t = t.tz_localize("UTC")
     return t.value // 1_000_000
@@ -253,7 +259,12 @@ def _as_of(cands: DataFrame, queries: DataFrame, out: str) -> DataFrame:
 
 
 def trace_spans_native(events: DataFrame) -> DataFrame:
-    """TR-2: the TR-1 rows for well-nested runs, without Python. Token / reasoning text is joined in order.
+    """TR-2: the TR-1 rows for well-nested runs, without Python. Token / reasoning text is joined in order."""
+    return _native(events)[0]
+
+
+def _native(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Catalyst-only span rows, plus the runs where the depth pairing is not the stack replay's answer.
 
     The parent of an open at depth L is the last open at depth L-1 before it, and the LLM call a token
     belongs to is the last model_call_start at the current LLM depth: both are as-of lookups keyed by
@@ -291,10 +302,11 @@ def trace_spans_native(events: DataFrame) -> DataFrame:
                      F.col("agent").alias("start_agent"), p.alias("sp"))
              .join(parents, ["run_id", "idx"], "left"))
     closes = (oc.filter(is_close)
-              .select("run_id", F.col("level").alias("c_level"), F.col("k_close").alias("c_k"),
-                      F.col("seq").alias("end_seq"), F.col("timestamp").alias("end_time"), p.alias("ep")))
-    spans = opens.join(closes, (opens.run_id == closes.run_id) & (opens.level == closes.c_level)
-                       & (opens.k == closes.c_k) & (opens.kind != "metrics"), "left").drop(closes.run_id)
+              .select(F.col("run_id").alias("c_run_id"), F.col("level").alias("c_level"), F.col("k_close").alias("c_k"),
+                      F.col("kind").alias("c_kind"), F.col("seq").alias("end_seq"),
+                      F.col("timestamp").alias("end_time"), p.alias("ep")))
+    spans = opens.join(closes, (F.col("run_id") == F.col("c_run_id")) & (F.col("level") == F.col("c_level"))
+                       & (F.col("k") == F.col("c_k")) & (F.col("kind") != "metrics"), "left").drop("c_run_id")
 
     texts = (lv_text.select("run_id", F.col("llm_idx").alias("idx"), "seq", "type",
                             F.coalesce(F.get_json_object("data", "$.text"), F.lit("")).alias("text"))
@@ -303,6 +315,18 @@ def trace_spans_native(events: DataFrame) -> DataFrame:
                   F.collect_list(F.when(F.col("type") == "reasoning", F.struct("seq", "text"))).alias("rea")))
     spans = spans.join(texts, ["run_id", "idx"], "left")
 
+    # Runs the depth pairing cannot answer: an end with nothing open (depth below 0), a run_start below the
+    # top level, or a pair whose end is of another type / names another tool id (a close from the middle).
+    close_id = F.coalesce(F.col("ep").getItem("tool_use_id"), F.lit(""))
+    mismatch = (F.col("end_seq").isNotNull()
+                & ((F.col("c_kind") != F.col("kind"))
+                   | (F.col("kind").isin("tool", "agent") & (close_id != "")
+                      & ~close_id.eqNullSafe(F.col("sp").getItem("tool_use_id")))))
+    bad = (lv.filter((F.col("level_after") < 0) | ((F.col("type") == "run_start") & (F.col("level") > 0)))
+           .select("run_id")
+           .unionByName(spans.filter(mismatch).select("run_id"))
+           .distinct())
+
     kind, sp, ep = F.col("kind"), F.col("sp"), F.col("ep")
     closed = F.col("end_seq").isNotNull()
     agent_or = lambda key: F.coalesce(sp.getItem(key), F.col("start_agent"), F.lit("agent"))
@@ -320,7 +344,7 @@ def trace_spans_native(events: DataFrame) -> DataFrame:
     computed = millis_between(F.col("start_time").try_cast("timestamp"), F.col("end_time").try_cast("timestamp"))
     duration = F.when(closed, F.when(kind.isin(*PAYLOAD_DURATION) & ep.getItem("duration_s").isNotNull(),
                                      ep.getItem("duration_s").cast("double")).otherwise(computed))
-    truthy = ~F.coalesce(ep.getItem("success"), F.lit("false")).isin("false", "0", "", "null")
+    truthy = ~F.coalesce(ep.getItem("success"), F.lit("false")).isin("false", "0", "0.0", "", "null")
     status = (F.when(kind == "metrics", F.lit(None))
               .when(~closed, F.lit("running"))
               .when(kind == "run", F.when(truthy, "success").otherwise("error"))
@@ -329,7 +353,7 @@ def trace_spans_native(events: DataFrame) -> DataFrame:
                     F.when(ep.getItem("status") == "error", "error").otherwise("success"))
               .otherwise(F.lit("success")))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.col(c)), lambda s: s["text"]), "")
-    return spans.select(
+    rows = spans.select(
         "run_id", F.concat(F.lit("n"), (F.col("idx") - 1).cast("string")).alias("span_id"),
         F.when(F.col("parent_idx").isNotNull(), F.concat(F.lit("n"), (F.col("parent_idx") - 1).cast("string")))
         .alias("parent_id"),
@@ -339,6 +363,18 @@ def trace_spans_native(events: DataFrame) -> DataFrame:
         duration.alias("duration_s"), status.alias("status"), sp.getItem("tool_use_id").alias("tool_use_id"),
         F.coalesce(joined("tok"), F.lit("")).alias("token_text"),
         F.coalesce(joined("rea"), F.lit("")).alias("reasoning_text"))
+    return rows, bad
+
+
+def trace_spans_hybrid(events: DataFrame) -> DataFrame:
+    """TR-1 rows for every run: well-nested runs take the Catalyst-only path (no step holds a whole run);
+    runs where the stack is disturbed (unmatched ends, closes from the middle, tool-id mismatches) go to the
+    exact per-run replay."""
+    ev = events.select("run_id", "seq", "type", "agent", "timestamp", "data")
+    native, bad = _native(ev)
+    good_rows = native.join(bad, "run_id", "left_anti")
+    replayed = trace_spans(ev.join(bad, "run_id", "left_semi")).select(*SPAN_COLS)
+    return good_rows.unionByName(replayed)
 
 
 # ---- WI-2 / AG-11 / AG-14 / TR-4 ----------------------------------------------------------------------------

@@ -104,7 +104,7 @@ SELECT run_id, agent_type, started_at,
          / 1e6 AS elapsed_s
 FROM runs WHERE status = 'running'"""), "ST-4 ST-5")
 def q_live_runs(spark, sf_dir):
-    return R.live_runs(R.runs_table(events(spark, sf_dir)), F.lit(NOW).cast("timestamp"))
+    return R.live_runs(R.runs_table(events(spark, sf_dir)), F.lit(NOW + "+00:00").cast("timestamp"))
 
 
 @register("run_events", O.with_ctes([EV], "SELECT seq, run_id, type, agent, timestamp FROM ev WHERE run_id = 'run-7'"),

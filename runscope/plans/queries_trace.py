@@ -75,6 +75,17 @@ def q_trace_spans_native(spark, sf_dir):
     return TR.trace_spans_native(trace_events(spark, sf_dir)).select(*TR.SPAN_COLS)
 
 
+@register("trace_spans_hybrid", O.with_ctes(TRACE_CTES, "SELECT * FROM spans"), "TR-1 TR-2")
+def q_trace_spans_hybrid(spark, sf_dir):
+    return TR.trace_spans_hybrid(trace_events(spark, sf_dir)).select(*TR.SPAN_COLS)
+
+
+@register("telemetry_spans_hybrid", None, "TR-1 TR-2")
+def q_telemetry_spans_hybrid(spark, sf_dir):
+    """The production path on the unordered telemetry mix: disturbed runs are replayed, the rest native."""
+    return TR.trace_spans_hybrid(B.telemetry_events(spark, sf_dir)).select(*TR.SPAN_COLS)
+
+
 @register("telemetry_spans", None, "TR-1")
 def q_telemetry_spans(spark, sf_dir):
     """The exact replay on the unordered telemetry mix (unmatched ends, repeated run_start, empty tool ids)."""
@@ -125,7 +136,7 @@ SELECT run_id, span_id, depth, preorder, name,
        greatest(CAST((end_seq - start_seq) * 1000 AS DOUBLE) / CAST(999000 AS DOUBLE) * 100.0, 0.5) AS width_pct
 FROM spans"""), "TR-4 AG-12 WI-4")
 def q_timeline(spark, sf_dir):
-    return TR.timeline(TR.trace_spans_native(trace_events(spark, sf_dir)), F.lit(NOW).cast("timestamp"))
+    return TR.timeline(TR.trace_spans_native(trace_events(spark, sf_dir)), F.lit(NOW + "+00:00").cast("timestamp"))
 
 
 @register("trace_run_summary", O.with_ctes([TURNS, """

@@ -111,8 +111,8 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("processed_at"),
         F.concat(F.lit("EV-"), F.col("event_id").cast("string")).alias("reference"),
     )
-    df = running_sum(df, ["user_id"], F.unix_micros(F.col("processed_at").cast("timestamp")), ["processed_at", "id"],
-                     F.col("amount").cast("decimal(18,2)"), "_bal")
+    df = running_sum(df, ["user_id"], F.unix_date(F.to_date("processed_at")), ["processed_at", "id"],
+                     F.col("amount").cast("decimal(18,2)"), "_bal", chunk_width=1)
     df = df.withColumn("balance_after",
                        (F.col("_bal") + F.when(F.col("id") % 500 == 499, F.lit(1)).otherwise(F.lit(0)))
                        .cast("double")).drop("_bal")

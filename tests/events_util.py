@@ -1,13 +1,18 @@
 """Hand-written telemetry event sequences for the trace and fold tests."""
 
+import datetime
 import json
 import random
 
 EVENT_DDL = "seq long, run_id string, type string, agent string, timestamp string, data string"
 
 
+BASE = datetime.datetime(2024, 5, 1, 10, 0, 0)
+
+
 def ev(seq, etype, run="r1", agent="ticket", sec=None, **data):
-    ts = f"2024-05-01T10:{(seq if sec is None else sec) // 60:02d}:{(seq if sec is None else sec) % 60:02d}.000000+00:00"
+    t = BASE + datetime.timedelta(seconds=seq if sec is None else sec)
+    ts = t.strftime("%Y-%m-%dT%H:%M:%S.%f") + "+00:00"
     return (seq, run, etype, agent, ts, json.dumps(data))
 
 

@@ -72,8 +72,8 @@ def test_permutation_invariance(spark):
     rows = random_well_nested(rng, "p", 60)
     shuffled = rows[:]
     rng.shuffle(shuffled)
-    a = sorted(tuple(r) for r in TR.trace_spans(frame(spark, rows)).select(*COLS).collect())
-    b = sorted(tuple(r) for r in TR.trace_spans(frame(spark, shuffled)).select(*COLS).collect())
+    a = sorted((tuple(r) for r in TR.trace_spans(frame(spark, rows)).select(*COLS).collect()), key=repr)
+    b = sorted((tuple(r) for r in TR.trace_spans(frame(spark, shuffled)).select(*COLS).collect()), key=repr)
     assert a == b
 
 
@@ -83,6 +83,36 @@ def test_native_equals_replay_on_well_nested(spark):
     for i in range(25):
         rows += random_well_nested(rng, f"run{i}", rng.randint(5, 80), seq0=i * 10_000)
     df = frame(spark, rows)
-    a = sorted(tuple(r) for r in TR.trace_spans(df).select(*COLS).collect())
-    b = sorted(tuple(r) for r in TR.trace_spans_native(df).select(*COLS).collect())
+    a = sorted((tuple(r) for r in TR.trace_spans(df).select(*COLS).collect()), key=repr)
+    b = sorted((tuple(r) for r in TR.trace_spans_native(df).select(*COLS).collect()), key=repr)
     assert len(a) > 100 and a == b
+
+
+def test_hybrid_equals_replay_on_mixed_runs(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(10):
+        rows += random_well_nested(rng, f"ok{i}", rng.randint(5, 50), seq0=i * 10_000)
+    # disturbed runs: unmatched end, close from the middle, nested run_start, id mismatch
+    rows += [ev(200_000, "tool_end", run="bad1"), ev(200_001, "run_start", run="bad1"), ev(200_002, "run_end", run="bad1")]
+    rows += [ev(210_000, "run_start", run="bad2"), ev(210_001, "invocation_start", run="bad2"),
+             ev(210_002, "model_call_start", run="bad2"), ev(210_003, "invocation_end", run="bad2"),
+             ev(210_004, "token", run="bad2", text="t"), ev(210_005, "model_call_end", run="bad2")]
+    rows += [ev(220_000, "run_start", run="bad3"), ev(220_001, "invocation_start", run="bad3"),
+             ev(220_002, "run_start", run="bad3", agent_type="inner"), ev(220_003, "run_end", run="bad3", success=True)]
+    rows += [ev(230_000, "run_start", run="bad4"), ev(230_001, "tool_start", run="bad4", tool_use_id="a"),
+             ev(230_002, "tool_start", run="bad4", tool_use_id="b"), ev(230_003, "tool_end", run="bad4", tool_use_id="a"),
+             ev(230_004, "tool_end", run="bad4", tool_use_id="b")]
+    df = frame(spark, rows)
+    a = sorted((tuple(r) for r in TR.trace_spans(df).select(*COLS).collect()), key=repr)
+    b = sorted((tuple(r) for r in TR.trace_spans_hybrid(df).select(*COLS).collect()), key=repr)
+    assert a == b
+
+
+def test_hybrid_equals_replay_on_telemetry_binding(spark):
+    from runscope.sources import bindings as B
+    from tests.conftest import SF_SMALL
+    ev_df = B.telemetry_events(spark, SF_SMALL)
+    a = sorted((tuple(r) for r in TR.trace_spans(ev_df).select(*COLS).collect()), key=repr)
+    b = sorted((tuple(r) for r in TR.trace_spans_hybrid(ev_df).select(*COLS).collect()), key=repr)
+    assert len(a) > 50 and a == b
