@@ -56,24 +56,31 @@ def failure_context(manifests: DataFrame, entries: DataFrame, sql: DataFrame) ->
 
     failed_models: sorted distinct names; error_messages: distinct ERROR messages in order of first line;
     sql_snippets: SQL of each failed model that has a file, in model-name order; missing_models: the others.
-    Every list is pre-reduced (distinct) before it is collected, and joins are on run_id / model name only.
+    Entries are reduced to distinct (run, message, model) before anything is collected, and joins are on
+    run_id / model name only.
     """
     failed = manifests.filter(F.col("exit_code") != 0)
-    errs = (entries.filter(F.col("level") == "ERROR").groupBy("run_id", "message")
-            .agg(F.min("line_no").alias("first_line"))
-            .groupBy("run_id")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("first_line", "message"))),
-                             lambda s: s["message"]).alias("error_messages")))
-    fm = failed_models(entries).join(sql.select("model_name", "sql"), "model_name", "left")
-    per_run = (fm.groupBy("run_id")
-               .agg(F.array_sort(F.collect_list("model_name")).alias("failed_models"),
-                    F.transform(F.array_sort(F.collect_list(F.when(F.col("sql").isNotNull(),
-                                                                   F.struct("model_name", "sql")))),
-                                lambda s: s["sql"]).alias("sql_snippets"),
-                    F.array_sort(F.collect_list(F.when(F.col("sql").isNull(), F.col("model_name"))))
-                    .alias("missing_models")))
+    # ERROR entries reduced to distinct (run, message, model) with their first line, joined to the model SQL,
+    # then one aggregate per run builds every list: the log lines are parsed once.
+    red = (entries.filter(F.col("level") == "ERROR")
+           .select("run_id", "message", "line_no",
+                   F.when(F.col("node_id") != "", model_name("node_id")).alias("model_name"))
+           .groupBy("run_id", "message", "model_name").agg(F.min("line_no").alias("first_line"))
+           .join(sql.select("model_name", "sql"), "model_name", "left"))
+    has_model = F.col("model_name").isNotNull()
+    per_run = (red.groupBy("run_id")
+               .agg(F.array_sort(F.collect_list(F.struct("first_line", "message"))).alias("_msgs"),
+                    F.array_sort(F.collect_set("model_name")).alias("failed_models"),
+                    F.array_sort(F.collect_set(F.when(F.col("sql").isNotNull(), F.struct("model_name", "sql"))))
+                    .alias("_sql"),
+                    F.array_sort(F.collect_set(F.when(has_model & F.col("sql").isNull(), F.col("model_name"))))
+                    .alias("missing_models"))
+               .select("run_id",
+                       F.array_distinct(F.transform("_msgs", lambda m: m["message"])).alias("error_messages"),
+                       "failed_models", F.transform("_sql", lambda m: m["sql"]).alias("sql_snippets"),
+                       "missing_models"))
     empty = F.array().cast("array<string>")
-    return (failed.join(errs, "run_id", "left").join(per_run, "run_id", "left")
+    return (failed.join(per_run, "run_id", "left")
             .select("run_id", "command", "exit_code", "started_at",
                     F.coalesce("failed_models", empty).alias("failed_models"),
                     F.coalesce("error_messages", empty).alias("error_messages"),
