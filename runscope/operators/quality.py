@@ -1,9 +1,9 @@
 """Part B: declarative data tests (not_null / unique / accepted_values), value distributions, table profiles and
 the declared referential / ledger invariants of the raw tables.
 
-Every check is an aggregate with map-side partial aggregation: a hot value is reduced to one (value, count)
-row per task before the shuffle, so skew does not concentrate rows in one task. All checks of a build are
-unioned into one result frame and computed by one action.
+All checks of a model come from one scan of it: the checked columns are unpivoted to (column, value) pairs and
+counted with map-side partial aggregation, so a hot value is reduced to one row per task before the shuffle.
+All checks of a build are one result frame computed by one action.
 """
 
 from __future__ import annotations
@@ -55,10 +55,6 @@ DECLARED_CHECKS = [
 ]
 # ------------------------------------------------------------------------------------------------------------
 
-RESULT_COLS = ["model", "test", "column_name", "failures", "status"]
-FAILURE_COLS = ["model", "test", "column_name", "value", "n_records"]
-
-
 def _checks_frame(spark, checks) -> DataFrame:
     """The declared checks as a small literal table (its size is the number of declared checks)."""
     rows = [(c.model, c.test, c.column, list(c.values)) for c in checks]

@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from runscope.functions.columns import cost_units, micro_usd, run_status
 from runscope.schemas import PAYLOAD
 
-RUN_COLS = ["run_id", "agent_type", "started_at", "ended_at", "success", "total_input_tokens",
-            "total_output_tokens", "total_duration_s", "estimated_cost_usd", "status"]
-
-
 def parse_events(events: DataFrame) -> DataFrame:
     """Event envelope -> + ``p`` (typed payload struct), ``ts`` (UTC timestamp), ``has_metrics``."""
     metrics_raw = F.get_json_object(F.col("data"), "$.metrics")
