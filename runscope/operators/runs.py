@@ -29,9 +29,11 @@ def _last(kind_filter: Column, *fields: Column) -> Column:
     return F.max(F.when(kind_filter, F.struct(F.col("seq").alias("seq"), *fields)))
 
 
-def fold_aggregates() -> list[Column]:
+def fold_aggregates(reset: bool = False) -> list[Column]:
     t = F.col("type")
     inv = (t == "invocation_end") & F.col("has_metrics")
+    if reset:  # the live view only takes metrics with a non-zero input token count
+        inv = inv & (F.coalesce(F.col("p.metrics.input_tokens"), F.lit(0)) != 0)
     return [
         F.min(F.when(t == "run_start", F.col("seq"))).alias("first_start"),
         _last(t == "run_start", F.coalesce(F.col("p.agent_type"), F.col("agent")).alias("agent_type"),
@@ -45,9 +47,10 @@ def fold_aggregates() -> list[Column]:
     ]
 
 
-def fold_select() -> list[Column]:
-    """Gate every 'last event of a kind' on following the first run_start; map success to the status."""
-    fs = F.col("first_start")
+def fold_select(reset: bool = False) -> list[Column]:
+    """Gate every 'last event of a kind' on following the first run_start (or, in reset mode, the last one:
+    each run_start starts a fresh record); map success to the status."""
+    fs = F.col("rs.seq") if reset else F.col("first_start")
     after = lambda c: F.col(f"{c}.seq") > fs
     success = F.when(after("re"), F.col("re.success"))
     return [
@@ -69,11 +72,14 @@ def runs_table(events: DataFrame, token_mode: str = "last") -> DataFrame:
     run_start (before that the run row does not exist yet). ``token_mode='sum'`` adds up all invocations
     after the first run_start instead (an orchestrator and its sub-agent share one provider, so last-wins
     under-counts); that needs first_start before the sums, so it is a second aggregate joined on run_id.
+    ``token_mode='reset'`` is the live view's variant: every run_start resets the record, so only events after
+    the last run_start count, and metrics count only with a non-zero input token count.
     """
     parsed = events if "p" in events.columns else parse_events(events)
-    runs = (parsed.groupBy("run_id").agg(*fold_aggregates())
-            .filter(F.col("first_start").isNotNull()).select(*fold_select()))
-    if token_mode == "last":
+    reset = token_mode == "reset"
+    runs = (parsed.groupBy("run_id").agg(*fold_aggregates(reset))
+            .filter(F.col("first_start").isNotNull()).select(*fold_select(reset)))
+    if token_mode in ("last", "reset"):
         return runs
     starts = (parsed.filter(F.col("type") == "run_start").groupBy("run_id")
               .agg(F.min("seq").alias("first_start")))

@@ -166,3 +166,32 @@ SELECT run_id, COUNT(*) AS n_events FROM ev WHERE run_id NOT IN (SELECT run_id F
 def q_orphan_events(spark, sf_dir):
     ev = B.telemetry_events(spark, sf_dir)
     return R.orphan_events(ev, R.runs_table(R.parse_events(ev)))
+
+
+RESET = """
+lsr AS (SELECT run_id, max(seq) AS last_start FROM ev WHERE type = 'run_start' GROUP BY run_id),
+lss AS (SELECT ev.run_id, ev.agent AS agent_type, ev.timestamp AS started_at FROM ev JOIN lsr
+        ON ev.run_id = lsr.run_id AND ev.seq = lsr.last_start),
+lse AS (
+  SELECT run_id, timestamp AS ended_at, CASE WHEN value >= 100 THEN 1 ELSE 0 END AS success,
+         CASE WHEN k % 4 <> 0 THEN value END AS duration_s FROM (
+    SELECT ev.*, row_number() OVER (PARTITION BY ev.run_id ORDER BY seq DESC) AS rn
+    FROM ev JOIN lsr USING (run_id) WHERE type = 'run_end' AND seq > last_start)
+  WHERE rn = 1
+),
+lsi AS (
+  SELECT run_id, input_tokens, output_tokens, CAST(cost_micro_usd AS DOUBLE) / 1e6 AS cost FROM (
+    SELECT inv.*, row_number() OVER (PARTITION BY inv.run_id ORDER BY seq DESC) AS rn
+    FROM inv JOIN lsr USING (run_id) WHERE seq > last_start AND input_tokens <> 0)
+  WHERE rn = 1
+)"""
+
+
+@register("runs_reset", O.with_ctes([EV, INV, RESET], """
+SELECT lsr.run_id, lss.agent_type, lss.started_at, lse.ended_at, lse.success,
+       coalesce(lsi.input_tokens, 0) AS total_input_tokens, coalesce(lsi.output_tokens, 0) AS total_output_tokens,
+       lse.duration_s AS total_duration_s, lsi.cost AS estimated_cost_usd,
+       CASE WHEN lse.success IS NULL THEN 'running' WHEN lse.success = 1 THEN 'success' ELSE 'error' END AS status
+FROM lsr JOIN lss USING (run_id) LEFT JOIN lse USING (run_id) LEFT JOIN lsi USING (run_id)"""), "AG-7 ST-2")
+def q_runs_reset(spark, sf_dir):
+    return R.runs_table(events(spark, sf_dir), token_mode="reset")

@@ -69,3 +69,16 @@ def test_search_and_recent(spark):
     hits = R.search_runs(runs, query="code", status="success").collect()
     assert {r.run_id for r in hits} == {f"run-{i}" for i in range(0, 60, 6)}
     assert R.search_runs(runs, status="running").count() == 30
+
+
+def test_reset_mode_starts_a_fresh_record(spark):
+    rows = [ev(0, "run_start", run="a", agent_type="ticket"),
+            ev(1, "invocation_end", run="a", metrics=_metrics(100, 10, 0.5)),
+            ev(2, "run_end", run="a", success=True, duration_s=2.0),
+            ev(3, "run_start", run="a", agent_type="code-fix"),
+            ev(4, "invocation_end", run="a", metrics=_metrics(0, 7))]   # zero input tokens: ignored live
+    db = R.runs_table(frame(spark, rows)).first()
+    live = R.runs_table(frame(spark, rows), token_mode="reset").first()
+    assert (db.status, db.total_duration_s, db.total_input_tokens) == ("success", 2.0, 0)
+    assert (live.status, live.ended_at, live.total_input_tokens, live.estimated_cost_usd) == ("running", None, 0, None)
+    assert live.agent_type == "code-fix"
