@@ -146,13 +146,22 @@ def value_distribution(df: DataFrame, cols: list[str]) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_records")))
 
 
-def table_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """SE-2: rows, NULLs and exact distinct count per column in one plan.
+def table_profile(df: DataFrame, cols: list[str] | None = None, approx: bool = False, rsd: float = 0.05) -> DataFrame:
+    """SE-2: rows, NULLs and distinct count per column in one plan.
 
-    (column, value) pairs are first reduced with their counts, then summed per column. This avoids the
-    N-fold Expand of N ``count(DISTINCT)`` aggregates and keeps every stage map-side combinable.
+    Exact: (column, value) pairs are first reduced with their counts, then summed per column -- no N-fold
+    Expand of N ``count(DISTINCT)`` aggregates, every stage map-side combinable. ``approx=True`` uses
+    HyperLogLog sketches instead: one aggregate, distinct values never shuffled (relative error ``rsd``).
     """
     cols = cols or df.columns
+    if approx:
+        agg = df.agg(F.count(F.lit(1)).alias("_rows"),
+                     *[F.count_if(F.col(c).isNull()).alias(f"_n_{i}") for i, c in enumerate(cols)],
+                     *[F.approx_count_distinct(c, rsd).alias(f"_d_{i}") for i, c in enumerate(cols)])
+        return agg.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col("_rows").alias("n_rows"),
+                     F.col(f"_n_{i}").alias("n_nulls"), F.col(f"_d_{i}").alias("n_distinct"))
+            for i, c in enumerate(cols)])))
     pairs = _stacked(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     return (pairs.groupBy("column_name")
             .agg(F.sum("n").alias("n_rows"),

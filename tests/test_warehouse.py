@@ -99,3 +99,15 @@ def test_pipeline_materialises_layers(spark, tmpdir_path):
     assert ("conformed", "dim_user") in names and ("mart", "mart_bet_daily") in names
     cols = [r.col_name for r in describe_table(spark, "conformed.fct_bet").collect()]
     assert cols[:2] == ["bet_id", "user_id"]
+
+
+def test_approx_profile_close_to_exact(spark):
+    from tests.conftest import SF_SMALL
+    from runscope.sources.tables import read_table
+    li = read_table(spark, SF_SMALL, "lineitem")
+    cols = ["l_orderkey", "l_partkey", "l_returnflag"]
+    exact = {r.column_name: r for r in Q.table_profile(li, cols).collect()}
+    approx = {r.column_name: r for r in Q.table_profile(li, cols, approx=True).collect()}
+    for c in cols:
+        assert approx[c].n_rows == exact[c].n_rows and approx[c].n_nulls == exact[c].n_nulls
+        assert abs(approx[c].n_distinct - exact[c].n_distinct) <= 0.1 * exact[c].n_distinct + 1
