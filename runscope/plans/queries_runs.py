@@ -195,3 +195,13 @@ SELECT lsr.run_id, lss.agent_type, lss.started_at, lse.ended_at, lse.success,
 FROM lsr JOIN lss USING (run_id) LEFT JOIN lse USING (run_id) LEFT JOIN lsi USING (run_id)"""), "AG-7 ST-2")
 def q_runs_reset(spark, sf_dir):
     return R.runs_table(events(spark, sf_dir), token_mode="reset")
+
+
+@register("live_runs_reset", O.with_ctes([EV, INV, RESET], f"""
+SELECT lsr.run_id, lss.agent_type, lss.started_at,
+       CAST(epoch_us(TIMESTAMP '{NOW}') - epoch_us(CAST(replace(lss.started_at, '+00:00', '') AS TIMESTAMP)) AS DOUBLE)
+         / 1e6 AS elapsed_s
+FROM lsr JOIN lss USING (run_id) LEFT JOIN lse USING (run_id) WHERE lse.success IS NULL"""), "ST-4 ST-5")
+def q_live_runs_reset(spark, sf_dir):
+    """Live runs as the live view sees them: a run_start (re)opens a run until a run_end follows it."""
+    return R.live_runs(R.runs_table(events(spark, sf_dir), token_mode="reset"), F.lit(NOW + "+00:00").cast("timestamp"))
