@@ -299,8 +299,7 @@ def _native(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     opens = (oc.filter(is_open | (F.col("type") == "metrics"))
              .select("run_id", "kind", "level", F.col("created").alias("idx"), F.col("k_open").alias("k"),
                      F.col("seq").alias("start_seq"), F.col("timestamp").alias("start_time"),
-                     F.col("agent").alias("start_agent"), p.alias("sp"))
-             .join(parents, ["run_id", "idx"], "left"))
+                     F.col("agent").alias("start_agent"), p.alias("sp")))
     closes = (oc.filter(is_close)
               .select(F.col("run_id").alias("c_run_id"), F.col("level").alias("c_level"), F.col("k_close").alias("c_k"),
                       F.col("kind").alias("c_kind"), F.col("seq").alias("end_seq"),
@@ -308,13 +307,6 @@ def _native(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = opens.join(closes, (F.col("run_id") == F.col("c_run_id")) & (F.col("level") == F.col("c_level"))
                        & (F.col("k") == F.col("c_k")) & (F.col("kind") != "metrics"), "left").drop("c_run_id")
 
-    texts = (lv_text.select("run_id", F.col("llm_idx").alias("idx"), "seq", "type",
-                            F.coalesce(F.get_json_object("data", "$.text"), F.lit("")).alias("text"))
-             .groupBy("run_id", "idx")
-             .agg(F.collect_list(F.when(F.col("type") == "token", F.struct("seq", "text"))).alias("tok"),
-                  F.collect_list(F.when(F.col("type") == "reasoning", F.struct("seq", "text"))).alias("rea")))
-    spans = spans.join(texts, ["run_id", "idx"], "left")
-
     # Runs the depth pairing cannot answer: an end with nothing open (depth below 0), a run_start below the
     # top level, or a pair whose end is of another type / names another tool id (a close from the middle).
     close_id = F.coalesce(F.col("ep").getItem("tool_use_id"), F.lit(""))
@@ -327,6 +319,13 @@ def _native(events: DataFrame) -> tuple[DataFrame, DataFrame]:
            .unionByName(spans.filter(mismatch).select("run_id"))
            .distinct())
 
+    texts = (lv_text.select("run_id", F.col("llm_idx").alias("idx"), "seq", "type",
+                            F.coalesce(F.get_json_object("data", "$.text"), F.lit("")).alias("text"))
+             .groupBy("run_id", "idx")
+             .agg(F.collect_list(F.when(F.col("type") == "token", F.struct("seq", "text"))).alias("tok"),
+                  F.collect_list(F.when(F.col("type") == "reasoning", F.struct("seq", "text"))).alias("rea")))
+    spans = spans.join(parents, ["run_id", "idx"], "left").join(texts, ["run_id", "idx"], "left")
+
     kind, sp, ep = F.col("kind"), F.col("sp"), F.col("ep")
     closed = F.col("end_seq").isNotNull()
     agent_or = lambda key: F.coalesce(sp.getItem(key), F.col("start_agent"), F.lit("agent"))
