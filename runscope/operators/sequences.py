@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 DAY_MICROS = 86_400_000_000
 
 
+def _attach(rows: DataFrame, per_chunk: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join each row to its (keys, chunk) entry. The chunk table is unique on (keys, chunk), so every row
+    with non-NULL keys finds exactly one entry and no row is ever dropped; rows whose key is NULL have no
+    sequence and get NULL. A plan that uses none of the per-chunk columns drops the join (and the chunk
+    aggregate) altogether."""
+    return rows.join(per_chunk, keys + ["_chunk"], "left")
+
+
 def running_sums(df: DataFrame, keys: list[str], chunk_of: Column, order_cols: list[str],
                  values: dict[str, Column], chunk_width: int = DAY_MICROS) -> DataFrame:
     """Add one column per ``values`` entry: the sum of that value over rows of the same ``keys`` up to and
@@ -30,7 +38,7 @@ def running_sums(df: DataFrame, keys: list[str], chunk_of: Column, order_cols: l
     offsets = totals.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_t_{tmp[n]}").over(before), F.lit(0))
                                                .alias(f"_o_{tmp[n]}") for n in names])
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    out = d.join(offsets, keys + ["_chunk"])
+    out = _attach(d, offsets, keys)
     out = out.select("*", *[(F.col(f"_o_{tmp[n]}") + F.sum(tmp[n]).over(inside)).alias(n) for n in names])
     return out.drop("_chunk", *tmp.values(), *[f"_o_{t}" for t in tmp.values()])
 
@@ -58,7 +66,7 @@ def running_last(df: DataFrame, keys: list[str], chunk_of: Column, order_cols: l
     carried = lasts.select(*keys, "_chunk", *[F.last(f"_c_{tmp[n]}", ignorenulls=True).over(before)
                                               .alias(f"_o_{tmp[n]}") for n in names])
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    out = d.join(carried, keys + ["_chunk"])
+    out = _attach(d, carried, keys)
     out = out.select("*", *[F.coalesce(F.last(tmp[n], ignorenulls=True).over(inside), F.col(f"_o_{tmp[n]}"))
                             .alias(n) for n in names])
     return out.drop("_chunk", *tmp.values(), *[f"_o_{t}" for t in tmp.values()])

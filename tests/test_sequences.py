@@ -29,3 +29,9 @@ def test_running_last_matches_window(spark):
     ref = df.withColumn("l", F.last("v", ignorenulls=True).over(w))
     assert got.count() == n
     assert got.select("k", "seq", "l").exceptAll(ref.select("k", "seq", "l")).count() == 0
+
+
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), (1, 1, 7)], "k int, seq long, v long")
+    got = {(r.k, r.seq): r.s for r in running_sums(df, ["k"], F.col("seq"), ["seq"], {"s": F.col("v")}).collect()}
+    assert len(got) == 3 and got[(1, 1)] == 7 and got[(None, 1)] is None
