@@ -111,6 +111,8 @@ def count_tokens(docs: DataFrame, tokenizer: bytes, cache_path: str | None = Non
     same = rows["doc_id"].eqNullSafe(misses["doc_id"]) & (rows["digest"] == misses["digest"])
     todo = rows.join(misses, same, "left_semi").select("digest", "text")
     counted = map_batches(todo, _encode(tokenizer, version), CACHE_SCHEMA)
+    # Rows that repeat both the id and the text of a stand-in have met it too; the cache takes one entry.
+    counted = counted.groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
     counted.write.mode("append").parquet(cache_path)
 
     cache = _read_cache(spark, cache_path, version)
