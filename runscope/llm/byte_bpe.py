@@ -10,7 +10,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,19 +83,38 @@ class ByteBpe:
         self._ids = {t: i for i, t in enumerate(self.vocabulary)}
         self._sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.vocabulary))
         self._split = regex.compile(pattern).findall
-        self._pieces = PieceEncoder(self._encode)
+        self._pieces = PieceEncoder(self._whole, self._spaced)
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        """Ids (little-endian, 4 bytes each) of each part; a pre-token that is an entry is that entry."""
-        cuts = [[p.encode("utf-8", "surrogatepass") for p in self._split(part)] for part in parts]
+    def _ids_of(self, pre_tokens: list[str]) -> list:
+        """Ids of each pre-token; a pre-token that is an entry of the vocabulary is that entry."""
+        data = [p.encode("utf-8", "surrogatepass") for p in pre_tokens]
         known = self._ids
-        todo = list({p for cut in cuts for p in cut if p not in known})
-        ids = dict(zip(todo, self._sp.encode([to_chars(p) for p in todo], num_threads=1) if todo else []))
-        return [np.array([i for p in cut for i in ((known[p],) if p in known else ids[p])], "<u4").tobytes()
-                for cut in cuts]
+        todo = list({d for d in data if d not in known})
+        ids = dict(zip(todo, self._sp.encode([to_chars(d) for d in todo], num_threads=1) if todo else []))
+        return [(known[d],) if d in known else ids[d] for d in data]
+
+    def _whole(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, little-endian, 4 bytes each."""
+        out = []
+        for part in parts:
+            ids = self._ids_of(self._split(part)) if part else ()
+            out.append(array("I", chain.from_iterable(ids)).tobytes())
+        return out
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Words after a space, pre-tokens of all of them in one go: each word starts at the one that has a space."""
+        pre_tokens = self._split(" " + " ".join(words))
+        ids = self._ids_of(pre_tokens)
+        at = [i for i, p in enumerate(pre_tokens) if p[0] == " "]
+        if len(at) != len(words):
+            raise ValueError("the pattern does not keep a space with the word after it")
+        return [array("I", chain.from_iterable(ids[a:b])).tobytes() for a, b in zip(at, [*at[1:], len(ids)])]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self._pieces(text), "<u4")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(ids, "<u4") for ids in self._pieces(texts)]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.asarray(ids).tolist()))
@@ -114,8 +135,7 @@ def _encode_decode(rank_file: bytes, pattern: str, wanted: tuple[str, ...]):
         model = _model(rank_file, pattern)
         for batch in batches:
             out = {name: [] for name in wanted}
-            for text in texts(batch):
-                ids = model.encode(text)
+            for ids in model.encode_all(texts(batch)):
                 data = model.decode(ids)
                 for name, value in (("ids", ids), ("n_tokens", len(ids)),
                                     ("ids_sha256", hashlib.sha256(ids).hexdigest()), ("decoded", data),

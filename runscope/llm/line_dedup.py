@@ -87,7 +87,7 @@ def content(line: str) -> str:
 
 _LINE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line_no", pa.int32()), ("digest", pa.binary()),
                    ("n", pa.int32()), ("halves", pa.list_(pa.int64()))])
-_NEAR = pa.schema([("digest", pa.binary()), ("n", pa.int32()), ("line", pa.string()),
+_NEAR = pa.schema([("rank", pa.int64()), ("n", pa.int32()), ("line", pa.string()),
                    ("hashes", pa.list_(pa.int64()))])
 
 
@@ -130,22 +130,20 @@ def _lines(min_chars: int):
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
     for batch in batches:
         def rows():
-            for text, wanted in zip(texts(batch), batch.column("line_nos").to_pylist()):
+            for text, wanted in zip(texts(batch), batch.column("wanted").to_pylist()):
                 lines = text.split("\n")
-                for no in wanted:
-                    yield (content(lines[no]),)
-        for chunk in _in_chunks(rows(), lambda r: 16 * len(r[0])):
-            lines = [r[0] for r in chunk]
+                for w in wanted:
+                    yield w["rank"], content(lines[w["line_no"]])
+        for chunk in _in_chunks(rows(), lambda r: 16 * len(r[1])):
+            lines = [r[1] for r in chunk]
             sums = Prefixes(lines)
-            hashes = [sums.variants(i).view(np.int64) for i in range(len(lines))]
             yield pa.RecordBatch.from_arrays([
-                pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines], pa.binary()),
-                pa.array([len(x) for x in lines], pa.int32()), pa.array(lines, pa.string()),
-                pa.array(hashes, pa.list_(pa.int64()))], schema=_NEAR)
+                pa.array([r[0] for r in chunk], pa.int64()), pa.array([len(x) for x in lines], pa.int32()),
+                pa.array(lines, pa.string()),
+                pa.array([sums.variants(i).view(np.int64) for i in range(len(lines))], pa.list_(pa.int64()))],
+                schema=_NEAR)
 
 
 def _near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -157,39 +155,36 @@ def _near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     met = halves.join(shared, "half", "left_semi").select("id").distinct()
     able = classes.where(F.size("halves") > 0).withColumn("id", F.xxhash64("digest")).join(met, "id", "left_semi")
     able = cut(able.select("digest", "first"), "lines-able")
+    # Numbers in the order of the first places: a distributed sort, then ids that ascend with the partitions.
+    able = cut(able.orderBy("first").withColumn("rank", F.monotonically_increasing_id()), "lines-ranked")
 
     # Their texts, and the hashes of the line and of all lines with one character less.
-    wanted = able.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).agg(
-        F.collect_list("first.line_no").alias("line_nos"))
-    wanted = cut(wanted, "lines-wanted")
-    rows, found = doc_rows(docs), small(wanted, 40, "line_nos")
-    asked = rows.join(found, same_doc(rows, found)).select("text", "line_nos")
-    near = map_batches(asked, _variants, "digest binary, n int, line string, hashes array<long>")
-    near = cut(near.dropDuplicates(["digest"]).join(able, "digest"), "lines-near")
-
-    # place -1: the line itself; n is the length that is left.
-    who = F.struct("first", "digest")
-    keys = near.select(who.alias("who"), "n", F.posexplode("hashes").alias("place", "hash"))
-    keys = keys.select("who", "hash", (F.col("place") - 1).alias("place"),
-                       F.when(F.col("place") == 0, F.col("n")).otherwise(F.col("n") - 1).alias("n"))
-    keys = cut(keys, "lines-variants")
-    # One replaced character: both sides lack the same place. The earliest of such a group is within one edit of all.
-    replaced = keys.where("place >= 0").groupBy("hash", "n", "place").agg(
-        F.min("who").alias("early"), F.max("who").alias("late")).where("early <> late").drop("late")
-    by_replaced = keys.join(replaced, ["hash", "n", "place"]).select("who", "early")
-    # One character more or less: a line equals a variant of another one.
-    met = keys.groupBy("hash", "n").agg(F.min(F.when(F.col("place") < 0, F.col("who"))).alias("line"),
-                                        F.min(F.when(F.col("place") >= 0, F.col("who"))).alias("variant"))
-    met = met.where("line IS NOT NULL AND variant IS NOT NULL")
-    by_length = keys.join(met, ["hash", "n"]).select("who", F.when(F.col("place") < 0, F.col("variant")).otherwise(
-        F.col("line")).alias("early"))
-    pairs = by_replaced.union(by_length).where("early.first < who.first").select(
-        F.col("who.digest").alias("digest"), F.col("early.digest").alias("by")).distinct()
-
-    line = near.select("digest", "line")
-    of_early = near.select(F.col("digest").alias("by"), F.col("line").alias("early_line"))
-    pairs = pairs.join(line, "digest").join(of_early, "by")
-    return cut(pairs.where(F.levenshtein("line", "early_line") <= 1).select("digest").distinct(), "lines-within")
+    wanted = cut(able.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).agg(
+        F.collect_list(F.struct("first.line_no", "rank")).alias("wanted")), "lines-wanted")
+    rows, found = doc_rows(docs), small(wanted, 40, "wanted", 32)
+    asked = rows.join(found, same_doc(rows, found)).select("text", "wanted")
+    near = cut(map_batches(asked, _variants, "rank long, n int, line string, hashes array<long>"), "lines-near")
+
+    variants = near.select("rank", "n", F.posexplode("hashes").alias("place", "hash")).where("place > 0")
+    # One replaced character: both lines lack the same place, and the earliest of such a group is within one edit of
+    # all. Nearly all groups that are left have two members; larger ones are looked up once more.
+    replaced = variants.select(F.xxhash64("hash", "n", "place").alias("key"), "rank")
+    groups = cut(replaced.groupBy("key").agg(F.min("rank").alias("early"), F.max("rank").alias("late"),
+                                             F.count("*").alias("n")).where("early < late"), "lines-groups")
+    large = small(groups.where("n > 2").select("key", "early"), 24)
+    pairs = groups.where("n = 2").select("late", "early").union(
+        replaced.join(large, "key").where("early < rank").select(F.col("rank").alias("late"), "early"))
+    # One character more or less: a line equals a variant of another one. Each variant meets one line at most.
+    own = small(near.select(F.col("hashes")[0].alias("hash"), "n", F.col("rank").alias("other")), 32)
+    longer = variants.select("hash", (F.col("n") - 1).alias("n"), "rank").join(own, ["hash", "n"])
+    pairs = pairs.union(longer.select(F.greatest("rank", "other").alias("late"),
+                                      F.least("rank", "other").alias("early"))).distinct()
+
+    line = near.select(F.col("rank").alias("late"), F.col("line").alias("late_line")).dropDuplicates(["late"])
+    early = near.select(F.col("rank").alias("early"), F.col("line").alias("early_line")).dropDuplicates(["early"])
+    pairs = pairs.join(line, "late").join(early, "early")
+    within = pairs.where(F.levenshtein("late_line", "early_line") <= 1).select(F.col("late").alias("rank")).distinct()
+    return cut(able.join(within, "rank", "left_semi").select("digest"), "lines-within")
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -29,7 +29,7 @@ from runscope.llm.common import cut, map_batches, scratch_path, worker_memo
 from runscope.llm.shards import map_arrays, write_arrays
 
 #: Tokens that are counted together in a task before they are sent on.
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_500_000
 #: Bytes of text that are hashed at once.
 HASH_BYTES = 2 << 20
 

@@ -11,36 +11,59 @@ import re
 from collections.abc import Callable
 
 #: Entries of a worker's memo before it starts afresh (bounds its memory, never the result).
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 600_000
 #: Pieces longer than this are not kept in the memo.
-MEMO_CHARS = 64
+MEMO_CHARS = 48
+#: Characters of texts that are cut into pieces at once.
+GROUP_CHARS = 1 << 21
 
 _RUN = re.compile(r"\s\s")
 
 
 class PieceEncoder:
-    """Text -> bytes of ids, by ``encode(list of texts) -> list of bytes``."""
+    """Texts -> bytes of their ids.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self._encode = encode
+    ``whole`` encodes texts as they are. ``spaced`` encodes words that all follow a single space, none of which holds
+    a space or has white space at an end.
+    """
+
+    def __init__(self, whole: Callable[[list[str]], list[bytes]], spaced: Callable[[list[str]], list[bytes]]):
+        self._whole, self._spaced = whole, spaced
         self._memo: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0] == " " or text[-1] == " " or _RUN.search(text):
-            return self._encode([text])[0]
-        head, *rest = text.split(" ")
-        memo = self._memo
-        missing = [w for w in set(rest) if w not in memo]
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out, at = [], 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= GROUP_CHARS):
+                size += len(texts[to])
+                to += 1
+            out += self._group(texts[at:to])
+            at = to
+        return out
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        heads, tails, words = [], [], set()
+        for text in texts:
+            if not text or text[-1].isspace() or text[0] == " " or _RUN.search(text):
+                heads.append(text)
+                tails.append(())
+            else:
+                head, *tail = text.split(" ")
+                heads.append(head)
+                tails.append(tail)
+                words.update(tail)
+        memo, extra = self._memo, {}
+        missing = words - memo.keys()
         if len(memo) + len(missing) > MEMO_ENTRIES:
             memo.clear()
-            missing = list(set(rest))
-        extra = {}
+            missing = words
         if missing:
-            for w, ids in zip(missing, self._encode([" " + w for w in missing])):
-                (memo if len(w) <= MEMO_CHARS else extra)[w] = ids
-        first = self._encode([head])[0]
+            missing = list(missing)
+            for word, ids in zip(missing, self._spaced(missing)):
+                (memo if len(word) <= MEMO_CHARS else extra)[word] = ids
+        get = memo.__getitem__
         if extra:
-            return first + b"".join([memo[w] if w in memo else extra[w] for w in rest])
-        return first + b"".join(map(memo.__getitem__, rest))
+            def get(word):
+                return extra[word] if word in extra else memo[word]
+        return [first + b"".join(map(get, tail)) for first, tail in zip(self._whole(heads), tails)]

@@ -43,10 +43,24 @@ def _encoder(tokenizer: bytes) -> tuple[PieceEncoder, int]:
     width = 2 if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     kind = f"<u{width}"
 
-    def encode(parts: list[str]) -> list[bytes]:
+    # Words after a space are encoded as one text: the token that starts a word is the one that holds its space.
+    space = "\u0120"  # how the byte alphabet of these files writes a space
+    starts = np.zeros(tok.get_vocab_size(with_added_tokens=True) + 1, bool)
+    for token, i in tok.get_vocab(with_added_tokens=True).items():
+        starts[i] = token.startswith(space)
+
+    def whole(parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=kind).tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
 
-    return PieceEncoder(encode), width
+    def spaced(words: list[str]) -> list[bytes]:
+        ids = np.array(tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids)
+        at = (np.flatnonzero(starts[ids]) * width).tolist()
+        data = ids.astype(kind).tobytes()
+        if len(at) != len(words):
+            raise ValueError("this vocabulary does not start words with their space")
+        return [data[a:b] for a, b in zip(at, [*at[1:], len(data)])]
+
+    return PieceEncoder(whole, spaced), width
 
 
 def _blocks(tokenizer: bytes, end_id: int):
@@ -66,8 +80,9 @@ def _blocks(tokenizer: bytes, end_id: int):
                 "doc_ids": doc_ids}], schema=_ARROW)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-                ids += encode(text) + end
+            for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), encode(texts(batch))):
+                ids += encoded
+                ids += end
                 doc_ids.append(doc_id)
                 ends.append(len(ids) // width)
                 if ends[-1] >= BLOCK_IDS:

@@ -72,17 +72,19 @@ def test_word_counter_on_random_texts(word_json):
 def test_piece_encoder_on_random_texts(byte_json):
     encode, width = token_binary._encoder(vocabulary_file("byte_bpe_50k.json"))
     assert width == 2
-    for t in random_texts(3000, 2):
-        assert np.frombuffer(encode(t), "<u2").tolist() == byte_json.encode(t, add_special_tokens=False).ids, repr(t)
+    texts = random_texts(3000, 2)
+    for t, ids in zip(texts, encode(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == byte_json.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_piece_encoder_forgets_without_harm(monkeypatch):
     import runscope.llm.pieces as pieces
 
     monkeypatch.setattr(pieces, "MEMO_ENTRIES", 3)
-    encode = PieceEncoder(lambda parts: [p.encode() for p in parts])
-    for t in ("a b c d e f", "f e d c b a", "a  b", " a", "x" * 100 + " y" + "z" * 100):
-        assert encode(t) == t.encode()
+    monkeypatch.setattr(pieces, "GROUP_CHARS", 20)
+    encode = PieceEncoder(lambda parts: [p.encode() for p in parts], lambda words: [b" " + w.encode() for w in words])
+    texts = ["a b c d e f", "f e d c b a", "a  b", " a", "x" * 100 + " y" + "z" * 100, "", "a\n", "a b"]
+    assert encode(texts) == [t.encode() for t in texts]
 
 
 def test_token_documents(spark, byte_json):
