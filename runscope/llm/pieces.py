@@ -10,12 +10,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Entries of a worker's memo before it starts afresh (bounds its memory, never the result).
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 800_000
 #: Pieces longer than this are not kept in the memo.
 MEMO_CHARS = 48
 #: Characters of texts that are cut into pieces at once.
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 23
 
 _RUN = re.compile(r"\s\s")
 
@@ -43,27 +47,32 @@ class PieceEncoder:
         return out
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        heads, tails, words = [], [], set()
-        for text in texts:
-            if not text or text[-1].isspace() or text[0] == " " or _RUN.search(text):
-                heads.append(text)
-                tails.append(())
-            else:
-                head, *tail = text.split(" ")
-                heads.append(head)
-                tails.append(tail)
-                words.update(tail)
+        cut = [bool(t) and not (t[-1].isspace() or t[0] == " " or _RUN.search(t)) for t in texts]
+        words = pc.split_pattern(pa.array([t if c else "" for t, c in zip(texts, cut)], pa.large_string()), " ")
+        at = words.offsets.to_numpy()
+        words = words.flatten().dictionary_encode()
+        # The first word of a text has no space before it: it is encoded by itself, as are texts that can't be cut.
+        firsts = [t[:t.find(" ")] if c and " " in t else t for t, c in zip(texts, cut)]
+        distinct = words.dictionary.to_pylist()
+        pieces = self._pieces(distinct) + self._whole(firsts)
+        index = words.indices.to_numpy().astype(np.int64)
+        index[at[:-1]] = len(distinct) + np.arange(len(texts))
+        found = pa.array(pieces, pa.large_binary()).take(pa.array(index))
+        _, offsets, data = found.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(found) + 1)[at].tolist()
+        data = memoryview(data)
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def _pieces(self, words: list[str]) -> list[bytes]:
         memo, extra = self._memo, {}
-        missing = words - memo.keys()
+        missing = [w for w in words if w and w not in memo]
         if len(memo) + len(missing) > MEMO_ENTRIES:
             memo.clear()
-            missing = words
+            missing = [w for w in words if w]
         if missing:
-            missing = list(missing)
             for word, ids in zip(missing, self._spaced(missing)):
                 (memo if len(word) <= MEMO_CHARS else extra)[word] = ids
-        get = memo.__getitem__
+        memo[""] = b""  # stands for texts without words only
         if extra:
-            def get(word):
-                return extra[word] if word in extra else memo[word]
-        return [first + b"".join(map(get, tail)) for first, tail in zip(self._whole(heads), tails)]
+            return [extra[w] if w in extra else memo[w] for w in words]
+        return list(map(memo.__getitem__, words))

@@ -115,6 +115,9 @@ def count_tokens(docs: DataFrame, tokenizer: bytes, cache_path: str | None = Non
     counted = counted.groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
     counted.write.mode("append").parquet(cache_path)
 
-    cache = _read_cache(spark, cache_path, version)
+    # The counts of this table's digests as a table of their own: a digest that very many rows share is then one that
+    # the join may split.
+    cache = cut(keys.select("digest").distinct().join(_read_cache(spark, cache_path, version), "digest"),
+                "token-counts")
     return keys.join(cache, "digest").select("doc_id", "n_bytes", "n_tokens",
                                              (F.col("n_tokens") > limit).alias("over_limit"))
