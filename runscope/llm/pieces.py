@@ -20,6 +20,8 @@ MEMO_ENTRIES = 800_000
 MEMO_CHARS = 48
 #: Characters of texts that are cut into pieces at once.
 GROUP_CHARS = 1 << 23
+#: Words that are encoded as one text (more take more memory, and more time a word).
+AT_ONCE = 8192
 
 _RUN = re.compile(r"\s\s")
 
@@ -69,8 +71,9 @@ class PieceEncoder:
         if len(memo) + len(missing) > MEMO_ENTRIES:
             memo.clear()
             missing = [w for w in words if w]
-        if missing:
-            for word, ids in zip(missing, self._spaced(missing)):
+        for at in range(0, len(missing), AT_ONCE):
+            some = missing[at:at + AT_ONCE]
+            for word, ids in zip(some, self._spaced(some)):
                 (memo if len(word) <= MEMO_CHARS else extra)[word] = ids
         memo[""] = b""  # stands for texts without words only
         if extra:

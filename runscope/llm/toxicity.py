@@ -8,6 +8,7 @@ sentences offend.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from runscope.llm.common import cut, doc_rows, map_batches, small, texts, withou
 
 #: The training sample: at most so many labelled documents of each label, and so many bytes of their text, in the
 #: order of a hash of the doc_id. Whole texts are used.
-SAMPLE_DOCS, SAMPLE_BYTES = 3000, 24 << 20
+SAMPLE_DOCS, SAMPLE_BYTES = 2500, 16 << 20
 #: Words kept as features: those in at least MIN_DOCS sample documents, the MAX_WORDS most telling ones.
 MIN_DOCS, MAX_WORDS = 4, 4000
 EPOCHS, RATE, DECAY = 300, 0.1, 3e-5
@@ -87,29 +88,30 @@ def fit(sample: list[tuple[str, int]], max_words: int = MAX_WORDS, min_docs: int
     labels = np.array([y for _, y in sample], dtype=np.float64)
     if len(set(labels)) < 2:
         return MilModel({}, -20.0)
-    bags = [[Counter(f for w in s.split() for f in features(w)) for s in sentences(t)] for t, _ in sample]
     seen = [Counter(), Counter()]
-    for bag, y in zip(bags, labels):
-        seen[int(y)].update(set().union(*bag) if bag else ())
+    for text, y in sample:
+        seen[int(y)].update({f for w in set(" ".join(sentences(text)).split()) for f in features(w)})
     n = [max(1.0, float((labels == y).sum())) for y in (0, 1)]
     # Features by how far their rates of documents differ between the labels, in standard errors.
     telling = {}
-    for w in seen[0] | seen[1]:
+    for w in seen[0].keys() | seen[1].keys():
         a, b = seen[0][w], seen[1][w]
         if a + b >= min_docs:
             rate = (a + b) / (n[0] + n[1])
             telling[w] = abs(b / n[1] - a / n[0]) / np.sqrt(rate * (1 - rate) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    del seen
     words = sorted(telling, key=lambda w: (-telling[w], w))[:max_words]
     index = {w: i for i, w in enumerate(words)}
-    rows, cols, counts, doc_of = [], [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            if s:
-                for w, c in s.items():
-                    if w in index:
-                        rows.append(len(doc_of))
-                        cols.append(index[w])
-                        counts.append(float(c))
+    # Sentences as (sentence, feature, count) triples: numbers only, however long the texts are.
+    rows, cols, counts, doc_of = array("q"), array("q"), array("d"), array("q")
+    for d, (text, _) in enumerate(sample):
+        for part in sentences(text):
+            found = part.split()
+            if found:
+                for i, c in Counter(index[f] for w in found for f in features(w) if f in index).items():
+                    rows.append(len(doc_of))
+                    cols.append(i)
+                    counts.append(float(c))
                 doc_of.append(d)
     rows, cols, counts = np.array(rows, np.int64), np.array(cols, np.int64), np.array(counts)
     doc_of = np.array(doc_of, np.int64)
