@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bound on one Arrow batch sent to a Python worker, so that very long texts do not pile up in its memory.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -24,7 +24,7 @@ from runscope.llm.common import columns_of, cut, doc_rows, keyed, map_batches, s
 #: Lines of fewer characters are compared for equality only: one edit makes another word of a short one.
 MIN_CHARS = 16
 #: Characters hashed at once in a worker.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of a worker's memo before it starts afresh (bounds its memory, never the result).
-MEMO_ENTRIES = 800_000
+#: Entries of a worker's memo before it starts afresh, keeping those before as an older one whose entries come back
+#: when they are asked for (bounds its memory, never the result).
+MEMO_ENTRIES = 600_000
 #: Pieces longer than this are not kept in the memo.
 MEMO_CHARS = 48
 #: Characters of texts that are cut into pieces at once.
@@ -36,6 +37,7 @@ class PieceEncoder:
     def __init__(self, whole: Callable[[list[str]], list[bytes]], spaced: Callable[[list[str]], list[bytes]]):
         self._whole, self._spaced = whole, spaced
         self._memo: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out, at = [], 0
@@ -66,11 +68,15 @@ class PieceEncoder:
         return [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
 
     def _pieces(self, words: list[str]) -> list[bytes]:
-        memo, extra = self._memo, {}
-        missing = [w for w in words if w and w not in memo]
-        if len(memo) + len(missing) > MEMO_ENTRIES:
-            memo.clear()
-            missing = [w for w in words if w]
+        if len(self._memo) > MEMO_ENTRIES:
+            self._old, self._memo = self._memo, {}
+        memo, old, extra, missing = self._memo, self._old, {}, []
+        for w in words:
+            if w not in memo:
+                if w in old:
+                    memo[w] = old[w]
+                elif w:
+                    missing.append(w)
         for at in range(0, len(missing), AT_ONCE):
             some = missing[at:at + AT_ONCE]
             for word, ids in zip(some, self._spaced(some)):

@@ -145,12 +145,13 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     any doc_id, the rows of the smallest text hash stay.
     """
     found = cut(near_duplicates(docs, shingle_words), "simhash-found")
-    named = found.where("component_id IS NOT NULL").select("doc_id", "th", "component_id")
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("th").alias("kept"))
-    kept = kept.select(F.col("doc_id").alias("component_id"), "kept")
-    drop = named.join(kept, "component_id").where("NOT (doc_id <=> component_id AND th = kept)")
+    drop = found.where("component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select("doc_id", "th")
+    # The id that stays may have rows of several texts: those of the smallest hash stay.
+    stays = found.where("doc_id = component_id").select("doc_id", "th")
+    kept = stays.groupBy("doc_id").agg(F.min("th").alias("kept"))
+    drop = drop.union(stays.join(kept, "doc_id").where("th <> kept").select("doc_id", "th"))
     nameless = found.where("component_id IS NULL").select("doc_id", "th", "fingerprint")
     first = nameless.groupBy("fingerprint").agg(F.min("th").alias("kept"))
-    drop = drop.select("doc_id", "th").union(
+    drop = drop.union(
         nameless.join(first, "fingerprint").where("th <> kept").select("doc_id", "th"))
     return without(docs, cut(drop.distinct(), "simhash-drop"))
