@@ -35,8 +35,8 @@ CLOSE_TYPE = {"run_end": "run", "invocation_end": "invocation", "model_call_end"
               "sub_agent_end": "agent"}
 # Span types whose end payload may carry its own duration.
 PAYLOAD_DURATION = {"run", "tool", "agent"}
-# A seq stride larger than any run's event count: chunks of the running sums.
-SEQ_CHUNK = 1 << 20
+# Width in seq of a chunk of the running sums: a longer run is split into several.
+SEQ_CHUNK = 1 << 16
 
 
 # ---- TR-1: exact stack replay --------------------------------------------------------------------------------
@@ -56,140 +56,140 @@ def _ms(ts: str | None):
     return t.value // 1_000_000
 
 
-def _first(d: dict, *keys, default=None):
-    """JS ``a ?? b ?? c`` over dict lookups: the first value that is present and not null."""
-    for k in keys:
-        v = d.get(k)
-        if v is not None:
-            return v
-    return default
-
+def _number(value) -> float | None:
+    """A payload number; None for what is no number (text such as '1.5s' included)."""
+    try:
+        return None if value is None else float(value)
+    except (TypeError, ValueError):
+        return None
 
-class SpanMachine:
-    """The span stack of one run. ``apply`` takes events in seq order; closed spans are kept (batch replay)
-    or handed out and dropped (live mode, ``keep_closed=False``) so only open spans stay in memory/state."""
 
-    def __init__(self, keep_closed: bool = True, next_id: int = 0, stack: list[dict] | None = None):
-        self.keep_closed = keep_closed
-        self.next_id = next_id
-        self.nodes: dict[int, dict] = {}
-        self.stack: list[int] = []
-        for n in stack or []:
-            self.nodes[n["id"]] = n
-            self.stack.append(n["id"])
-        self.closed: list[dict] = []
-
-    def _create(self, kind, name, seq, ts, data):
-        tid = data.get("tool_use_id")
-        parent = self.stack[-1] if self.stack and kind != "run" else None
-        node = {"id": self.next_id, "kind": kind, "name": name, "start_seq": seq, "end_seq": None, "start": ts,
-                "end": None, "duration": None, "status": "running", "data": dict(data), "parent": parent,
-                "depth": 0 if parent is None else self.nodes[parent]["depth"] + 1, "children": [],
-                "tool_use_id": tid if isinstance(tid, str) else None, "tokens": "", "reasoning": ""}
-        self.next_id += 1
-        self.nodes[node["id"]] = node
-        if parent is not None and self.keep_closed:
-            self.nodes[parent]["children"].append(node["id"])
-        return node["id"]
-
-    def _pop_type(self, kind):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.nodes[self.stack[i]]["kind"] == kind:
-                return self.stack.pop(i)
-        return None
+def _payload(raw) -> dict:
+    try:
+        data = json.loads(raw) if isinstance(raw, str) and raw else {}
+    except ValueError:
+        return {}
+    return data if isinstance(data, dict) else {}
+
+
+def _given(value, otherwise):
+    return otherwise if value is None else value
+
+
+# What an event opens: span type, and the name from its payload and agent.
+_OPENS = {
+    "run_start": ("run", lambda d, agent: f"Run: {_given(d.get('agent_type'), agent)}"),
+    "invocation_start": ("invocation", lambda d, agent: f"Invocation: {_given(d.get('agent_name'), agent)}"),
+    "model_call_start": ("llm", lambda d, agent: "LLM Call"),
+    "tool_start": ("tool", lambda d, agent: f"Tool: {_given(d.get('tool_name'), 'unknown')}"),
+    "sub_agent_start": ("agent", lambda d, agent: f"Agent: {_given(d.get('sub_agent_name'), 'unknown')}"),
+    "metrics": ("metrics", lambda d, agent: "Final Metrics"),
+}
+# When a closing payload means failure, by span type.
+_FAILED = {
+    "run": lambda d: not d.get("success"),
+    "invocation": lambda d: False,
+    "llm": lambda d: bool(d.get("error")),
+    "tool": lambda d: d.get("status") == "error",
+    "agent": lambda d: d.get("status") == "error",
+}
+# Which text of a span an event adds to.
+_TEXT = {"token": "tokens", "reasoning": "reasoning"}
+
+
+class OpenSpans:
+    """The open spans of one run, found by type or by tool id.
+
+    Span numbers ascend, so the innermost open span is always the one with the highest number: of all, of a type, or
+    of a tool id. Each of these is an ascending list, a look-up is its last element.
+    """
 
-    def _pop_tool(self, tool_use_id, kind):
-        if tool_use_id:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.nodes[self.stack[i]]["tool_use_id"] == tool_use_id:
-                    return self.stack.pop(i)
-        return self._pop_type(kind)
-
-    def _nearest(self, kind):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.nodes[self.stack[i]]["kind"] == kind:
-                return self.stack[i]
-        return None
+    def __init__(self, spans: list[dict] = ()):
+        self.lists: dict[tuple, list[int]] = {}
+        self.spans: dict[int, dict] = {}
+        for span in spans:
+            self.add(span)
 
     @staticmethod
-    def _calc(n):
-        a, b = _ms(n["start"]), _ms(n["end"])
-        if a is None or b is None:
-            return None
-        return max(0.0, (b - a) / 1000)
-
-    def apply(self, etype: str, seq: int, ts, agent, raw_data) -> None:
-        try:
-            data = json.loads(raw_data) if isinstance(raw_data, str) and raw_data else {}
-        except ValueError:
-            data = {}
-        if not isinstance(data, dict):
-            data = {}
-        agent_or = agent if agent is not None else "agent"
-        if etype == "run_start":
-            self.stack.append(self._create("run", f"Run: {_first(data, 'agent_type', default=agent_or)}", seq, ts, data))
-        elif etype == "invocation_start":
-            self.stack.append(self._create("invocation", f"Invocation: {_first(data, 'agent_name', default=agent_or)}",
-                                           seq, ts, data))
-        elif etype == "model_call_start":
-            self.stack.append(self._create("llm", "LLM Call", seq, ts, data))
-        elif etype == "tool_start":
-            self.stack.append(self._create("tool", f"Tool: {_first(data, 'tool_name', default='unknown')}", seq, ts, data))
-        elif etype == "sub_agent_start":
-            self.stack.append(self._create("agent", f"Agent: {_first(data, 'sub_agent_name', default='unknown')}",
-                                           seq, ts, data))
-        elif etype == "metrics":
-            i = self._create("metrics", "Final Metrics", seq, ts, data)
-            self.nodes[i]["status"] = None
-            self._finish(i)
+    def _keys(span: dict) -> list[tuple]:
+        return [("any",), ("type", span["kind"])] + ([("tool", span["tool_use_id"])] if span["tool_use_id"] else [])
+
+    def add(self, span: dict) -> None:
+        self.spans[span["id"]] = span
+        for k in self._keys(span):
+            self.lists.setdefault(k, []).append(span["id"])
+
+    def innermost(self, *key) -> dict | None:
+        ids = self.lists.get(key)
+        return self.spans[ids[-1]] if ids else None
+
+    def remove(self, span: dict) -> None:
+        del self.spans[span["id"]]
+        for k in self._keys(span):
+            ids = self.lists[k]
+            ids.remove(span["id"])
+            if not ids:
+                del self.lists[k]
+
+
+class SpanReplay:
+    """Replays the events of one run, in seq order. ``done`` collects the spans that closed; ``next_id`` and the open
+    spans are all that has to be kept between two parts of a run."""
+
+    def __init__(self, next_id: int = 0, open_spans: list[dict] = ()):
+        self.next_id = next_id
+        self.open = OpenSpans(open_spans)
+        self.done: list[dict] = []
+
+    def feed(self, etype: str, seq: int, ts, agent, raw) -> None:
+        data = _payload(raw)
+        if etype in _OPENS:
+            self._opened(etype, seq, ts, _given(agent, "agent"), data)
         elif etype in CLOSE_TYPE:
-            kind = CLOSE_TYPE[etype]
-            i = self._pop_tool(data.get("tool_use_id"), kind) if kind in ("tool", "agent") else self._pop_type(kind)
-            if i is None:
-                return
-            n = self.nodes[i]
-            n["end"], n["end_seq"] = ts, seq
-            if kind in PAYLOAD_DURATION and data.get("duration_s") is not None:
-                n["duration"] = float(data["duration_s"])
-            else:
-                n["duration"] = self._calc(n)
-            if kind == "run":
-                n["status"] = "success" if data.get("success") else "error"
-            elif kind == "llm":
-                n["status"] = "error" if data.get("error") else "success"
-            elif kind in ("tool", "agent"):
-                n["status"] = "error" if data.get("status") == "error" else "success"
-            else:
-                n["status"] = "success"
-            n["data"] = {**n["data"], **data}
-            if kind == "llm" and n["data"].get("stop_reason"):
-                n["name"] = f"LLM Call ({n['data']['stop_reason']})"
-            self._finish(i)
-        elif etype == "token":
-            i = self._nearest("llm")
-            if i is not None:
-                self.nodes[i]["tokens"] += str(_first(data, "text", default=""))
-        elif etype == "reasoning":
-            i = self._nearest("llm")
-            if i is not None:
-                self.nodes[i]["reasoning"] += str(_first(data, "text", default=""))
-
-    def _finish(self, i: int) -> None:
-        if not self.keep_closed:
-            self.closed.append(self.nodes.pop(i))
-
-    def open_nodes(self) -> list[dict]:
-        return [self.nodes[i] for i in self.stack]
-
-    def preorder(self) -> dict[int, int]:
-        """Pre-order position: roots in creation order, children in creation order (batch mode only)."""
-        pos: dict[int, int] = {}
-        todo = [i for i in sorted(self.nodes, reverse=True) if self.nodes[i]["parent"] is None]
-        while todo:
-            i = todo.pop()
-            pos[i] = len(pos)
-            todo.extend(reversed(self.nodes[i]["children"]))
-        return pos
+            self._closed(CLOSE_TYPE[etype], seq, ts, data)
+        elif etype in _TEXT and (span := self.open.innermost("type", "llm")):
+            span[_TEXT[etype]] += str(_given(data.get("text"), ""))
+
+    def _opened(self, etype, seq, ts, agent, data) -> None:
+        kind, name = _OPENS[etype]
+        # A run is a root wherever it starts.
+        around = None if kind == "run" else self.open.innermost("any")
+        tool = data.get("tool_use_id")
+        span = {"id": self.next_id, "kind": kind, "name": name(data, agent), "start_seq": seq, "end_seq": None,
+                "start": ts, "end": None, "duration": None, "status": "running", "data": data,
+                "parent": around and around["id"], "depth": around["depth"] + 1 if around else 0,
+                "tool_use_id": tool if isinstance(tool, str) else None, "tokens": "", "reasoning": ""}
+        self.next_id += 1
+        if kind == "metrics":  # a point, never open
+            self.done.append(span | {"status": None})
+        else:
+            self.open.add(span)
+
+    def _closed(self, kind, seq, ts, data) -> None:
+        span = None
+        if kind in ("tool", "agent") and isinstance(data.get("tool_use_id"), str):
+            span = self.open.innermost("tool", data["tool_use_id"])
+        span = span or self.open.innermost("type", kind)
+        if span is None:
+            return
+        self.open.remove(span)
+        took = _number(data.get("duration_s")) if kind in PAYLOAD_DURATION else None
+        if took is None:
+            begin, end = _ms(span["start"]), _ms(ts)
+            took = None if begin is None or end is None else max(0.0, (end - begin) / 1000)
+        span |= {"end": ts, "end_seq": seq, "duration": took, "data": span["data"] | data,
+                 "status": "error" if _FAILED[kind](data) else "success"}
+        if kind == "llm" and span["data"].get("stop_reason"):
+            span["name"] = f"LLM Call ({span['data']['stop_reason']})"
+        self.done.append(span)
+
+
+def preorder_positions(spans: list[dict]) -> dict[int, int]:
+    """Place of each span when every span is followed by its children, both in the order of their numbers."""
+    path: dict[int, tuple] = {}
+    for span in sorted(spans, key=lambda x: x["id"]):  # a parent has a lower number than its children
+        path[span["id"]] = path.get(span["parent"], ()) + (span["id"],)
+    return {i: at for at, i in enumerate(sorted(path, key=path.get))}
 
 
 def span_row(run_id, n: dict, preorder) -> dict:
@@ -205,13 +205,13 @@ def span_row(run_id, n: dict, preorder) -> dict:
 def replay_run(pdf: pd.DataFrame) -> pd.DataFrame:
     """Replay one run's events (sorted by seq here) into span rows, open spans included as 'running'."""
     pdf = pdf.sort_values("seq", kind="stable")
-    m = SpanMachine(keep_closed=True)
+    replay = SpanReplay()
     for ev in pdf.itertuples(index=False):
-        m.apply(ev.type, int(ev.seq), ev.timestamp, ev.agent, ev.data)
-    pos = m.preorder()
+        replay.feed(ev.type, int(ev.seq), ev.timestamp, ev.agent, ev.data)
+    spans = sorted([*replay.done, *replay.open.spans.values()], key=lambda x: x["id"])
+    at = preorder_positions(spans)
     run_id = pdf["run_id"].iloc[0] if len(pdf) else None
-    rows = [span_row(run_id, m.nodes[i], pos[i]) for i in sorted(m.nodes)]
-    return pd.DataFrame(rows, columns=SPAN_SCHEMA_NAMES)
+    return pd.DataFrame([span_row(run_id, x, at[x["id"]]) for x in spans], columns=SPAN_SCHEMA_NAMES)
 
 
 SPAN_SCHEMA_NAMES = [c.strip().split(" ")[0] for c in SPAN_SCHEMA.split(",")]

@@ -18,23 +18,34 @@ from runscope.session import scratch_path
 from runscope.sources import bindings as B
 from runscope.streaming import live as S
 
-N_FILES = 4
+# The events arrive in this many parts, one after the other; each part is written, ingested and streamed on.
+ARRIVALS = 4
 
 
-def _write_source(events: DataFrame, path: str, by_run: bool) -> None:
+def _arrivals(events: DataFrame) -> list[DataFrame]:
+    """The events dealt out over the arrivals by seq within their run, so that every long run spans all of them."""
+    last = events.groupBy("run_id").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    dealt = events.join(last, "run_id").withColumn("part", F.least(F.lit(ARRIVALS - 1), F.floor(
+        (F.col("seq") - F.col("lo")) * ARRIVALS / (F.col("hi") - F.col("lo") + 1))))
+    return [dealt.where(F.col("part") == i).drop("lo", "hi", "part") for i in range(ARRIVALS)]
+
+
+def _write_source(events: DataFrame, path: str) -> None:
     line = F.to_json(F.struct("seq", "run_id", "type", "agent", "timestamp", "data")).alias("value")
-    ev = events.repartition(N_FILES, "run_id") if by_run else events.repartitionByRange(N_FILES, "seq")
-    ev.sortWithinPartitions("seq").select(line).write.mode("overwrite").text(path)
-
-
-def _ingest(spark: SparkSession, events: DataFrame, base: str, by_run: bool, junk: DataFrame | None = None):
-    src = os.path.join(base, "source")
-    _write_source(events, src, by_run)
-    if junk is not None:
-        junk.write.mode("append").text(src)
-    log, dead = os.path.join(base, "event_log"), os.path.join(base, "dead_letters")
-    for q in S.ingest(spark, src, log, dead, os.path.join(base, "ckpt_ingest"), max_files=1):
-        q.awaitTermination()
+    events.select(line).write.mode("append").text(path)
+
+
+def _ingest(spark: SparkSession, parts: list[DataFrame], base: str, junk: DataFrame | None = None, then=None):
+    """Write and ingest each part; ``then`` starts the query that follows an ingest."""
+    src, log, dead = (os.path.join(base, x) for x in ("source", "event_log", "dead_letters"))
+    for i, part in enumerate(parts):
+        _write_source(part, src)
+        if junk is not None and i == 0:
+            junk.write.mode("append").text(src)
+        for q in S.ingest(spark, src, log, dead, os.path.join(base, "ckpt_ingest")):
+            q.awaitTermination()
+        if then is not None:
+            then(log).awaitTermination()
     return log, dead
 
 
@@ -46,10 +57,9 @@ def _plain_text_lines(spark, sf_dir) -> DataFrame:
 @register("runs_stream", O.with_ctes(RUN_CTES, "SELECT * FROM runs"), "ST-1 ST-2 IO-10 IO-11")
 def q_runs_stream(spark, sf_dir):
     base = scratch_path(spark, "runs-stream")
-    log, _ = _ingest(spark, B.telemetry_events(spark, sf_dir), base, by_run=False,
-                     junk=_plain_text_lines(spark, sf_dir))
     out = os.path.join(base, "runs")
-    S.fold_runs(S.event_stream(spark, log, max_files=64), out, os.path.join(base, "ckpt_fold")).awaitTermination()
+    _ingest(spark, _arrivals(B.telemetry_events(spark, sf_dir)), base, _plain_text_lines(spark, sf_dir),
+            lambda log: S.fold_runs(S.event_stream(spark, log), out, os.path.join(base, "ckpt_fold")))
     return S.read_runs(spark, out)
 
 
@@ -57,8 +67,7 @@ def q_runs_stream(spark, sf_dir):
 SELECT COUNT(*) AS n_dead_letters FROM events WHERE event_id % 97 = 0""", "IO-11 ST-1")
 def q_ingest_dead_letters(spark, sf_dir):
     base = scratch_path(spark, "ingest")
-    _, dead = _ingest(spark, B.telemetry_events(spark, sf_dir), base, by_run=False,
-                      junk=_plain_text_lines(spark, sf_dir))
+    _, dead = _ingest(spark, [B.telemetry_events(spark, sf_dir)], base, _plain_text_lines(spark, sf_dir))
     return spark.read.parquet(dead).agg(F.count(F.lit(1)).alias("n_dead_letters"))
 
 
@@ -68,8 +77,7 @@ LIVE_COLS = [c for c in SPAN_COLS if c != "preorder"]
 @register("live_spans_stream", O.with_ctes(TRACE_CTES, f"SELECT {', '.join(LIVE_COLS)} FROM spans"), "ST-3")
 def q_live_spans_stream(spark, sf_dir):
     base = scratch_path(spark, "live-spans")
-    log, _ = _ingest(spark, B.trace_events(spark, sf_dir), base, by_run=True)
     out = os.path.join(base, "spans")
-    S.write_live_spans(S.event_stream(spark, log, max_files=64), out,
-                       os.path.join(base, "ckpt_spans")).awaitTermination()
-    return spark.read.schema(S.SPAN_SCHEMA).parquet(out).select(*LIVE_COLS)
+    _ingest(spark, _arrivals(B.trace_events(spark, sf_dir)), base, then=lambda log: S.write_live_spans(
+        S.event_stream(spark, log), out, os.path.join(base, "ckpt_spans")))
+    return S.read_live_spans(spark, out).select(*LIVE_COLS)

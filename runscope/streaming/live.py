@@ -5,9 +5,8 @@
 * The run fold is the batch fold's aggregate run as a streaming ``update`` aggregation; each micro-batch's
   changed runs are written as an idempotent batch partition (``batch_id=N``, overwritten on replay), and
   readers take each run's newest row. No driver-side state, nothing collected.
-* Live spans keep only the open spans of each run in ``applyInPandasWithState`` state; a span row is
-  emitted when it closes, and the open ones are emitted as 'running' when a run has been idle past its
-  timeout.
+* Live spans keep only the open spans of each run in ``applyInPandasWithState`` state, however long a run
+  pauses; a span gets a row when it is left running by the batch that opened it, and one when it closes.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runscope.operators import runs as R
-from runscope.operators.trace import SPAN_SCHEMA, SPAN_SCHEMA_NAMES, SpanMachine, span_row
+from runscope.operators.trace import SPAN_SCHEMA, SPAN_SCHEMA_NAMES, SpanReplay, span_row
 from runscope.sources.files import parse_event_lines
 
 EVENT_LOG_SCHEMA = "seq bigint, run_id string, type string, agent string, timestamp string, data string"
@@ -56,7 +55,7 @@ def ingest(spark: SparkSession, source: str, event_log: str, dead_letters: str,
 
 
 def read_event_log(spark: SparkSession, event_log: str) -> DataFrame:
-    """The appended event log (batch read; filters on run_id / event_date prune files and partitions)."""
+    """The appended event log (batch read; filters on event_date prune partitions)."""
     return spark.read.schema(EVENT_LOG_SCHEMA + ", event_date date").parquet(event_log)
 
 
@@ -91,53 +90,33 @@ def read_runs(spark: SparkSession, out: str) -> DataFrame:
 
 # ---- ST-3: live spans ---------------------------------------------------------------------------------------
 
-SPAN_STATE_SCHEMA = "next_id long, stack string"
-# A run whose newest event is this far behind the watermark is idle: its open spans are emitted as running.
-RUN_IDLE_MS = 30 * 60 * 1000
-
-
-def _ms_of(ts: str) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
+SPAN_STATE_SCHEMA = "next_id long, open string"
 
 
 def _span_updates(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    run_id = key[0]
-    if state.hasTimedOut:
-        next_id, stack = state.get
-        state.remove()
-        m = SpanMachine(keep_closed=False, next_id=next_id, stack=json.loads(stack))
-        yield pd.DataFrame([span_row(run_id, n, None) for n in m.open_nodes()], columns=SPAN_SCHEMA_NAMES)
-        return
-    if state.exists:
-        next_id, stack = state.get
-        m = SpanMachine(keep_closed=False, next_id=next_id, stack=json.loads(stack))
-    else:
-        m = SpanMachine(keep_closed=False)
+    next_id, spans = state.get if state.exists else (0, "[]")
+    replay = SpanReplay(next_id, json.loads(spans))
     pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    newest = None
     for ev in pdf.itertuples(index=False):
-        m.apply(ev.type, int(ev.seq), ev.timestamp, ev.agent, ev.data)
-        if isinstance(ev.timestamp, str):
-            t = _ms_of(ev.timestamp)
-            newest = t if newest is None else max(newest, t)
-    state.update((m.next_id, json.dumps(m.open_nodes())))
-    wm = state.getCurrentWatermarkMs()
-    state.setTimeoutTimestamp(max((newest or wm) + RUN_IDLE_MS, wm + 1))
-    yield pd.DataFrame([span_row(run_id, n, None) for n in m.closed], columns=SPAN_SCHEMA_NAMES)
+        replay.feed(ev.type, int(ev.seq), ev.timestamp, ev.agent, ev.data)
+    still_open = list(replay.open.spans.values())
+    state.update((replay.next_id, json.dumps(still_open)))
+    # Spans that closed, and those that opened in this batch and are running: one row of either kind for a span.
+    rows = replay.done + [x for x in still_open if x["id"] >= next_id]
+    yield pd.DataFrame([span_row(key[0], x, None) for x in rows], columns=SPAN_SCHEMA_NAMES)
 
 
-def live_spans(events: DataFrame, watermark: str = "30 minutes") -> DataFrame:
-    """ST-3: a streaming frame of span rows, emitted when each span closes (pre-order is not known live).
+def live_spans(events: DataFrame) -> DataFrame:
+    """ST-3: a streaming frame of span rows: one when a span is seen running at the end of the batch that opened it,
+    one when it closes (pre-order is not known live).
 
-    Event-time watermark on the parsed timestamp bounds the state: runs idle past the watermark flush their
-    open spans (status 'running') and drop their state.
+    No event is ever dropped as late, and a run may pause for any time: its state (the next span number and the open
+    spans) stays in the state store. The events of a run must arrive in the order of seq, batch by batch.
     """
-    ev = (events.select("run_id", "seq", "type", "agent", "timestamp", "data",
-                        F.col("timestamp").try_cast("timestamp").alias("ts"))
-          .withWatermark("ts", watermark))
+    ev = events.select("run_id", "seq", "type", "agent", "timestamp", "data")
     return ev.groupBy("run_id").applyInPandasWithState(
         _span_updates, outputStructType=SPAN_SCHEMA, stateStructType=SPAN_STATE_SCHEMA, outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout)
+        timeoutConf=GroupStateTimeout.NoTimeout)
 
 
 def write_live_spans(events: DataFrame, out: str, checkpoint: str, available_now: bool = True,
@@ -145,3 +124,12 @@ def write_live_spans(events: DataFrame, out: str, checkpoint: str, available_now
     w = (live_spans(events).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", checkpoint).outputMode("append"))
     return _trigger(w, available_now, interval).start()
+
+
+def read_live_spans(spark: SparkSession, out: str) -> DataFrame:
+    """The spans as they are now: the closed row of a span where there is one, else its running row."""
+    rows = spark.read.schema(SPAN_SCHEMA).parquet(out)
+    rest = [c for c in SPAN_SCHEMA_NAMES if c not in ("run_id", "span_id")]
+    newest = F.max_by(F.struct(*rest), F.col("status").eqNullSafe("running").cast("int") * -1)
+    return rows.groupBy("run_id", "span_id").agg(newest.alias("s")).select(
+        *[F.col(c) if c in ("run_id", "span_id") else F.col(f"s.{c}") for c in SPAN_SCHEMA_NAMES])

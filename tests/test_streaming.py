@@ -52,10 +52,36 @@ def test_ingest_fold_and_spans_match_batch(spark, tmpdir_path):
     assert batch_runs == stream_runs and len(stream_runs) == 12
 
     batch_spans = sorted(tuple(r) for r in TR.trace_spans(frame(spark, rows)).select(*LIVE_COLS).collect())
-    live = sorted(tuple(r) for r in spark.read.schema(S.SPAN_SCHEMA).parquet(out_spans).select(*LIVE_COLS).collect())
+    live = sorted(tuple(r) for r in S.read_live_spans(spark, out_spans).select(*LIVE_COLS).collect())
     assert batch_spans == live
 
 
 def test_event_schema_is_declared(spark):
     assert frame(spark, []).schema.simpleString().startswith("struct<seq:bigint")
     assert EVENT_DDL.split(",")[0] == "seq long"
+
+
+def test_live_spans_any_batches_and_pauses(spark, tmpdir_path):
+    """Runs that pause for days, cut into any number of arrivals, some never closed: the rows of the batch replay."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(4):
+        run = random_well_nested(rng, f"run{i}", 30, seq0=i * 1000)
+        rows += [(q, r, t, a, f"2024-0{1 + k % 9}-{1 + k % 27:02d}T00:00:00+00:00", d)
+                 for k, (q, r, t, a, _, d) in enumerate(run[:-i or None])]
+    rows.sort(key=lambda r: r[0] % 1000)
+    expected = sorted((tuple(r) for r in TR.trace_spans(frame(spark, rows)).select(
+        "run_id", "span_id", "parent_id", "status", "end_seq").collect()), key=str)
+    for parts in (1, 3, 6):
+        base = os.path.join(tmpdir_path, f"parts{parts}")
+        for i in range(parts):
+            part = rows[i * len(rows) // parts:(i + 1) * len(rows) // parts]
+            _write_lines(os.path.join(base, "src"), f"part{i}.jsonl", part)
+            for q in S.ingest(spark, os.path.join(base, "src"), os.path.join(base, "log"), os.path.join(base, "dead"),
+                              os.path.join(base, "ck")):
+                q.awaitTermination()
+            S.write_live_spans(S.event_stream(spark, os.path.join(base, "log")), os.path.join(base, "spans"),
+                               os.path.join(base, "ck_spans")).awaitTermination()
+        got = S.read_live_spans(spark, os.path.join(base, "spans")).select(
+            "run_id", "span_id", "parent_id", "status", "end_seq").collect()
+        assert sorted((tuple(r) for r in got), key=str) == expected
