@@ -128,5 +128,5 @@ def millis_between(start, end) -> Column:
 
 
 def money_sum(c) -> Column:
-    """Exact sum of 2-decimal money values: decimal accumulation, double result (order-independent)."""
-    return F.sum(col_or(c).cast("decimal(18,2)")).cast("double")
+    """Exact sum of values with up to 8 decimals: decimal accumulation, double result (order-independent)."""
+    return F.sum(col_or(c).cast("decimal(28,8)")).cast("double")

@@ -189,8 +189,8 @@ def invariants(users: DataFrame, bets: DataFrame, transactions: DataFrame) -> Da
     null_bet = transactions.agg(F.count_if(F.col("bet_id").isNull() & ~F.lower("type").isin("deposit", "withdrawal"))
                                 .alias("failures"))
     led = running_sum(transactions, ["user_id"], F.unix_date(F.to_date("processed_at")),
-                      ["processed_at", "id"], F.col("amount").cast("decimal(18,2)"), "_expected", chunk_width=1)
-    breaks = led.agg(F.count_if(F.col("balance_after").cast("decimal(18,2)") != F.col("_expected"))
+                      ["processed_at", "id"], F.col("amount").cast("decimal(28,8)"), "_expected", chunk_width=1)
+    breaks = led.agg(F.count_if(F.col("balance_after").cast("decimal(28,8)") != F.col("_expected"))
                      .alias("failures"))
     per_bet = (transactions.filter(F.col("bet_id").isNotNull())
                .groupBy("bet_id")

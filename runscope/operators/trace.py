@@ -342,7 +342,7 @@ def _native(events: DataFrame) -> tuple[DataFrame, DataFrame]:
                   F.concat(F.lit("LLM Call ("), stop, F.lit(")"))).otherwise(base_name)
     computed = millis_between(F.col("start_time").try_cast("timestamp"), F.col("end_time").try_cast("timestamp"))
     duration = F.when(closed, F.when(kind.isin(*PAYLOAD_DURATION) & ep.getItem("duration_s").isNotNull(),
-                                     ep.getItem("duration_s").cast("double")).otherwise(computed))
+                                     ep.getItem("duration_s").try_cast("double")).otherwise(computed))
     truthy = ~F.coalesce(ep.getItem("success"), F.lit("false")).isin("false", "0", "0.0", "", "null")
     status = (F.when(kind == "metrics", F.lit(None))
               .when(~closed, F.lit("running"))

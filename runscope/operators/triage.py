@@ -7,25 +7,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runscope.functions.columns import estimate_of, model_name, priority_of
+from runscope.sources.files import strict_json
 
 _LOG_SCHEMA = ("struct<info:struct<level:string,msg:string,ts:string,data:map<string,string>>,"
-               "data:map<string,string>,_corrupt:string>")
+               "data:map<string,string>>")
 
 
 def log_entries(lines: DataFrame) -> DataFrame:
     """FT-1 (IO-7, FI-1, FI-2): (run_id, line_no, value) -> relevant entries
     (run_id, line_no, level, message, node_id, timestamp).
 
-    Blank and non-JSON lines are skipped. The node payload is ``data`` when it is a non-empty object, else
+    Blank lines and lines that are not one JSON object are skipped. The node payload is ``data`` when it is a non-empty object, else
     ``info.data`` when non-empty, else nothing; the node id is its ``node_info.unique_id`` or ''. Entries are
     kept when the upper-cased level is ERROR or WARN, or when they name a node.
     """
     v = F.trim(F.col("value"))
     p = (lines.filter(v != "")
-         .select("run_id", "line_no",
-                 F.from_json(F.col("value"), _LOG_SCHEMA,
-                             {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("j"))
-         .filter(F.col("j").isNotNull() & F.col("j._corrupt").isNull()))
+         .select("run_id", "line_no", strict_json(F.col("value"), _LOG_SCHEMA).alias("j"))
+         .filter(F.col("j").isNotNull()))
     top, nested = F.col("j.data"), F.col("j.info.data")
     node_obj = (F.when(F.coalesce(F.size(top), F.lit(0)) > 0, top)
                 .when(F.coalesce(F.size(nested), F.lit(0)) > 0, nested))

@@ -111,7 +111,7 @@ MART_KEYS = ["bet_date", "sport", "bet_type", "currency_code", "country_code"]
 def mart_bet_daily(fct: DataFrame) -> DataFrame:
     """AG-1..6: daily metrics by date, sport, bet type, currency and country (NULL keys form their own group).
 
-    Money sums are accumulated as DECIMAL(18,2) and returned as DOUBLE, so the result does not depend on the
+    Money and odds are summed as DECIMAL(28,8) and returned as DOUBLE, so the result does not depend on the
     order in which partial sums meet after the shuffle. Partial aggregation runs map-side; the exact distinct
     user count is planned as a two-phase (group, user) aggregate, so a hot group is pre-reduced before it moves.
     """
@@ -125,7 +125,7 @@ def mart_bet_daily(fct: DataFrame) -> DataFrame:
                  money_sum("wager_amount").alias("total_wager"),
                  money_sum("settled_amount").alias("total_settled_amount"),
                  money_sum("gross_gaming_revenue").alias("total_ggr"),
-                 (F.sum(F.col("odds").cast("decimal(18,2)")).cast("double")
+                 (F.sum(F.col("odds").cast("decimal(28,8)")).cast("double")
                   / F.count("odds").cast("double")).alias("avg_odds"),
                  F.count_distinct("user_id").alias("unique_bettors")))
 

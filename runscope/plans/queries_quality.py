@@ -106,9 +106,9 @@ SELECT 'transactions_bet_id_null_for_bet_types', COUNT(*) FROM raw_transactions
   WHERE bet_id IS NULL AND lower(type) NOT IN ('deposit', 'withdrawal')
 UNION ALL
 SELECT 'ledger_balance_breaks', COUNT(*) FROM (
-  SELECT balance_after, SUM(CAST(amount AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY processed_at, id
+  SELECT balance_after, SUM(CAST(amount AS DECIMAL(24,4))) OVER (PARTITION BY user_id ORDER BY processed_at, id
          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS expected FROM raw_transactions)
-  WHERE CAST(balance_after AS DECIMAL(18,2)) <> expected
+  WHERE CAST(balance_after AS DECIMAL(24,4)) <> expected
 UNION ALL
 SELECT 'won_bet_missing_ledger_rows', CAST(SUM(CASE WHEN COALESCE(n_debit, 0) = 0 THEN 1 ELSE 0 END)
        + SUM(CASE WHEN COALESCE(n_credit, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT)

@@ -49,25 +49,30 @@ def _ingest(spark: SparkSession, parts: list[DataFrame], base: str, junk: DataFr
     return log, dead
 
 
-def _plain_text_lines(spark, sf_dir) -> DataFrame:
-    """Lines that are not events (the build tool's banner lines) to exercise the dead-letter path."""
-    return B.log_lines(spark, sf_dir).filter(F.col("line_no") % 97 == 0).select("value")
+def _broken_lines(spark, sf_dir) -> DataFrame:
+    """Lines that are not events: banner lines of the build tool; text after an object; single quotes; no run id."""
+    e = B.telemetry_events(spark, sf_dir).where("seq % 97 = 0")
+    whole = F.to_json(F.struct("seq", "run_id", "type"))
+    lines = F.array(F.concat(F.lit("Running with build tool, event "), F.col("seq").cast("string")),
+                    F.concat(whole, F.lit(" trailing")), F.replace(whole, F.lit('"'), F.lit("'")),
+                    F.to_json(F.struct("seq", "type")))
+    return e.select(F.explode(lines).alias("value"))
 
 
 @register("runs_stream", O.with_ctes(RUN_CTES, "SELECT * FROM runs"), "ST-1 ST-2 IO-10 IO-11")
 def q_runs_stream(spark, sf_dir):
     base = scratch_path(spark, "runs-stream")
     out = os.path.join(base, "runs")
-    _ingest(spark, _arrivals(B.telemetry_events(spark, sf_dir)), base, _plain_text_lines(spark, sf_dir),
+    _ingest(spark, _arrivals(B.telemetry_events(spark, sf_dir)), base, _broken_lines(spark, sf_dir),
             lambda log: S.fold_runs(S.event_stream(spark, log), out, os.path.join(base, "ckpt_fold")))
     return S.read_runs(spark, out)
 
 
 @register("ingest_dead_letters", """
-SELECT COUNT(*) AS n_dead_letters FROM events WHERE event_id % 97 = 0""", "IO-11 ST-1")
+SELECT 4 * COUNT(*) AS n_dead_letters FROM events WHERE event_id % 97 = 0""", "IO-11 ST-1")
 def q_ingest_dead_letters(spark, sf_dir):
     base = scratch_path(spark, "ingest")
-    _, dead = _ingest(spark, [B.telemetry_events(spark, sf_dir)], base, _plain_text_lines(spark, sf_dir))
+    _, dead = _ingest(spark, [B.telemetry_events(spark, sf_dir)], base, _broken_lines(spark, sf_dir))
     return spark.read.parquet(dead).agg(F.count(F.lit(1)).alias("n_dead_letters"))
 
 

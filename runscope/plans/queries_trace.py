@@ -19,7 +19,7 @@ ISO = "'%Y-%m-%dT%H:%M:%S.%f+00:00'"
 
 TURNS = """
 turns AS (
-  SELECT conv_id, turn, role, text, length(text) AS n, conv_id * 1000 + 10 + turn * 10 AS s,
+  SELECT conv_id, turn, role, text, length(text) AS n, conv_id * 100000 + 10 + turn * 10 AS s,
          1 + coalesce(sum(CASE role WHEN 'user' THEN 3 WHEN 'assistant' THEN 2 ELSE 0 END)
                OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
   FROM conversations
@@ -28,7 +28,7 @@ turns AS (
 SPANS = f"""
 span0 AS (
   SELECT conv_id, 0 AS idx, CAST(NULL AS BIGINT) AS parent_idx, 0 AS depth, 'run' AS span_type, 'Run: chat' AS name,
-         conv_id * 1000 AS start_seq, conv_id * 1000 + 999 AS end_seq, CAST(999.0 AS DOUBLE) AS duration_s,
+         conv_id * 100000 AS start_seq, conv_id * 100000 + 99999 AS end_seq, CAST(99999.0 AS DOUBLE) AS duration_s,
          'success' AS status, CAST(NULL AS VARCHAR) AS tool_use_id, '' AS token_text, '' AS reasoning_text
   FROM (SELECT DISTINCT conv_id FROM conversations)
   UNION ALL
@@ -132,8 +132,8 @@ def q_llm_text(spark, sf_dir):
 
 @register("timeline", O.with_ctes(TRACE_CTES, """
 SELECT run_id, span_id, depth, preorder, name,
-       CAST((start_seq % 1000) * 1000 AS DOUBLE) / CAST(999000 AS DOUBLE) * 100.0 AS left_pct,
-       greatest(CAST((end_seq - start_seq) * 1000 AS DOUBLE) / CAST(999000 AS DOUBLE) * 100.0, 0.5) AS width_pct
+       CAST((start_seq % 100000) * 1000 AS DOUBLE) / CAST(99999000 AS DOUBLE) * 100.0 AS left_pct,
+       greatest(CAST((end_seq - start_seq) * 1000 AS DOUBLE) / CAST(99999000 AS DOUBLE) * 100.0, 0.5) AS width_pct
 FROM spans"""), "TR-4 AG-12 WI-4")
 def q_timeline(spark, sf_dir):
     return TR.timeline(TR.trace_spans_native(trace_events(spark, sf_dir)), F.lit(NOW + "+00:00").cast("timestamp"))
@@ -145,8 +145,8 @@ last_turn AS (
                           FROM turns WHERE role = 'assistant') WHERE rn = 1
 )"""], f"""
 SELECT 'conv-' || CAST(c.conv_id AS VARCHAR) AS run_id, 'chat' AS agent_type,
-       strftime(TIMESTAMP '2024-03-01 00:00:00' + to_seconds(CAST(c.conv_id * 1000 AS BIGINT)), {ISO}) AS started_at,
-       strftime(TIMESTAMP '2024-03-01 00:00:00' + to_seconds(CAST(c.conv_id * 1000 + 999 AS BIGINT)), {ISO}) AS ended_at,
+       strftime(TIMESTAMP '2024-03-01 00:00:00' + to_seconds(CAST(c.conv_id * 100000 AS BIGINT)), {ISO}) AS started_at,
+       strftime(TIMESTAMP '2024-03-01 00:00:00' + to_seconds(CAST(c.conv_id * 100000 + 99999 AS BIGINT)), {ISO}) AS ended_at,
        1 AS success, CAST(coalesce(l.n, 0) AS BIGINT) AS total_input_tokens,
        CAST(coalesce(l.n % 97, 0) AS BIGINT) AS total_output_tokens, CAST(NULL AS DOUBLE) AS total_duration_s,
        CAST(floor((l.n * 300 + (l.n % 97) * 1500 + 50) / 100) AS DOUBLE) / 1e6 AS estimated_cost_usd,

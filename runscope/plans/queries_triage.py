@@ -42,7 +42,7 @@ entries AS (
               ELSE '' END AS node_id,
          strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp
   FROM events
-  WHERE event_id % 97 <> 0 AND event_type IN ('error', 'view', 'click')
+  WHERE event_id % 97 <> 0 AND event_id % 89 <> 0 AND event_id % 83 <> 0 AND event_type IN ('error', 'view', 'click')
 )"""
 
 MANIFESTS = """

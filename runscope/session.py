@@ -45,11 +45,13 @@ def get_session(master: str | None = None, app: str = "runscope", shuffle_partit
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and must be a shared filesystem. Only when it is unset (local
-    runs, tests) do we pick a private scratch folder and register it.
+    On a cluster the deployment must set it to a shared filesystem: without it, each executor would write to its
+    own disk, so that is an error. Only a local session without the setting gets a scratch folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="runscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -45,8 +45,7 @@ def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
     k = F.col("c_custkey")
     created = _ntz("2020-01-01 00:00:00") + _hours(k % 1000)
-    df = (c.filter(k % 50 != 0)
-          .join(n, c.c_nationkey == n.n_nationkey)
+    df = (c.join(n, c.c_nationkey == n.n_nationkey)
           .select(
               k.alias("id"),
               F.lower("c_name").alias("username"),
@@ -76,7 +75,8 @@ def raw_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = F.col("o_orderdate") + _hours(k % 24)
     df = o.select(
         k.alias("id"),
-        F.col("o_custkey").alias("user_id"),
+        # Every 50th customer's bets name a user that is not there.
+        F.when(F.col("o_custkey") % 50 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("user_id"),
         F.when(st == "O", "Open").when(st == "F", "SETTLED").otherwise("void").alias("status"),
         F.when(pr == "1-URGENT", "ACCUMULATOR").otherwise("Single").alias("bet_type"),
         F.when(pr.isin("1-URGENT", "2-HIGH"), "football").when(pr == "3-MEDIUM", "basketball")
@@ -86,7 +86,7 @@ def raw_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((st == "F") & (k % 2 == 0), payout).when(st == "F", F.lit(0.0))
          .when(st == "P", F.col("o_totalprice")).alias("settled_amount"),
         F.when((st == "F") & (k % 2 == 0), "WON").when(st == "F", "lost").when(st == "P", "void").alias("outcome"),
-        (F.lit(1.0) + (k % 50).cast("double") / F.lit(10.0)).alias("odds"),
+        (F.lit(1.0) + (k % 400).cast("double") / F.lit(40.0)).alias("odds"),
         F.when(F.col("o_custkey") % 3 == 0, "gbp").when(F.col("o_custkey") % 3 == 1, "USD")
          .otherwise("Eur").alias("currency_code"),
         placed.alias("placed_at"),
@@ -112,7 +112,7 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("EV-"), F.col("event_id").cast("string")).alias("reference"),
     )
     df = running_sum(df, ["user_id"], F.unix_date(F.to_date("processed_at")), ["processed_at", "id"],
-                     F.col("amount").cast("decimal(18,2)"), "_bal", chunk_width=1)
+                     F.col("amount").cast("decimal(28,8)"), "_bal", chunk_width=1)
     df = df.withColumn("balance_after",
                        (F.col("_bal") + F.when(F.col("id") % 500 == 499, F.lit(1)).otherwise(F.lit(0)))
                        .cast("double")).drop("_bal")
@@ -122,7 +122,7 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- L: build logs, manifests, model SQL -------------------------------------------------------------------
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run_id, line_no, value): one JSON log line per event; every 97th line is plain text."""
+    """(run_id, line_no, value): one JSON log line per event; every 97th line is plain text, every 89th and 83rd damaged."""
     e = read_table(spark, sf_dir, "events")
     et, k = F.col("event_type"), _k()
     level = (F.when(et == "error", "error").when(et == "view", "warn").when(et == "signup", "debug")
@@ -139,7 +139,10 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(~top, node_obj).alias("data"))
     line = F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("Running with build tool, event "),
                                                          F.col("event_id").cast("string")))
-    line = line.otherwise(F.to_json(F.struct(info.alias("info"), F.when(top, node_obj).alias("data"))))
+    entry = F.to_json(F.struct(info.alias("info"), F.when(top, node_obj).alias("data")))
+    # Damaged lines: text after the object, and quotes that are not JSON's.
+    line = (line.when(F.col("event_id") % 89 == 0, F.concat(entry, F.lit(" trailing")))
+            .when(F.col("event_id") % 83 == 0, F.replace(entry, F.lit('"'), F.lit("'"))).otherwise(entry))
     return e.select(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"),
                     F.col("event_id").alias("line_no"), line.alias("value"))
 
@@ -253,13 +256,13 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
     base = _ntz("2024-03-01 00:00:00")
     ev = (c.select(cid.alias("conv_id"), t.alias("turn"), F.inline(steps))
-          .select(F.col("conv_id"), (F.col("conv_id") * 1000 + 10 + F.col("turn") * 10 + F.col("j")).alias("seq"),
+          .select(F.col("conv_id"), (F.col("conv_id") * 100000 + 10 + F.col("turn") * 10 + F.col("j")).alias("seq"),
                   "type", "data"))
     runs = c.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
     bounds = runs.select("conv_id", F.inline(F.array(
         _step(0, "run_start", F.lit('{"agent_type":"chat"}')),
-        _step(999, "run_end", F.to_json(F.struct(F.lit(True).alias("success")))),
-    ))).select("conv_id", (F.col("conv_id") * 1000 + F.col("j")).alias("seq"), "type", "data")
+        _step(99999, "run_end", F.to_json(F.struct(F.lit(True).alias("success")))),
+    ))).select("conv_id", (F.col("conv_id") * 100000 + F.col("j")).alias("seq"), "type", "data")
     allev = ev.unionByName(bounds)
     ts = base + _seconds(F.col("seq"))
     return allev.select("seq", F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("run_id"), "type",

@@ -51,15 +51,24 @@ def read_event_files(spark: SparkSession, path: str) -> DataFrame:
     return parse_event_lines(lines)
 
 
-_ENVELOPE = "struct<seq:bigint,run_id:string,type:string,agent:string,timestamp:string,data:string,_corrupt:string>"
+def strict_json(value, schema: str):
+    """A JSON object as a struct; NULL unless the text is one object and nothing else, with double quotes only.
+
+    The text is read as the only element of a list, so that anything after the object breaks the syntax or makes a
+    second element.
+    """
+    found = F.from_json(F.concat(F.lit("["), value, F.lit("]")), f"array<{schema}>", {"allowSingleQuotes": "false"})
+    return F.when(F.size(found) == 1, found[0])
+
+
+_ENVELOPE = "struct<seq:bigint,run_id:string,type:string,agent:string,timestamp:string,data:string>"
 
 
 def parse_event_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """JSON text -> event envelope. Lines that are not valid JSON objects (or lack a type) are flagged
+    """JSON text -> event envelope. Lines that are not one JSON object, or lack a seq, run_id or type, are flagged
     ``valid = false`` so callers can route them to a dead-letter output instead of failing."""
-    parsed = lines.select(F.col(value).alias("_raw"),
-                          F.from_json(F.col(value), _ENVELOPE,
-                                      {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e"))
-    valid = F.col("e").isNotNull() & F.col("e._corrupt").isNull() & F.col("e.type").isNotNull()
+    parsed = lines.select(F.col(value).alias("_raw"), strict_json(F.col(value), _ENVELOPE).alias("e"))
+    valid = F.col("e").isNotNull() & F.col("e.seq").isNotNull() & F.col("e.run_id").isNotNull() \
+        & F.col("e.type").isNotNull()
     return parsed.select(*[F.col(f"e.{f.name}").alias(f.name) for f in EVENT.fields],
-                         valid.alias("valid"), F.col("_raw").alias("raw"))
+                         F.coalesce(valid, F.lit(False)).alias("valid"), F.col("_raw").alias("raw"))
