@@ -121,7 +121,7 @@ def live_runs(runs: DataFrame, now: Column) -> DataFrame:
 
 
 def run_events(events: DataFrame, run_id: str) -> DataFrame:
-    """FI-6 / SO-2: the events of one run in arrival order (pushes run_id = x down to the scan)."""
+    """FI-6 / SO-2: the events of one run in arrival order."""
     return events.filter(F.col("run_id") == run_id).orderBy("seq")
 
 

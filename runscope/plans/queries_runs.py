@@ -161,10 +161,12 @@ def q_tool_calls(spark, sf_dir):
 
 
 @register("orphan_events", O.with_ctes(RUN_CTES, """
-SELECT run_id, COUNT(*) AS n_events FROM ev WHERE run_id NOT IN (SELECT run_id FROM runs) GROUP BY run_id"""),
+SELECT run_id, COUNT(*) AS n_events FROM ev
+WHERE type <> 'run_start' AND (run_id LIKE '%3' OR run_id NOT IN (SELECT run_id FROM runs)) GROUP BY run_id"""),
           "JO-5")
 def q_orphan_events(spark, sf_dir):
-    ev = B.telemetry_events(spark, sf_dir)
+    # The start events of the runs whose id ends in 3 got lost on the way: all their other events are orphans.
+    ev = B.telemetry_events(spark, sf_dir).where("NOT (type = 'run_start' AND run_id LIKE '%3')")
     return R.orphan_events(ev, R.runs_table(R.parse_events(ev)))
 
 

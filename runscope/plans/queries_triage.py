@@ -47,9 +47,9 @@ entries AS (
 
 MANIFESTS = """
 manifests AS (
-  SELECT 'run_' || CAST(user_id AS VARCHAR) AS run_id, 'dbt build' AS command, user_id % 3 AS exit_code,
+  SELECT 'run_' || CAST(user_id AS VARCHAR) AS run_id, 'dbt build' AS command, (user_id + 1) % 3 AS exit_code,
          'logs/runs/run_' || CAST(user_id AS VARCHAR) || '.log' AS log_file,
-         strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS started_at, user_id % 3 = 0 AS success
+         strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS started_at, (user_id + 1) % 3 = 0 AS success
   FROM events GROUP BY user_id
 )"""
 

@@ -150,7 +150,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One manifest per run (user): finish time = last event; exit code from the user id."""
     e = read_table(spark, sf_dir, "events").select("user_id", "ts")
-    ec = F.col("user_id") % 3
+    ec = (F.col("user_id") + 1) % 3
     return (e.groupBy("user_id").agg(F.max("ts").alias("last_ts"))
             .select(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"),
                     F.lit("dbt build").alias("command"),

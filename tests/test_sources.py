@@ -36,3 +36,38 @@ def test_source_and_ref_lookup(spark):
         raise AssertionError("expected KeyError")
     except KeyError:
         pass
+
+
+def test_event_lines_are_strict(spark):
+    """One JSON object with double quotes, seq, run_id and type, and nothing after it; all else is a dead letter."""
+    from runscope.sources.files import parse_event_lines
+
+    good = ['{"seq":1,"run_id":"r","type":"token","data":{"text":"a}"}}', ' {"seq":2,"run_id":"r","type":"x"} ']
+    bad = ['{"seq":1,"run_id":"r","type":"x"} trailing', '{"seq":1,"run_id":"r","type":"x"} {"seq":2}',
+           '{"seq":1,"run_id":"r","type":"x"},{"seq":1,"run_id":"r","type":"x"}', "{'seq':1,'run_id':'r','type':'x'}",
+           '{"run_id":"r","type":"x"}', '{"seq":1,"type":"x"}', '{"seq":1,"run_id":"r"}', "", "null", "[]", "plain"]
+    df = spark.createDataFrame([(x,) for x in good + bad], "value string")
+    got = {r["raw"]: r["valid"] for r in parse_event_lines(df).collect()}
+    assert got == {x: True for x in good} | {x: False for x in bad}
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    import pytest
+
+    from runscope.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())
