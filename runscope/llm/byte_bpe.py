@@ -24,6 +24,9 @@ from runscope.llm.pieces import PieceEncoder
 
 #: Byte b stands as the character BYTE_BASE + b: letters, none of them white space.
 BYTE_BASE = 0x100
+#: Words remembered in a task, half of what a worker that does nothing else could hold: in the pipeline, the workers
+#: and the executor's heap already hold what the stages before left behind.
+MEMO_ENTRIES = 200_000
 _TO_CHAR = {b: BYTE_BASE + b for b in range(256)}
 
 
@@ -83,7 +86,7 @@ class ByteBpe:
         self._ids = {t: i for i, t in enumerate(self.vocabulary)}
         self._sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.vocabulary))
         self._split = regex.compile(pattern).findall
-        self._pieces = PieceEncoder(self._whole, self._spaced)
+        self._pieces = PieceEncoder(self._whole, self._spaced, MEMO_ENTRIES)
 
     def _ids_of(self, pre_tokens: list[str]) -> list:
         """Ids of each pre-token; a pre-token that is an entry of the vocabulary is that entry."""
@@ -116,6 +119,10 @@ class ByteBpe:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(ids, "<u4") for ids in self._pieces(texts)]
 
+    def forget(self) -> None:
+        """Give the memo's memory back, for other work of the worker."""
+        self._pieces.forget()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.asarray(ids).tolist()))
 
@@ -145,6 +152,7 @@ def _encode_decode(rank_file: bytes, pattern: str, wanted: tuple[str, ...]):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id")] + [pa.array(out[n], _OUT.field(n).type) for n in wanted],
                 names=["doc_id", *wanted])
+        model.forget()
     return run
 
 

@@ -34,8 +34,9 @@ class PieceEncoder:
     a space or has white space at an end.
     """
 
-    def __init__(self, whole: Callable[[list[str]], list[bytes]], spaced: Callable[[list[str]], list[bytes]]):
-        self._whole, self._spaced = whole, spaced
+    def __init__(self, whole: Callable[[list[str]], list[bytes]], spaced: Callable[[list[str]], list[bytes]],
+                 entries: int = MEMO_ENTRIES):
+        self._whole, self._spaced, self._entries = whole, spaced, entries
         self._memo: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -50,6 +51,10 @@ class PieceEncoder:
             at = to
         return out
 
+    def forget(self) -> None:
+        """Give the memo's memory back."""
+        self._memo, self._old = {}, {}
+
     def _group(self, texts: list[str]) -> list[bytes]:
         cut = [bool(t) and not (t[-1].isspace() or t[0] == " " or _RUN.search(t)) for t in texts]
         words = pc.split_pattern(pa.array([t if c else "" for t, c in zip(texts, cut)], pa.large_string()), " ")
@@ -68,7 +73,7 @@ class PieceEncoder:
         return [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
 
     def _pieces(self, words: list[str]) -> list[bytes]:
-        if len(self._memo) > MEMO_ENTRIES:
+        if len(self._memo) > self._entries:
             self._old, self._memo = self._memo, {}
         memo, old, extra, missing = self._memo, self._old, {}, []
         for w in words:

@@ -28,7 +28,7 @@ EPOCHS, RATE, DECAY = 300, 0.1, 3e-5
 #: Besides the word itself, its beginnings of these lengths are features, so that unseen forms of a stem count.
 STEMS = (3, 4, 5)
 #: Words kept in a worker's memo of weights before it starts afresh.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 120_000
 
 _ENDS = ".!?\n\r"
 #: Sentence ends become line feeds, other ASCII marks spaces; the places of characters stay.

@@ -80,11 +80,12 @@ def test_piece_encoder_on_random_texts(byte_json):
 def test_piece_encoder_forgets_without_harm(monkeypatch):
     import runscope.llm.pieces as pieces
 
-    monkeypatch.setattr(pieces, "MEMO_ENTRIES", 3)
     monkeypatch.setattr(pieces, "GROUP_CHARS", 20)
-    encode = PieceEncoder(lambda parts: [p.encode() for p in parts], lambda words: [b" " + w.encode() for w in words])
+    encode = PieceEncoder(lambda parts: [p.encode() for p in parts], lambda words: [b" " + w.encode() for w in words], 3)
     texts = ["a b c d e f", "f e d c b a", "a  b", " a", "x" * 100 + " y" + "z" * 100, "", "a\n", "a b"]
     assert encode(texts) == [t.encode() for t in texts]
+    encode.forget()
+    assert encode(texts) == [t.encode() for t in texts]
 
 
 def test_token_documents(spark, byte_json):
