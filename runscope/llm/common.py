@@ -53,9 +53,22 @@ def bound_batches(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
-    """``mapInArrow`` with bounded batches."""
+    """``mapInArrow`` with bounded batches. A worker that has done its task gives its free memory back to the system:
+    it may stand idle beside stages that need none of it."""
     bound_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        import ctypes
+        import gc
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library: it has no such call
+            pass
+    return df.mapInArrow(run, schema)
 
 
 def worker_memo(key: str, make: Callable):
