@@ -116,7 +116,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], np.
             if total >= CHUNK_TOKENS:
                 yield rows, np.concatenate(hashes), np.concatenate(counts)
                 rows, hashes, counts, total = [], [], [], 0
-    if rows:
+    if hashes:  # not ``rows``: training reads no column besides the text
         yield rows, np.concatenate(hashes), np.concatenate(counts)
 
 
