@@ -24,9 +24,9 @@ from runscope.llm.pieces import PieceEncoder
 
 #: Byte b stands as the character BYTE_BASE + b: letters, none of them white space.
 BYTE_BASE = 0x100
-#: Words remembered in a task, half of what a worker that does nothing else could hold: in the pipeline, the workers
-#: and the executor's heap already hold what the stages before left behind.
-MEMO_ENTRIES = 200_000
+#: Words remembered in a task, and characters of texts cut into words at once: less than a worker that does nothing
+#: else could hold, because in the pipeline the executor's heap already holds what the stages before left behind.
+MEMO_ENTRIES, GROUP_CHARS = 60_000, 1 << 20
 _TO_CHAR = {b: BYTE_BASE + b for b in range(256)}
 
 
@@ -86,7 +86,7 @@ class ByteBpe:
         self._ids = {t: i for i, t in enumerate(self.vocabulary)}
         self._sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.vocabulary))
         self._split = regex.compile(pattern).findall
-        self._pieces = PieceEncoder(self._whole, self._spaced, MEMO_ENTRIES)
+        self._pieces = PieceEncoder(self._whole, self._spaced, MEMO_ENTRIES, GROUP_CHARS)
 
     def _ids_of(self, pre_tokens: list[str]) -> list:
         """Ids of each pre-token; a pre-token that is an entry of the vocabulary is that entry."""

@@ -35,8 +35,8 @@ class PieceEncoder:
     """
 
     def __init__(self, whole: Callable[[list[str]], list[bytes]], spaced: Callable[[list[str]], list[bytes]],
-                 entries: int = MEMO_ENTRIES):
-        self._whole, self._spaced, self._entries = whole, spaced, entries
+                 entries: int = MEMO_ENTRIES, group_chars: int = GROUP_CHARS):
+        self._whole, self._spaced, self._entries, self._group_chars = whole, spaced, entries, group_chars
         self._memo: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -44,7 +44,7 @@ class PieceEncoder:
         out, at = [], 0
         while at < len(texts):
             to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= GROUP_CHARS):
+            while to < len(texts) and (to == at or size + len(texts[to]) <= self._group_chars):
                 size += len(texts[to])
                 to += 1
             out += self._group(texts[at:to])
