@@ -55,20 +55,26 @@ def failure_context(manifests: DataFrame, entries: DataFrame, sql: DataFrame) ->
 
     failed_models: sorted distinct names; error_messages: distinct ERROR messages in order of first line;
     sql_snippets: SQL of each failed model that has a file, in model-name order; missing_models: the others.
-    Entries are reduced to distinct (run, message, model) before anything is collected, and joins are on
-    run_id / model name only.
+    Entries are reduced to distinct (run, message) and (run, model) before anything is collected; the SQL is joined
+    once per (run, model). Joins are on run_id / model name only.
     """
     failed = manifests.filter(F.col("exit_code") != 0)
-    # ERROR entries reduced to distinct (run, message, model) with their first line, joined to the model SQL,
-    # then one aggregate per run builds every list: the log lines are parsed once.
-    red = (entries.filter(F.col("level") == "ERROR")
-           .select("run_id", "message", "line_no",
-                   F.when(F.col("node_id") != "", model_name("node_id")).alias("model_name"))
+    # Each ERROR entry gives a message row and a model row, so the log lines are parsed once. Message rows join by
+    # a key that no file stem can be, spread over all tasks; one aggregate per run builds every list.
+    errors = entries.filter(F.col("level") == "ERROR").select(
+        "run_id", "message", "line_no", F.when(F.col("node_id") != "", model_name("node_id")).alias("model_name"))
+    no_text = F.lit(None).cast("string")
+    red = (errors.select("run_id", F.inline(F.array(
+               F.struct(F.col("message").alias("message"), no_text.alias("model_name"), F.col("line_no").alias("line_no")),
+               F.struct(no_text.alias("message"), F.col("model_name").alias("model_name"),
+                        F.col("line_no").alias("line_no")))))
            .groupBy("run_id", "message", "model_name").agg(F.min("line_no").alias("first_line"))
-           .join(sql.select("model_name", "sql"), "model_name", "left"))
+           .withColumn("_stem", F.coalesce("model_name", F.concat(F.lit("/"), F.xxhash64("run_id", "message").cast("string"))))
+           .join(sql.select(F.col("model_name").alias("_stem"), "sql"), "_stem", "left"))
     has_model = F.col("model_name").isNotNull()
+    message = F.when(F.col("message").isNotNull(), F.struct("first_line", "message"))
     per_run = (red.groupBy("run_id")
-               .agg(F.array_sort(F.collect_list(F.struct("first_line", "message"))).alias("_msgs"),
+               .agg(F.array_sort(F.collect_list(message)).alias("_msgs"),
                     F.array_sort(F.collect_set("model_name")).alias("failed_models"),
                     F.array_sort(F.collect_set(F.when(F.col("sql").isNotNull(), F.struct("model_name", "sql"))))
                     .alias("_sql"),
