@@ -87,7 +87,7 @@ def fit(sample: list[tuple[str, int]], max_words: int = MAX_WORDS, min_docs: int
     """
     labels = np.array([y for _, y in sample], dtype=np.float64)
     if len(set(labels)) < 2:
-        return MilModel({}, -20.0)
+        return MilModel({}, 20.0 if labels.any() else -20.0)
     seen = [Counter(), Counter()]
     for text, y in sample:
         seen[int(y)].update({f for w in set(" ".join(sentences(text)).split()) for f in features(w)})
@@ -135,28 +135,40 @@ def fit(sample: list[tuple[str, int]], max_words: int = MAX_WORDS, min_docs: int
     return MilModel({w: float(theta[i]) for w, i in index.items() if abs(theta[i]) > 1e-3}, float(theta[-1]))
 
 
+def _fitting(sized: DataFrame, max_docs: int, max_bytes: int) -> list[int]:
+    """The first ``max_docs`` ids of (doc_id, n) rows by hash whose sizes fit what is left of ``max_bytes``."""
+    sized = sized.select(F.xxhash64("doc_id").alias("h"), "doc_id", "n")
+    picked, left, after = [], max_bytes, F.lit(True)
+    while len(picked) < max_docs:
+        rows = sized.where(after & (F.col("n") <= left)).orderBy("h", "doc_id", "n").limit(max_docs).collect()
+        for r in rows:
+            if r["n"] <= left and len(picked) < max_docs:
+                picked.append(r["doc_id"])
+                left -= r["n"]
+        if len(rows) < max_docs:
+            break
+        # Rows that were passed over took no place: go on after the last one.
+        after = F.struct("h", "doc_id", "n") > F.struct(*[F.lit(r[c]).cast(t) for c, t in sized.dtypes])
+    if not picked:
+        picked = [r["doc_id"] for r in sized.orderBy("n", "h", "doc_id").limit(1).collect()]
+    return picked
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, learn, max_docs: int = SAMPLE_DOCS,
                     max_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
     """Whole texts and labels of at most ``max_docs`` labelled documents of each label for which ``learn`` holds.
 
-    The ids are taken in the order of their hash, while their texts fit ``max_bytes`` for each label; so the sample
-    is the same however the table is split. Rows with a null id, text or label are left out; a doc_id with both
-    labels counts as toxic.
+    The ids are taken in the order of their hash; a text that does not fit what is left of its label's half of
+    ``max_bytes`` is passed over, and those after it are taken. If no text of a label fits, its shortest is taken, so
+    that no label is lost. The sample is the same however the table is split. Rows with a null id, text or label are
+    left out; a doc_id with both labels counts as toxic.
     """
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & learn).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sized = rows.select("doc_id", F.octet_length("text").alias("n")).join(marked, "doc_id")
-    picked = []
-    for y in (0, 1):
-        total = 0
-        order = sized.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "n").limit(max_docs)
-        for r in order.collect():
-            total += r["n"]
-            if total > max_bytes // 2 and picked:
-                break
-            picked.append((r["doc_id"], y))
+    sized = cut(rows.select("doc_id", F.octet_length("text").alias("n")).join(marked, "doc_id"), "toxicity-sizes")
+    picked = [(i, y) for y in (0, 1) for i in _fitting(sized.where(F.col("y") == y), max_docs, max_bytes // 2)]
     if not picked:
         return []
     ids = docs.sparkSession.createDataFrame(picked, "doc_id long, y int").distinct()

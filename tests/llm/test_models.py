@@ -204,3 +204,30 @@ def test_pipeline(spark):
         r["doc_id"]: hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in clean.collect()}
     whole = corpus_pipeline.run(spark, SF_SMALL).collect()
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in whole) == sorted((r["doc_id"], r["ids_sha256"]) for r in out)
+
+
+def test_toxicity_sample_passes_over_long_texts(spark):
+    texts = [(i, f"{'vile scum' if i % 2 else 'fine day'} number {i}", i % 2) for i in range(40)]
+    order = [r[0] for r in spark.createDataFrame(texts, "doc_id long, text string, y int").orderBy(
+        F.xxhash64("doc_id")).select("doc_id").collect()]
+    first = {next(i for i in order if i % 2 == y) for y in (0, 1)}  # over budget, first of each label
+    rows = [(i, t * 200 if i in first else t) for i, t, _ in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+    sample = toxicity.training_sample(docs, labels, F.lit(True), max_bytes=4000)
+    assert sorted(sample) == sorted((t, y) for i, t, y in texts if i not in first)
+    # Rows that were passed over take no place in the sample.
+    few = toxicity.training_sample(docs, labels, F.lit(True), max_docs=1, max_bytes=4000)
+    assert [y for _, y in few] == [0, 1] and all(len(t) < 100 for t, _ in few)
+    mixed = {i: "x" * (60 if k % 3 else 25) for k, i in enumerate(i for i in order if i % 2)}
+    docs = spark.createDataFrame(list(mixed.items()), "doc_id long, text string")
+    tight = toxicity.training_sample(docs, labels, F.lit(True), max_docs=3, max_bytes=2 * 75)
+    assert sorted(len(t) for t, _ in tight) == [25, 25, 25]
+    # No text of a label fits: the shortest one stands for it.
+    none = toxicity.training_sample(docs, labels, F.lit(True), max_bytes=2)
+    assert none == [("x" * 25, 1)]
+
+
+def test_toxicity_of_one_label():
+    assert toxicity.fit([("any words", 1)]).score(["other words"])[0] > 0.99
+    assert toxicity.fit([("any words", 0)]).score(["other words"])[0] < 0.01
