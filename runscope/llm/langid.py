@@ -148,18 +148,22 @@ def train(docs: DataFrame, learn: Column, max_docs: int = SAMPLE_DOCS, epochs: i
     rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("th", F.xxhash64("text"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     langs = sorted(r["lang"] for r in counts)
     picked = []
     for lang in langs:
-        order = rows.where(F.col("lang") == lang).select("doc_id", "lang").distinct()
+        # Rows of one doc_id, however many, are one document: that of the smallest text hash.
+        order = rows.where(F.col("lang") == lang).groupBy("doc_id", "lang").agg(F.min("th").alias("th"))
         picked += [tuple(r) for r in order.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()]
     model = ByteCnn(langs)
     if not picked:
         return model
-    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, lang string")
-    # At most SAMPLE_WINDOWS windows of a text leave the task that read it.
-    found = rows.join(F.broadcast(ids), ["doc_id", "lang"]).mapInArrow(_sample_windows, "lang string, data binary")
+    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, lang string, th long")
+    # At most SAMPLE_WINDOWS windows of a text leave the task that read it, and of a document once.
+    found = rows.join(F.broadcast(ids), ["doc_id", "lang", "th"]).select("doc_id", "lang", "text").mapInArrow(
+        _sample_windows, "doc_id long, lang string, data binary")
+    found = found.groupBy("doc_id", "lang").agg(F.min("data").alias("data"))
     sample = sorted((r["lang"], bytes(r["data"])) for r in found.collect())
     x = np.concatenate([np.frombuffer(d, np.uint8).reshape(-1, WINDOW) for _, d in sample])
     y = np.concatenate([np.full(len(d) // WINDOW, langs.index(lang)) for lang, d in sample])
@@ -167,12 +171,18 @@ def train(docs: DataFrame, learn: Column, max_docs: int = SAMPLE_DOCS, epochs: i
 
 
 def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    met = set()
     for batch in batches:
+        ids, langs = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
+        at = [i for i, k in enumerate(zip(ids, langs)) if not (k in met or met.add(k))]
         data = []
-        for text in batch.column("text").to_pylist():
+        for text in batch.column("text").take(pa.array(at, pa.int64())).to_pylist():
             w = windows(text)
             data.append(w[np.unique(np.linspace(0, len(w) - 1, SAMPLE_WINDOWS).astype(int))].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(data, pa.binary())], names=["lang", "data"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([ids[i] for i in at], pa.int64()), pa.array([langs[i] for i in at], pa.string()),
+             pa.array(data, pa.binary())], names=["doc_id", "lang", "data"])
+
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])

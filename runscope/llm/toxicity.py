@@ -135,44 +135,63 @@ def fit(sample: list[tuple[str, int]], max_words: int = MAX_WORDS, min_docs: int
     return MilModel({w: float(theta[i]) for w, i in index.items() if abs(theta[i]) > 1e-3}, float(theta[-1]))
 
 
-def _fitting(sized: DataFrame, max_docs: int, max_bytes: int) -> list[int]:
-    """The first ``max_docs`` ids of (doc_id, n) rows by hash whose sizes fit what is left of ``max_bytes``."""
-    sized = sized.select(F.xxhash64("doc_id").alias("h"), "doc_id", "n")
+def _fitting(sized: DataFrame, max_docs: int, max_bytes: int) -> list[tuple[int, int]]:
+    """(doc_id, th) of the first ``max_docs`` ids of (doc_id, th, n) rows by hash whose sizes fit what is left of
+    ``max_bytes``; of an id with several texts that fit, the one of the smallest hash."""
+    sized = sized.select(F.xxhash64("doc_id").alias("h"), "doc_id", "th", "n")
     picked, left, after = [], max_bytes, F.lit(True)
     while len(picked) < max_docs:
-        rows = sized.where(after & (F.col("n") <= left)).orderBy("h", "doc_id", "n").limit(max_docs).collect()
+        one = sized.where(after & (F.col("n") <= left)).groupBy("h", "doc_id").agg(
+            F.min(F.struct("th", "n")).alias("t"))
+        rows = one.select("h", "doc_id", "t.th", "t.n").orderBy("h", "doc_id").limit(max_docs).collect()
         for r in rows:
             if r["n"] <= left and len(picked) < max_docs:
-                picked.append(r["doc_id"])
+                picked.append((r["doc_id"], r["th"]))
                 left -= r["n"]
         if len(rows) < max_docs:
             break
         # Rows that were passed over took no place: go on after the last one.
-        after = F.struct("h", "doc_id", "n") > F.struct(*[F.lit(r[c]).cast(t) for c, t in sized.dtypes])
+        after = F.struct("h", "doc_id") > F.struct(F.lit(r["h"]).cast("long"), F.lit(r["doc_id"]).cast("long"))
     if not picked:
-        picked = [r["doc_id"] for r in sized.orderBy("n", "h", "doc_id").limit(1).collect()]
+        shortest = sized.orderBy("n", "h", "doc_id", "th").limit(1).collect()
+        picked = [(r["doc_id"], r["th"]) for r in shortest]
     return picked
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each doc_id that this task meets."""
+    met = set()
+    for batch in batches:
+        ids = batch.column("doc_id").to_pylist()
+        at = [i for i, d in enumerate(ids) if not (d in met or met.add(d))]
+        if at:
+            yield batch.take(pa.array(at))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, learn, max_docs: int = SAMPLE_DOCS,
                     max_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
     """Whole texts and labels of at most ``max_docs`` labelled documents of each label for which ``learn`` holds.
 
     The ids are taken in the order of their hash; a text that does not fit what is left of its label's half of
     ``max_bytes`` is passed over, and those after it are taken. If no text of a label fits, its shortest is taken, so
-    that no label is lost. The sample is the same however the table is split. Rows with a null id, text or label are
-    left out; a doc_id with both labels counts as toxic.
+    that no label is lost. Rows of one doc_id, however many, are one document: that of the smallest text hash among
+    those that fit. So no more than the bounded sample reaches the driver, and it is the same however the table is
+    split. Rows with a null id, text or label are left out; a doc_id with both labels counts as toxic.
     """
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & learn).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sized = cut(rows.select("doc_id", F.octet_length("text").alias("n")).join(marked, "doc_id"), "toxicity-sizes")
-    picked = [(i, y) for y in (0, 1) for i in _fitting(sized.where(F.col("y") == y), max_docs, max_bytes // 2)]
+    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    sized = rows.groupBy("doc_id", "th").agg(F.min(F.octet_length("text")).alias("n")).join(marked, "doc_id")
+    sized = cut(sized, "toxicity-sizes")
+    picked = [(*i, y) for y in (0, 1) for i in _fitting(sized.where(F.col("y") == y), max_docs, max_bytes // 2)]
     if not picked:
         return []
-    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, y int").distinct()
-    found = rows.join(F.broadcast(ids), "doc_id")
+    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, th long, y int")
+    found = map_batches(rows.join(F.broadcast(ids), ["doc_id", "th"]).select("doc_id", "y", "text"), _first_of_each,
+                        "doc_id long, y int, text string")
+    found = found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     return sorted(((r["text"], r["y"]) for r in found.select("text", "y").collect()), key=lambda x: (x[1], x[0]))
 
 

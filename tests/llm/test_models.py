@@ -231,3 +231,20 @@ def test_toxicity_sample_passes_over_long_texts(spark):
 def test_toxicity_of_one_label():
     assert toxicity.fit([("any words", 1)]).score(["other words"])[0] > 0.99
     assert toxicity.fit([("any words", 0)]).score(["other words"])[0] < 0.01
+
+
+def test_samples_take_a_repeated_id_once(spark, monkeypatch):
+    rows = [(i, f"text of document {i}", "en" if i % 2 else "de") for i in range(8)]
+    rows += [(1, f"text of document 1, other {i % 3}", "en") for i in range(60)] + [(1, "text of document 1", "en")] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    sample = toxicity.training_sample(docs, labels, F.lit(True), max_docs=4)
+    assert sorted(y for _, y in sample) == [0] * 4 + [1] * 4  # one text each, and no other document crowded out
+    assert sum(t.startswith("text of document 1") for t, _ in sample) == 1
+    assert sample == toxicity.training_sample(docs.repartition(2), labels, F.lit(True), max_docs=4)
+    fitted = []
+    monkeypatch.setattr(langid.ByteCnn, "fit", lambda self, x, y, epochs: fitted.append((x, y)) or self)
+    for parts in (6, 2):
+        langid.train(docs.repartition(parts), F.lit(True))
+    assert sorted(fitted[0][1].tolist()) == [0] * 4 + [1] * 4
+    assert (fitted[0][0] == fitted[1][0]).all()
