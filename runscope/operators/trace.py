@@ -3,9 +3,10 @@
 Two span builders:
 
 * ``trace_spans`` (TR-1) replays the exact stack semantics (close-by-type from the middle of the stack,
-  tool-id matching, unmatched ends ignored, run_start always a root). The replay is sequential within a run,
-  so it runs as ``groupBy(run_id).applyInPandas``: Spark shuffles whole runs to tasks and runs are
-  independent, so it scales with the number of runs.
+  tool-id matching, unmatched ends ignored, run_start always a root). The replay is sequential within a run:
+  events are sorted by (run_id, seq) inside partitions of whole runs (a sort that spills) and read batch by batch,
+  so a worker holds one batch and the open spans of one run, however long the run is. Pre-order positions are
+  added afterwards, from the sizes of the trees.
 * ``trace_spans_native`` (TR-2) computes the same rows for well-nested runs with Catalyst only: depth is a
   running sum of +1/-1, the k-th open at a depth pairs with the k-th close at that depth (an equi-join), and
   a parent is the last open one level up (one ``last(..., ignorenulls)`` column per level, all in one window).
@@ -15,8 +16,10 @@ Two span builders:
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,10 +158,16 @@ class SpanReplay:
         # A run is a root wherever it starts.
         around = None if kind == "run" else self.open.innermost("any")
         tool = data.get("tool_use_id")
+        # [root, spans so far] of the tree, shared by its spans; it goes when none of them is open any more. A new
+        # span's parent is the innermost open one, so within a tree the order of numbers is the pre-order.
+        tree = around.get("tree") if around else None
+        tree = tree or [around["id"] if around else self.next_id, 0]
         span = {"id": self.next_id, "kind": kind, "name": name(data, agent), "start_seq": seq, "end_seq": None,
                 "start": ts, "end": None, "duration": None, "status": "running", "data": data,
                 "parent": around and around["id"], "depth": around["depth"] + 1 if around else 0,
-                "tool_use_id": tool if isinstance(tool, str) else None, "tokens": "", "reasoning": ""}
+                "tool_use_id": tool if isinstance(tool, str) else None, "tokens": "", "reasoning": "",
+                "tree": tree, "nth": tree[1]}
+        tree[1] += 1
         self.next_id += 1
         if kind == "metrics":  # a point, never open
             self.done.append(span | {"status": None})
@@ -184,14 +193,6 @@ class SpanReplay:
         self.done.append(span)
 
 
-def preorder_positions(spans: list[dict]) -> dict[int, int]:
-    """Place of each span when every span is followed by its children, both in the order of their numbers."""
-    path: dict[int, tuple] = {}
-    for span in sorted(spans, key=lambda x: x["id"]):  # a parent has a lower number than its children
-        path[span["id"]] = path.get(span["parent"], ()) + (span["id"],)
-    return {i: at for at, i in enumerate(sorted(path, key=path.get))}
-
-
 def span_row(run_id, n: dict, preorder) -> dict:
     return {
         "run_id": run_id, "span_id": f"n{n['id']}", "parent_id": None if n["parent"] is None else f"n{n['parent']}",
@@ -202,25 +203,56 @@ def span_row(run_id, n: dict, preorder) -> dict:
     }
 
 
-def replay_run(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Replay one run's events (sorted by seq here) into span rows, open spans included as 'running'."""
-    pdf = pdf.sort_values("seq", kind="stable")
-    replay = SpanReplay()
-    for ev in pdf.itertuples(index=False):
-        replay.feed(ev.type, int(ev.seq), ev.timestamp, ev.agent, ev.data)
-    spans = sorted([*replay.done, *replay.open.spans.values()], key=lambda x: x["id"])
-    at = preorder_positions(spans)
-    run_id = pdf["run_id"].iloc[0] if len(pdf) else None
-    return pd.DataFrame([span_row(run_id, x, at[x["id"]]) for x in spans], columns=SPAN_SCHEMA_NAMES)
-
-
 SPAN_SCHEMA_NAMES = [c.strip().split(" ")[0] for c in SPAN_SCHEMA.split(",")]
+_ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+#: Span rows with the tree they are in; preorder is the place in the tree.
+TREE_SPAN_SCHEMA = SPAN_SCHEMA + ", _root long"
+_ARROW_SCHEMA = pa.schema([(c.split()[0], _ARROW_TYPES[c.split()[1]]) for c in TREE_SPAN_SCHEMA.split(", ")])
+#: Span rows that leave a worker at once.
+SPAN_ROWS = 4096
+
+
+def _span_batches(run_id, spans: list[dict]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(spans), SPAN_ROWS):
+        rows = [span_row(run_id, x, x["nth"]) | {"_root": x["tree"][0]} for x in spans[at:at + SPAN_ROWS]]
+        for r in rows:
+            if r["duration_s"] != r["duration_s"]:  # NaN
+                r["duration_s"] = None
+        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
+
+
+def replay_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replay events sorted by (run_id, seq) into span rows; closed spans leave with the batch that closed them, open
+    ones as 'running' at the end of their run."""
+    run_id, replay = None, None
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("run_id", "type", "seq", "timestamp", "agent", "data")]
+        for run, etype, seq, ts, agent, raw in zip(*cols):
+            if replay is None or run != run_id:
+                if replay is not None:
+                    yield from _span_batches(run_id, [*replay.done, *replay.open.spans.values()])
+                run_id, replay = run, SpanReplay()
+            replay.feed(etype, int(seq), ts, agent, raw)
+        if replay is not None:
+            yield from _span_batches(run_id, replay.done)
+            replay.done.clear()
+    if replay is not None:
+        yield from _span_batches(run_id, list(replay.open.spans.values()))
 
 
 def trace_spans(events: DataFrame) -> DataFrame:
     """TR-1 / TR-3: one row per span of every run (exact stack replay per run)."""
     ev = events.select("run_id", "seq", "type", "agent", "timestamp", "data")
-    return ev.groupBy("run_id").applyInPandas(replay_run, schema=SPAN_SCHEMA)
+    spans = ev.repartition("run_id").sortWithinPartitions("run_id", "seq").mapInArrow(replay_sorted, TREE_SPAN_SCHEMA)
+    # A tree's spans come after those of all earlier roots. A null run_id is a run of its own.
+    spans = spans.withColumns({"_run": F.coalesce("run_id", F.lit("")), "_none": F.col("run_id").isNull()})
+    trees = spans.groupBy("_run", "_none", "_root").agg(F.count(F.lit(1)).alias("_size"))
+    trees = running_sums(trees, ["_run", "_none"], F.col("_root"), ["_root"], {"_upto": F.col("_size")},
+                         chunk_width=SEQ_CHUNK)
+    before = trees.select("_run", "_none", "_root", (F.col("_upto") - F.col("_size")).alias("_before"))
+    placed = spans.join(before, ["_run", "_none", "_root"])
+    preorder = (F.col("_before") + F.col("preorder")).cast("int").alias("preorder")
+    return placed.select(*[preorder if c == "preorder" else F.col(c) for c in SPAN_SCHEMA_NAMES])
 
 
 # ---- TR-2: Catalyst-only spans for well-nested runs ------------------------------------------------------

@@ -116,3 +116,44 @@ def test_hybrid_equals_replay_on_telemetry_binding(spark):
     a = sorted((tuple(r) for r in TR.trace_spans(ev_df).select(*COLS).collect()), key=repr)
     b = sorted((tuple(r) for r in TR.trace_spans_hybrid(ev_df).select(*COLS).collect()), key=repr)
     assert len(a) > 50 and a == b
+
+
+def disturbed(rng, run, n):
+    kinds = ["run_start", "invocation_start", "model_call_start", "tool_start", "sub_agent_start", "metrics", "run_end",
+             "invocation_end", "model_call_end", "tool_end", "sub_agent_end", "token", "tool_end", "model_call_end"]
+    return [ev(i, rng.choice(kinds), run=run, tool_use_id=rng.choice(["a", "b", "c", None]), text="x")
+            for i in range(n)]
+
+
+def test_preorder_of_disturbed_runs(spark):
+    rng = random.Random(9)
+    rows = [r for i in range(12) for r in disturbed(rng, f"d{i}", rng.randint(1, 120))]
+    rows += [(s, None, *rest) for s, _, *rest in disturbed(rng, "none", 80)]
+    runs = {}
+    for r in TR.trace_spans(frame(spark, rows)).collect():
+        runs.setdefault(r.run_id, []).append(r)
+    assert len(runs) == 13
+    moved = 0
+    for spans in runs.values():
+        path = {}
+        for r in sorted(spans, key=lambda x: int(x.span_id[1:])):
+            path[r.span_id] = path.get(r.parent_id, ()) + (int(r.span_id[1:]),)
+        expected = {s: i for i, s in enumerate(sorted(path, key=path.get))}
+        assert {r.span_id: r.preorder for r in spans} == expected
+        moved += sum(i != int(s[1:]) for s, i in expected.items())
+    assert moved > 0
+
+
+def test_replay_holds_open_spans_only():
+    """A long run goes through batch by batch: spans that closed leave before the next batch is read."""
+    import pyarrow as pa
+
+    names, read = ["seq", "run_id", "type", "agent", "timestamp", "data"], []
+
+    def batches():
+        for b in range(20):
+            read.append(b)
+            rows = [ev(b * 100 + i, ("tool_start", "tool_end")[i % 2], tool_use_id="t") for i in range(100)]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+    out = [(len(read), batch.num_rows) for batch in TR.replay_sorted(batches())]
+    assert out == [(b + 1, 50) for b in range(20)]
