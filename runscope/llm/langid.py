@@ -11,15 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runscope.llm.common import map_batches
+from runscope.llm.common import cut, map_batches, small
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
-#: The training sample: documents of each language, in the order of a hash of the doc_id; the languages, most frequent
-#: first; windows of a document, evenly spread over it.
-SAMPLE_DOCS, MAX_LANGS, SAMPLE_WINDOWS = 400, 64, 6
+#: The training sample: documents of each language, in the order of a hash of the doc_id; windows of a document, evenly
+#: spread over it. All languages are learned, so the driver gets up to 600 KB of windows for each.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
 EPOCHS, BATCH, RATE, SEED = 8, 64, 3e-3, 7
 #: Windows that go through the network at once.
 AT_ONCE = 256
@@ -143,30 +143,29 @@ class ByteCnn:
 
 
 def train(docs: DataFrame, learn: Column, max_docs: int = SAMPLE_DOCS, epochs: int = EPOCHS) -> ByteCnn:
-    """Train on up to ``max_docs`` documents of each of the MAX_LANGS most frequent languages among rows for which
-    ``learn`` holds, with non-null text, lang and doc_id. The sample is the same however the table is split."""
+    """Train on up to ``max_docs`` documents of each language among rows for which ``learn`` holds, with non-null text,
+    lang and doc_id. The sample is the same however the table is split."""
     rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    langs = sorted(r["lang"] for r in counts)
-    picked = []
-    for lang in langs:
-        # Rows of one doc_id, however many, are one document: that of the smallest text hash.
-        order = rows.where(F.col("lang") == lang).groupBy("doc_id", "lang").agg(F.min("th").alias("th"))
-        picked += [tuple(r) for r in order.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()]
-    model = ByteCnn(langs)
-    if not picked:
-        return model
-    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, lang string, th long")
+    # Rows of one doc_id, however many, are one document: that of the smallest text hash.
+    ids = rows.groupBy("doc_id", "lang").agg(F.min("th").alias("th"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = ids.withColumn("at", F.row_number().over(order)).where(F.col("at") <= max_docs).drop("at")
+    ids = small(cut(ids, "langid-sample"), 64)
     # At most SAMPLE_WINDOWS windows of a text leave the task that read it, and of a document once.
-    found = rows.join(F.broadcast(ids), ["doc_id", "lang", "th"]).select("doc_id", "lang", "text").mapInArrow(
+    found = rows.join(ids, ["doc_id", "lang", "th"]).select("doc_id", "lang", "text").mapInArrow(
         _sample_windows, "doc_id long, lang string, data binary")
     found = found.groupBy("doc_id", "lang").agg(F.min("data").alias("data"))
     sample = sorted((r["lang"], bytes(r["data"])) for r in found.collect())
+    langs = sorted({lang for lang, _ in sample})
+    model = ByteCnn(langs)
+    if not sample:
+        return model
+    place = {lang: i for i, lang in enumerate(langs)}
     x = np.concatenate([np.frombuffer(d, np.uint8).reshape(-1, WINDOW) for _, d in sample])
-    y = np.concatenate([np.full(len(d) // WINDOW, langs.index(lang)) for lang, d in sample])
+    y = np.concatenate([np.full(len(d) // WINDOW, place[lang]) for lang, d in sample])
     return model.fit(x, y, epochs)
 
 

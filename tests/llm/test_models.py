@@ -248,3 +248,12 @@ def test_samples_take_a_repeated_id_once(spark, monkeypatch):
         langid.train(docs.repartition(parts), F.lit(True))
     assert sorted(fitted[0][1].tolist()) == [0] * 4 + [1] * 4
     assert (fitted[0][0] == fitted[1][0]).all()
+
+
+def test_language_learns_every_language(spark, monkeypatch):
+    docs = spark.createDataFrame([(10 * i + j, f"text {j} of {i}", f"l{i:02}") for i in range(70) for j in range(3)],
+                                 "doc_id long, text string, lang string")
+    fitted = []
+    monkeypatch.setattr(langid.ByteCnn, "fit", lambda self, x, y, epochs: fitted.append(y.tolist()) or self)
+    assert langid.train(docs, F.lit(True), max_docs=2).langs == [f"l{i:02}" for i in range(70)]
+    assert fitted == [[i for i in range(70) for _ in range(2)]]
