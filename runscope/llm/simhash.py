@@ -122,6 +122,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, hot_ent
     they get the component of the documents that they link to, null if there is none. Rows of one doc_id are one
     document (their links are joined). An empty table gives an empty result.
     """
+    return _components(docs, shingle_words, hot_entries).drop("root")
+
+
+def _components(docs: DataFrame, shingle_words: int, hot_entries: int = HOT_ENTRIES) -> DataFrame:
+    """The rows of ``near_duplicates`` with the root of their component, which those without any doc_id have too."""
     prints = cut(fingerprints(docs, shingle_words), "simhash-prints")
     # Copies, however many, are one fingerprint from here on.
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
@@ -133,9 +138,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, hot_ent
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left")
     rooted = cut(rooted.select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    rooted = rooted.join(named, "root").select("fp", "component_id")
+    rooted = rooted.join(named, "root").select("fp", "component_id", "root")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(rooted, "fp").select("doc_id", "th", hexed.alias("fingerprint"), "component_id")
+    return prints.join(rooted, "fp").select("doc_id", "th", hexed.alias("fingerprint"), "component_id", "root")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -144,14 +149,14 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     Rows that can't be told from it (same doc_id and text) count as one document and stay. Of a component without
     any doc_id, the rows of the smallest text hash stay.
     """
-    found = cut(near_duplicates(docs, shingle_words), "simhash-found")
+    found = cut(_components(docs, shingle_words).drop("fingerprint"), "simhash-found")
     drop = found.where("component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select("doc_id", "th")
     # The id that stays may have rows of several texts: those of the smallest hash stay.
     stays = found.where("doc_id = component_id").select("doc_id", "th")
     kept = stays.groupBy("doc_id").agg(F.min("th").alias("kept"))
     drop = drop.union(stays.join(kept, "doc_id").where("th <> kept").select("doc_id", "th"))
-    nameless = found.where("component_id IS NULL").select("doc_id", "th", "fingerprint")
-    first = nameless.groupBy("fingerprint").agg(F.min("th").alias("kept"))
+    nameless = found.where("component_id IS NULL").select("doc_id", "th", "root")
+    first = nameless.groupBy("root").agg(F.min("th").alias("kept"))
     drop = drop.union(
-        nameless.join(first, "fingerprint").where("th <> kept").select("doc_id", "th"))
+        nameless.join(first, "root").where("th <> kept").select("doc_id", "th"))
     return without(docs, cut(drop.distinct(), "simhash-drop"))

@@ -180,6 +180,23 @@ def test_keep_one(spark):
     assert simhash.keep_one(empty_docs(spark)).collect() == []
 
 
+def test_keep_one_of_near_copies_without_id(spark):
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10 ** 6)}" for _ in range(400)]
+    base, near = " ".join(words), None
+    bits = brute_fingerprint(base)
+    for i in range(400):
+        text = " ".join([*words[:i], "other", *words[i + 1:]])
+        if 1 <= (bits ^ brute_fingerprint(text)).bit_count() <= 3:
+            near = text
+            break
+    assert near is not None
+    docs = spark.createDataFrame([(None, base), (None, near), (None, "quite another text"), (5, "a named text")],
+                                 "doc_id long, text string")
+    kept = simhash.keep_one(docs).collect()
+    assert len(kept) == 3 and sum(r["text"] in (base, near) for r in kept) == 1
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)]
