@@ -57,13 +57,19 @@ contents AS (
   FROM lines WHERE content <> '' GROUP BY content),
 halves AS (
   SELECT content, n, pos, m, 0 AS side, left(content, m // 2) AS half FROM contents, (VALUES (0), (1)) AS t(less),
-         LATERAL (SELECT n - less AS m) WHERE n >= 16
+         LATERAL (SELECT n - less AS m) WHERE n >= 3
   UNION ALL
   SELECT content, n, pos, m, 1, right(content, m - m // 2) FROM contents, (VALUES (0), (1)) AS t(less),
-         LATERAL (SELECT n - less AS m) WHERE n >= 16),
+         LATERAL (SELECT n - less AS m) WHERE n >= 3),
 near AS (
   SELECT DISTINCT b.content FROM halves a JOIN halves b ON a.m = b.m AND a.side = b.side AND a.half = b.half
-  WHERE a.pos < b.pos AND levenshtein(a.content, b.content) <= 1),
+  WHERE a.pos < b.pos AND CASE  -- characters, not bytes
+    WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda i: a.content[i] <> b.content[i])) <= 1
+    WHEN a.n = b.n + 1 THEN len(list_filter(range(1, a.n + 1),
+      lambda i: a.content[:i - 1] || a.content[i + 1:] = b.content)) > 0
+    WHEN b.n = a.n + 1 THEN len(list_filter(range(1, b.n + 1),
+      lambda i: b.content[:i - 1] || b.content[i + 1:] = a.content)) > 0
+    ELSE false END),
 gone AS (
   SELECT l.doc_id, l.line_no FROM lines l JOIN contents c ON l.content = c.content
   WHERE (l.doc_id, l.line_no) > c.pos OR l.content IN (SELECT content FROM near)),

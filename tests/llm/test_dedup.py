@@ -11,37 +11,36 @@ from runscope.llm.common import connected_components
 from tests.llm.edge import ROWS, SCHEMA, edge_docs, empty_docs, key
 
 
-def within_one(a: str, b: str) -> bool:
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    return a[i + 1:] == b[i + 1:] or a[i:] == b[i + 1:] or a[i + 1:] == b[i:]
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
 
-def brute_lines(rows, min_chars=line_dedup.MIN_CHARS):
+def near(a: str, b: str, edits: int) -> bool:
+    return abs(len(a) - len(b)) <= edits and distance(a, b) <= edits
+
+
+def brute_lines(rows, edits=1):
     docs = sorted({(d, t) for d, t in rows if t is not None}, key=lambda r: (
         r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest(r[1].encode(), 42) - (
             1 << 64 if xxhash.xxh64_intdigest(r[1].encode(), 42) >= 1 << 63 else 0)))
-    first, gone = {}, {}
+    first, gone = set(), {}
     for doc in docs:
         for no, line in enumerate(doc[1].split("\n")):
             c = line_dedup.content(line)
-            if not c:
-                continue
-            bad = c in first or len(c) >= min_chars and any(
-                len(o) >= min_chars and within_one(c, o) for o in first)
-            near = c not in first and bad
-            if bad:
+            if c and (c in first or len(c) > 2 * edits and any(len(o) > 2 * edits and near(c, o, edits) for o in first)):
                 gone.setdefault(doc, set()).add(no)
-            first.setdefault(c, near)
-    # A content that is near an earlier one goes wherever it stands; contents seen first decide.
+            if c:
+                first.add(c)
     return gone
 
 
-def lines_after(rows):
-    gone = brute_lines(rows)
+def lines_after(rows, edits=1):
+    gone = brute_lines(rows, edits)
     out = []
     for doc in rows:
         if doc[1] is None:
@@ -59,7 +58,8 @@ def noisy(rng, s):
 
 def near_line_rows(seed):
     rng = random.Random(seed)
-    base = ["".join(rng.choice("abcä ") for _ in range(rng.randrange(3, 40))).strip() or "x" for _ in range(30)]
+    base = ["".join(rng.choice("abcä ") for _ in range(rng.randrange(1, rng.choice([6, 40])))).strip() or "x"
+            for _ in range(30)]
     rows = []
     for i in range(60):
         lines = [rng.choice(base) for _ in range(rng.randrange(1, 5))]
@@ -69,12 +69,42 @@ def near_line_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup_random(spark, seed):
+@pytest.mark.parametrize("seed,edits", [(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 0)])
+def test_line_dedup_random(spark, seed, edits):
     rows = near_line_rows(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = line_dedup.dedup_lines(docs).collect()
-    assert sorted(tuple(r) for r in got) == sorted(lines_after(rows))
+    got = line_dedup.dedup_lines(docs, max_edits=edits).collect()
+    assert sorted(tuple(r) for r in got) == sorted(lines_after(rows, edits))
+
+
+def test_line_dedup_short_lines(spark):
+    rows = [(1, "And with.\nab\nabc\nno"), (2, "And, with.\nac\nabd\nno"), (3, "Xab\nbc\nabcd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: "And with.\nab\nabc\nno", 2: "ac", 3: "Xab\nbc"}
+    longer = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, min_chars=9).collect()}
+    assert longer == {1: "And with.\nab\nabc\nno", 2: "ac\nabd", 3: "Xab\nbc\nabcd"}
+
+
+def test_line_dedup_very_long_lines(spark):
+    """Lines of 100,000 characters, and a document of very many lines that all go."""
+    rng = random.Random(4)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(100_000)).strip()
+    many = "\n".join(f"line number {i * 37 % 20_000:05d} of them" * 2 for i in range(20_000))
+    rows = [(1, line), (2, line[:50_000] + "Z" + line[50_001:]), (3, line[:70_000] + line[70_001:]),
+            (4, line[:-3] + "XYZ"), (5, many), (6, many)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == line and got[2] == got[3] == got[6] == "" and got[4] == rows[3][1]
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_within_edits(edits):
+    rng = random.Random(edits)
+    for _ in range(3000):
+        a = "".join(rng.choice("ab") for _ in range(rng.randrange(9)))
+        b = "".join(rng.choice("ab") for _ in range(rng.randrange(9)))
+        assert line_dedup.within_edits(a, b, edits) == (distance(a, b) <= edits)
 
 
 def test_line_dedup_edges(spark):
@@ -96,11 +126,11 @@ def test_line_dedup_edges(spark):
 def test_line_variants_meet():
     a, b, c = "the quick brown fox jumps", "the quick brwn fox jumps", "the quick brXwn fox jumps"
     sums = line_dedup.Prefixes([a, b, c])
-    va, vb, vc = (sums.variants(i).tolist() for i in range(3))
-    assert vb[0] in va and va[0] not in vc
-    assert [x for x in va[1:] if x in vc[1:]]
-    halves = line_dedup.Prefixes([a, b]).halves().tolist()
-    assert set(halves[0]) & set(halves[1])
+    one = lambda i, masked, left_out: set(next(sums.variants(i, masked, left_out)).tolist())
+    assert one(1, 0, 0) <= one(0, 0, 1) and not one(0, 0, 0) & one(2, 0, 1)
+    assert one(0, 1, 0) & one(2, 1, 0)
+    segments = line_dedup.Prefixes([a, b]).segments(1).tolist()
+    assert set(segments[0]) & set(segments[1])
 
 
 def brute_fingerprint(text):
