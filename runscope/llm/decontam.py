@@ -2,7 +2,9 @@
 
 Of every ``SPAN`` consecutive words, the smallest of the k-gram hashes is kept, for documents and items alike, so
 that a shared span of WINDOW = k + SPAN_GRAMS - 1 words or more always shares a kept hash. Documents and items meet
-on kept hashes; then each alignment is extended: the item's windows are compared word by word with the document.
+on kept hashes; then each hit is extended along its diagonal (place in the document less place in the item): the
+item's words there are joined word by word with the document's, and runs of WINDOW equal words are occurrences. Words
+of one place are rows of their own, so nothing is copied for each hit, however often a text repeats itself.
 Items with fewer words than a window are one window each; they meet on the hash of all their words.
 """
 
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runscope.llm.common import ascii_lower, cut, doc_rows, same_doc, without
+from runscope.llm.common import ascii_lower, cut, doc_rows, same_doc, small, without
 
 #: Words of a window, words of a hashed k-gram, k-grams of which the smallest hash is kept.
 WINDOW, K = 10, 5
@@ -72,33 +74,41 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prints = cut(grams.select("doc_id", "th", F.size("wh").cast("long").alias("n_words"),
                               (F.concat(*marks) if short else marks[0]).alias("prints")), "decontam-prints")
 
-    # Which documents share a kept hash with which items.
-    of_items = items.select("item", F.explode("marks.h").alias("h")).distinct()
-    found = prints.select("doc_id", "th", F.explode("prints").alias("h")).join(of_items, "h")
-    found = found.select("doc_id", "th", "item").distinct()
-    per_doc = cut(found.groupBy("doc_id", "th").agg(F.collect_list("item").alias("items")), "decontam-found")
-
-    # Extend: all windows of the item on each alignment (diagonal d = place in the document - place in the item).
-    near = doc_rows(docs).alias("d")
-    near = near.join(per_doc, same_doc(near, per_doc)).select(near["doc_id"], near["th"], near["text"], "items")
-    near = near.dropDuplicates(["doc_id", "th"]).withColumn("w", word_array(F.col("text"))).drop("text")
-    near = near.withColumn("wh", F.expr("transform(w, x -> xxhash64(x))"))
-    pairs = near.withColumn("item", F.explode("items")).join(items, "item")
-    pairs = pairs.withColumn("places", F.expr(
-        "filter(transform(IF(size(wh) >= k, sequence(0, size(wh) - k), array()), "
-        "p -> struct(p AS p, xxhash64(slice(wh, p + 1, k)) AS h)), x -> array_contains(marks.h, x.h))"))
-    pairs = pairs.withColumn("diagonals", F.expr(
-        "array_distinct(flatten(transform(places, x -> transform(filter(marks, y -> y.h = x.h), y -> x.p - y.q))))"))
-    pairs = pairs.withColumn("l", F.least("m", F.lit(WINDOW)))
-    pairs = pairs.withColumn("starts", F.expr(
-        "array_distinct(flatten(transform(diagonals, d -> transform(filter(sequence(0, m - l), "
-        "q -> d + q >= 0 AND d + q + l <= size(w) AND slice(w, greatest(d + q + 1, 1), l) = slice(iw, q + 1, l)), "
-        "q -> d + q))))"))
-    hits = pairs.where(F.size("starts") > 0).select("doc_id", "th", "item_id", F.expr(
-        "array_distinct(flatten(transform(starts, s -> sequence(s, s + l - 1))))").alias("at"))
-    hits = cut(hits.groupBy("doc_id", "th").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"),
-        F.array_sort(F.collect_set("item_id")).alias("ids")), "decontam-hits")
+    # Which documents share a kept hash with an item.
+    marks_of = items.select("item", "k", F.explode("marks").alias("x")).select("item", "k", "x.q", "x.h")
+    marks_of = small(cut(marks_of, "decontam-marks"), 40)
+    found = prints.select("doc_id", "th", F.explode("prints").alias("h")).join(marks_of.select("h"), "h", "left_semi")
+    found = cut(found.select("doc_id", "th").distinct().withColumn("no", F.monotonically_increasing_id()),
+                "decontam-found")
+
+    # Their words, once for each document.
+    near = doc_rows(docs)
+    near = near.join(small(found, 40), same_doc(near, found)).select("no", word_array(F.col("text")).alias("w"))
+    near = cut(near.dropDuplicates(["no"]), "decontam-near")
+    grams = near.select("no", F.expr("transform(w, x -> xxhash64(x))").alias("wh"))
+    places = [F.struct(F.lit(k).alias("k"), _grams("wh", k).alias("g")) for k in [K, *short]]
+    grams = grams.select("no", F.inline(F.array(*places))).select("no", "k", F.posexplode("g").alias("p", "h"))
+
+    # Extend: on each diagonal of a hit, the item's words that the document has at their place; runs of l of them.
+    diagonals = grams.join(marks_of, ["k", "h"]).select("no", "item", (F.col("p") - F.col("q")).alias("d")).distinct()
+    words = small(items.select("item", F.least("m", F.lit(WINDOW)).alias("l"), F.posexplode("iw").alias("q", "word")),
+                  64)
+    lined_up = diagonals.join(words, "item").withColumn("pos", F.col("d") + F.col("q"))
+    in_docs = near.select("no", F.posexplode("w").alias("pos", "word"))
+    equal = lined_up.join(in_docs, ["no", "pos", "word"]).groupBy("no", "item", "d", "l").agg(
+        F.array_sort(F.collect_list("q")).alias("at"))
+    starts = equal.where(F.size("at") >= F.col("l")).select("no", "item", "l", F.explode(F.expr(
+        "transform(filter(sequence(0, size(at) - l), i -> at[i + l - 1] = at[i] + l - 1), i -> d + at[i])")).alias("s"))
+    # Words in the union of a document's windows: each adds what lies beyond the ends of those that start before it.
+    spans = starts.groupBy("no").agg(F.array_sort(F.collect_set(F.struct("s", (F.col("s") + F.col("l")).alias("e"))))
+                                     .alias("spans"), F.collect_set("item").alias("hit_items"))
+    n_hit = F.expr("aggregate(spans, struct(0 AS e, 0L AS n), (a, x) -> struct(greatest(a.e, x.e) AS e, "
+                   "a.n + greatest(0, x.e - greatest(a.e, x.s)) AS n)).n")
+    hits = cut(spans.select("no", n_hit.alias("n_hit"), "hit_items"), "decontam-spans")
+    ids = hits.select("no", F.explode("hit_items").alias("item")).join(items.select("item", "item_id"), "item")
+    ids = ids.groupBy("no").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    hits = found.join(hits.select("no", "n_hit"), "no").join(ids, "no").select("doc_id", "th", "n_hit", "ids")
+    hits = cut(hits, "decontam-hits")
 
     out = prints.join(hits, same_doc(prints, hits), "left")
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))

@@ -15,8 +15,8 @@ _MAGIC = b"EF01"
 class EliasFano:
     """n values in [0, universe]: the low l bits packed, the high parts as a unary bit vector.
 
-    About 2 + log2(universe / n) bits a value, plus 32 bits for each SAMPLE values. ``select(i)`` finds the i-th one
-    bit of the high vector from the nearest sample.
+    About 2 + log2(universe / n) bits a value, plus 32 bits for each SAMPLE values. ``select`` finds one bits of the
+    high vector from the nearest samples.
     """
 
     def __init__(self, n: int, universe: int, low_bits: int, low: bytes, high: bytes, samples: bytes):
@@ -40,33 +40,36 @@ class EliasFano:
         return cls(n, universe, low_bits, low.tobytes(), np.packbits(high, bitorder="little").tobytes(),
                    at[::SAMPLE].astype("<u4").tobytes())
 
-    def select(self, i: int) -> int:
-        """Position of the i-th one bit of the high vector."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte = at // 8
-        bits = np.unpackbits(self.high[byte:byte + 64], bitorder="little")
-        bits[:at % 8] = 0
-        while (ones := int(bits.sum())) <= left:
-            left -= ones
-            byte += 64
-            bits = np.unpackbits(self.high[byte:byte + 64], bitorder="little")
-        return byte * 8 + int(np.flatnonzero(bits)[left])
+    def select(self, places: np.ndarray) -> np.ndarray:
+        """Positions of the one bits of the high vector with these numbers (ascending): those after a sample are found
+        in the stretch up to the next sample, nothing else is read."""
+        places = np.asarray(places, dtype=np.int64)
+        if len(places) and not (0 <= places[0] and places[-1] < self.n and np.all(np.diff(places) >= 0)):
+            raise IndexError("numbers of values, ascending")
+        out = np.empty(len(places), np.int64)
+        groups, first = np.unique(places // SAMPLE, return_index=True)
+        for g, lo, hi in zip(groups.tolist(), first.tolist(), [*first[1:].tolist(), len(places)]):
+            at = int(self.samples[g])
+            end = int(self.samples[g + 1]) if g + 1 < len(self.samples) else 8 * len(self.high)
+            ones = np.flatnonzero(np.unpackbits(self.high[at // 8:-(-end // 8)], bitorder="little"))
+            ones = ones[np.searchsorted(ones, at % 8):]  # those before the sample belong to earlier values
+            out[lo:hi] = at // 8 * 8 + ones[places[lo:hi] % SAMPLE]
+        return out
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The values with these numbers (ascending)."""
+        places = np.asarray(places, dtype=np.int64)
+        high = self.select(places) - places
+        bits = places[:, None] * self.low_bits + np.arange(self.low_bits)
+        low = (self.low[bits // 8].astype(np.int64) >> (bits % 8) & 1) << np.arange(self.low_bits)
+        return high << self.low_bits | low.sum(axis=1, dtype=np.int64)
 
     def __getitem__(self, i: int) -> int:
-        high, low = self.select(i) - i, 0
-        for k in range(self.low_bits):
-            p = i * self.low_bits + k
-            low |= (int(self.low[p // 8]) >> (p % 8) & 1) << k
-        return high << self.low_bits | low
+        return int(self.at(np.array([i]))[0])
 
     def all(self) -> np.ndarray:
         """All values at once."""
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low, bitorder="little")[:self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
-        return (high.astype(np.int64) << self.low_bits) | low
+        return self.at(np.arange(self.n))
 
     def to_bytes(self) -> bytes:
         parts = [self.low.tobytes(), self.high.tobytes(), self.samples.tobytes()]

@@ -25,6 +25,9 @@ from runscope.llm.pieces import PieceEncoder
 #: A block is closed when it holds this many ids (a longer document is a block of its own).
 BLOCK_IDS = 1 << 19
 
+#: Characters of the text by which rows of one doc_id are ordered before its hash.
+HEAD_CHARS = 64
+
 BLOCK_SCHEMA = ("part int, block int, start long, n_docs int, n_ids long, width int, ids binary, ends binary, "
                 "doc_ids array<long>")
 _ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int32()),
@@ -97,13 +100,18 @@ def _blocks(tokenizer: bytes, end_id: int):
 def write_token_blocks(docs: DataFrame, tokenizer: bytes, path: str, end_id: int = 2) -> None:
     """Encode (doc_id, text) rows, append ``end_id`` to each, and write the blocks in ascending doc_id order.
 
-    The rows are dealt out by doc_id ranges and sorted inside a range (which spills, never gathers); rows of the same
-    doc_id are ordered by text, null ids come first. Null texts count as empty: they hold the end id alone.
+    The rows are dealt out by ranges of doc_id, first characters and hash of the text, and sorted inside a range
+    (which spills, never gathers), so that an id that very many rows share is spread over several tasks; null ids come
+    first, rows of one id are in that order, too. Null texts count as empty: they hold the end id alone.
     ``tokenizer`` is the content of a tokenizers .json file, a few MB at most, sent with the tasks.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_batches(rows, _blocks(tokenizer, end_id), BLOCK_SCHEMA).write.parquet(path)
+    # ``row`` parts equal rows; their order changes nothing.
+    rows = rows.withColumns({"head": F.left("text", F.lit(HEAD_CHARS)), "th": F.xxhash64("text"),
+                             "row": F.monotonically_increasing_id()})
+    order = ["doc_id", "head", "th", "row"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    map_batches(rows.select("doc_id", "text"), _blocks(tokenizer, end_id), BLOCK_SCHEMA).write.parquet(path)
 
 
 def read_token_blocks(spark, path: str) -> tuple[DataFrame, dict[int, int]]:
@@ -119,14 +127,39 @@ def read_token_blocks(spark, path: str) -> tuple[DataFrame, dict[int, int]]:
     return blocks, base
 
 
+def spans(code: EliasFano, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets in a block's ids at which these of its documents (ascending) start and end, by select on the block."""
+    ends = code.at(places)
+    starts = np.where(places > 0, code.at(np.maximum(places - 1, 0)), 0)
+    return starts, ends
+
+
+def _wanted(wanted: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.to_pylist():
+                places = np.flatnonzero(np.isin(np.array(b["doc_ids"], dtype=object), wanted))
+                ids, at = np.frombuffer(b["ids"], f"<u{b['width']}"), places.tolist()
+                lists = [ids[s:e].tolist() for s, e in zip(*spans(EliasFano.from_bytes(b["ends"]), places))]
+                yield pa.RecordBatch.from_arrays([pa.array([b["doc_ids"][i] for i in at], pa.int64()),
+                                                  pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+    return run
+
+
+def look_up(blocks: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of a few documents, by select on the blocks that hold them; nothing else is decoded."""
+    held = blocks.where(F.arrays_overlap("doc_ids", F.array(*[F.lit(i).cast("long") for i in doc_ids])))
+    return map_batches(held, _wanted(list(doc_ids)), "doc_id long, ids array<long>")
+
+
 def _documents(base: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.to_pylist():
-                ends = EliasFano.from_bytes(b["ends"]).all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                wide = np.frombuffer(b["ids"], f"<u{b['width']}").astype("<u4")
-                crc = [zlib.crc32(wide[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
+                code = EliasFano.from_bytes(b["ends"])
+                starts, ends = spans(code, np.arange(code.n))
+                ids = np.frombuffer(b["ids"], f"<u{b['width']}")
+                crc = [zlib.crc32(ids[s:e].astype("<u4")) for s, e in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(b["doc_ids"], pa.int64()), pa.array(starts + (base[b["part"]] + b["start"])),
                     pa.array(ends - starts), pa.array(crc, pa.int64())], schema=_OUT)

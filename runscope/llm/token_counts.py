@@ -106,13 +106,21 @@ def count_tokens(docs: DataFrame, tokenizer: bytes, cache_path: str | None = Non
 
     # One document stands for each digest that is not in the cache. Copies are dropped by an aggregate over digests
     # (combined on the map side) before any text moves; then the texts meet their digests on a key without skew.
-    misses = keys.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    misses = misses.join(_read_cache(spark, cache_path, version), "digest", "left_anti")
-    same = rows["doc_id"].eqNullSafe(misses["doc_id"]) & (rows["digest"] == misses["digest"])
-    todo = rows.join(misses, same, "left_semi").select("digest", "text")
+    # Where rows repeat both the id and the text of the stand-in, one of them is taken before it is encoded.
+    alike = keys.groupBy("digest", "doc_id").agg(F.count("*").alias("same"))
+    misses = alike.groupBy("digest").agg(F.min(F.struct("doc_id", "same")).alias("m"))
+    misses = misses.select("digest", "m.doc_id", "m.same")
+    misses = cut(misses.join(_read_cache(spark, cache_path, version), "digest", "left_anti"), "token-misses")
+
+    def met(some: DataFrame) -> DataFrame:
+        same = rows["doc_id"].eqNullSafe(some["doc_id"]) & (rows["digest"] == some["digest"])
+        return rows.join(some, same, "left_semi").select("digest", "text")
+
+    repeated = misses.where("same > 1")
+    todo = met(misses.where("same = 1"))
+    if repeated.limit(1).count():
+        todo = todo.union(met(repeated).groupBy("digest").agg(F.min("text").alias("text")))
     counted = map_batches(todo, _encode(tokenizer, version), CACHE_SCHEMA)
-    # Rows that repeat both the id and the text of a stand-in have met it too; the cache takes one entry.
-    counted = counted.groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
     counted.write.mode("append").parquet(cache_path)
 
     # The counts of this table's digests as a table of their own: a digest that very many rows share is then one that

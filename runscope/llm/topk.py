@@ -27,11 +27,11 @@ _PACKED = "part int, dim int, kind string, ids binary, matrix binary"
 _FOUND = pa.schema([("query_id", pa.int64()), ("part", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): components as doubles; rows with null or non-finite parts left out."""
+def _vectors(rows: DataFrame, scale: int) -> DataFrame:
+    """(vec_id, v): components as doubles; rows with null or non-finite parts (once scaled) left out."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"),
                        F.col("embedding").cast("array<double>").alias("x"))
-    fine = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    fine = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < F.lit(float("inf"))))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fine)
     return rows.select("vec_id", F.col("x").alias("v"))
 
@@ -66,14 +66,33 @@ def _pack(tile: int, scale: int):
     return run
 
 
+#: Scores are kept within 64 bits.
+_MOST = (1 << 63) - 1
+
+
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products: float64 where no sum can leave its exact range, else 64-bit integers."""
-    most = float(np.abs(q).max(initial=0.0)) * float(np.abs(c).max(initial=0.0)) * max(1, q.shape[1])
-    if most < EXACT:
+    """Exact integer products: float64 where no sum can leave its exact range, else 64-bit integers; rows whose scores
+    may not fit 64 bits are multiplied in unbounded integers."""
+    q_most, c_most = np.abs(q).max(axis=1, initial=0.0), np.abs(c).max(axis=1, initial=0.0)
+    bound = q_most.max(initial=0.0) * c_most.max(initial=0.0) * max(1, q.shape[1])
+    if bound < EXACT:
         return (q @ c.T).astype(np.int64)
-    if most < 2.0 ** 63:
+    if bound < 2.0 ** 63:
         return q.astype(np.int64) @ c.astype(np.int64).T
-    raise OverflowError("a score may not fit 64 bits")
+    # Few rows are that large: a pair without any of them fits.
+    limit = (2.0 ** 62 / max(1, q.shape[1])) ** 0.5
+    big_q, big_c = q_most > limit, c_most > limit
+    out = np.empty((len(q), len(c)), np.int64)
+    out[np.ix_(~big_q, ~big_c)] = _product(q[~big_q], c[~big_c])
+    for rows, columns in ((big_q, np.ones(len(c), bool)), (~big_q, big_c)):
+        if rows.any() and columns.any():
+            whole = _integers(q[rows]) @ _integers(c[columns]).T
+            out[np.ix_(rows, columns)] = np.clip(whole, -_MOST, _MOST).astype(np.int64)
+    return out
+
+
+def _integers(v: np.ndarray) -> np.ndarray:
+    return np.array([[int(x) for x in row] for row in v.tolist()], dtype=object).reshape(v.shape)
 
 
 def _best(k: int):
@@ -112,13 +131,14 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256, query
     ``rows`` has vec_id and embedding; ``is_query`` tells the queries among them. The score is the inner product of
     floor(scale * x). Ties go to the smaller vec_id. A query's candidates are all rows of another vec_id and the same
     dimension; if they are fewer than k, all of them. Rows with a null vec_id, and vectors that are null or hold null
-    or non-finite components, take no part. Repeated candidate rows count as often as they stand in the table;
+    or non-finite components (after scaling, too), take no part. A score beyond 64 bits counts as the largest (or
+    smallest) number of 64 bits. Repeated candidate rows count as often as they stand in the table;
     repeated query rows count once, and a query id with different vectors has one list, of all its vectors' scores.
     Queries without a candidate, and empty tables, give no rows.
     """
     spark = rows.sparkSession
-    shards = cut(map_batches(_vectors(rows), _pack(shard_tile, scale), _PACKED), "topk-shards")
-    queries = cut(_vectors(rows.where(is_query)).distinct(), "topk-query-rows")
+    shards = cut(map_batches(_vectors(rows, scale), _pack(shard_tile, scale), _PACKED), "topk-shards")
+    queries = cut(_vectors(rows.where(is_query), scale).distinct(), "topk-query-rows")
     queries = queries.repartition(max(1, -(-queries.count() // query_tile)))
     queries = cut(map_batches(queries, _pack(query_tile, scale), _PACKED), "topk-queries")
 

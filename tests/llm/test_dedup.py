@@ -310,3 +310,14 @@ def test_decontamination_random(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = decontam.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string")).drop("th")
     assert sorted(tuple(r) for r in got.collect()) == sorted(brute_contamination(rows, items))
+
+
+def test_decontamination_of_repeated_words(spark):
+    """A text of one word 300,000 times against items that repeat it: linear in the text, and every word is hit."""
+    docs = spark.createDataFrame([(1, "la " * 300_000), (2, "la " * 9 + "lo " + "la " * 12), (3, "lu " * 50)],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([("a", "la " * 25), ("b", "la la"), ("c", "lo " + "la " * 11)],
+                                  "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in
+           decontam.find_contamination(docs, items).collect()}
+    assert got == {1: (300_000, 300_000, 3), 2: (22, 22, 3), 3: (50, 0, 0)}

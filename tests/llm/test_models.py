@@ -46,6 +46,18 @@ def test_top_k(spark, k, tile):
     assert topk.top_k(df.limit(0), is_query).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    """Scores beyond 64 bits are the largest or smallest number of 64 bits; all others are exact."""
+    vectors = {0: [1e30, 1.0], 2: [-1e30, 0.0], 4: [1.0, 2.0], 6: [3e8, 1.0], 8: [1e12, -1e3], 10: [5e-1, 1.5],
+               12: [1e308, 1.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(df, F.lit(True), k=9).collect()}
+    most = (1 << 63) - 1
+    ints = {i: [math.floor(256 * x) for x in v] for i, v in vectors.items() if i != 12}  # 12: not finite once scaled
+    assert got == {(a, b): max(-most, min(most, sum(x * y for x, y in zip(u, v))))
+                   for a, u in ints.items() for b, v in ints.items() if a != b}
+
+
 def lm_tokens(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x20\x09-\x0D]+", low) + ["</s>"]

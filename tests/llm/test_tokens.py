@@ -117,8 +117,42 @@ def test_elias_fano(values, spread):
     assert ef.all().tolist() == values
     for i in range(0, len(values), 7):
         assert ef[i] == values[i]
+    some = np.arange(3, len(values), 5)
+    assert ef.at(some).tolist() == [values[i] for i in some]
     with pytest.raises(IndexError):
-        ef.select(len(values))
+        ef.select(np.array([len(values)]))
+
+
+def test_token_blocks_of_a_hot_id(spark, byte_json, tmp_path):
+    """One doc_id on a third of the rows: several tasks write it; single documents are found by select."""
+    rows = [(7 if i % 3 == 0 else i, f"text number {i % 40}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = str(tmp_path / "blocks")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one task
+    try:
+        got = [tuple(r) for r in token_binary.token_documents(docs, vocabulary_file("byte_bpe_50k.json"), path=path)
+               .orderBy("start").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    ids = {t: [*byte_json.encode(t, add_special_tokens=False).ids, 2] for _, t in rows}
+    assert [r[0] for r in got] == sorted(r[0] for r in rows)
+    assert sorted((r[0], r[2]) for r in got) == sorted((d, len(ids[t])) for d, t in rows)
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(len(got))]
+    blocks, _ = token_binary.read_token_blocks(spark, path)
+    assert blocks.where("array_contains(doc_ids, 7)").count() > 1
+    found = sorted((r[0], list(r[1])) for r in token_binary.look_up(blocks, [7, 11, 598, 5000]).collect())
+    assert found == sorted((d, ids[t]) for d, t in rows if d in (7, 11, 598))
+
+
+def test_counts_of_repeated_rows_are_encoded_once(spark, tmp_path, monkeypatch):
+    rows = [(1, "same text"), (1, "same text"), (1, "same text"), (None, "null id"), (None, "null id"), (2, "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    batches = token_counts.map_batches
+    monkeypatch.setattr(token_counts, "map_batches", lambda df, *a: seen.append(df) or batches(df, *a))
+    got = token_counts.count_tokens(docs, vocabulary_file("word_bpe_49k.json")).collect()
+    assert len(got) == 6 and {r["n_tokens"] for r in got if r["doc_id"] == 1} == {2}
+    assert sorted(r["text"] for r in seen[0].collect()) == ["null id", "own", "same text"]
 
 
 def test_elias_fano_size():
