@@ -17,14 +17,13 @@ def log_entries(lines: DataFrame) -> DataFrame:
     """FT-1 (IO-7, FI-1, FI-2): (run_id, line_no, value) -> relevant entries
     (run_id, line_no, level, message, node_id, timestamp).
 
-    Blank lines and lines that are not one JSON object are skipped. The node payload is ``data`` when it is a non-empty object, else
+    Blank lines and lines that are not one JSON object are skipped; a line is parsed once. The node payload is ``data`` when it is a non-empty object, else
     ``info.data`` when non-empty, else nothing; the node id is its ``node_info.unique_id`` or ''. Entries are
     kept when the upper-cased level is ERROR or WARN, or when they name a node.
     """
-    v = F.trim(F.col("value"))
-    p = (lines.filter(v != "")
-         .select("run_id", "line_no", strict_json(F.col("value"), _LOG_SCHEMA).alias("j"))
-         .filter(F.col("j").isNotNull()))
+    p = (strict_json(lines, F.col("value"), _LOG_SCHEMA, ["run_id", "line_no"])
+         .filter((F.size("found") == 1) & F.col("found")[0].isNotNull())
+         .select("run_id", "line_no", F.col("found")[0].alias("j")))
     top, nested = F.col("j.data"), F.col("j.info.data")
     node_obj = (F.when(F.coalesce(F.size(top), F.lit(0)) > 0, top)
                 .when(F.coalesce(F.size(nested), F.lit(0)) > 0, nested))

@@ -137,14 +137,16 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = F.struct(level.alias("level"), msg.alias("msg"),
                     F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"),
                     F.when(~top, node_obj).alias("data"))
-    line = F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("Running with build tool, event "),
-                                                         F.col("event_id").cast("string")))
-    entry = F.to_json(F.struct(info.alias("info"), F.when(top, node_obj).alias("data")))
+    # The entry is built in a step of its own, and once: the damaged lines are made from it.
+    built = e.select("event_id", "user_id", F.to_json(F.struct(info.alias("info"), F.when(top, node_obj).alias("data")))
+                     .alias("entry"))
+    entry, i = F.col("entry"), F.col("event_id")
+    line = F.when(i % 97 == 0, F.concat(F.lit("Running with build tool, event "), i.cast("string")))
     # Damaged lines: text after the object, and quotes that are not JSON's.
-    line = (line.when(F.col("event_id") % 89 == 0, F.concat(entry, F.lit(" trailing")))
-            .when(F.col("event_id") % 83 == 0, F.replace(entry, F.lit('"'), F.lit("'"))).otherwise(entry))
-    return e.select(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"),
-                    F.col("event_id").alias("line_no"), line.alias("value"))
+    line = (line.when(i % 89 == 0, F.concat(entry, F.lit(" trailing")))
+            .when(i % 83 == 0, F.replace(entry, F.lit('"'), F.lit("'"))).otherwise(entry))
+    return built.select(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"),
+                        i.alias("line_no"), line.alias("value"))
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:

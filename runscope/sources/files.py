@@ -51,14 +51,16 @@ def read_event_files(spark: SparkSession, path: str) -> DataFrame:
     return parse_event_lines(lines)
 
 
-def strict_json(value, schema: str):
-    """A JSON object as a struct; NULL unless the text is one object and nothing else, with double quotes only.
+def strict_json(lines: DataFrame, value, schema: str, keep: list) -> DataFrame:
+    """``keep`` columns of the lines and ``found``: a list with the line's object, if it is one JSON object and nothing
+    else, with double quotes only; else null, empty, or of several elements.
 
     The text is read as the only element of a list, so that anything after the object breaks the syntax or makes a
-    second element.
+    second element. The parse stands in a generator: what reads ``found`` refers to its output, so the optimiser can't
+    copy the parse into every field and filter that uses it.
     """
-    found = F.from_json(F.concat(F.lit("["), value, F.lit("]")), f"array<{schema}>", {"allowSingleQuotes": "false"})
-    return F.when(F.size(found) == 1, found[0])
+    parsed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), f"array<{schema}>", {"allowSingleQuotes": "false"})
+    return lines.select(*keep, F.explode(F.array(parsed)).alias("found"))
 
 
 _ENVELOPE = "struct<seq:bigint,run_id:string,type:string,agent:string,timestamp:string,data:string>"
@@ -67,7 +69,8 @@ _ENVELOPE = "struct<seq:bigint,run_id:string,type:string,agent:string,timestamp:
 def parse_event_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """JSON text -> event envelope. Lines that are not one JSON object, or lack a seq, run_id or type, are flagged
     ``valid = false`` so callers can route them to a dead-letter output instead of failing."""
-    parsed = lines.select(F.col(value).alias("_raw"), strict_json(F.col(value), _ENVELOPE).alias("e"))
+    parsed = strict_json(lines, F.col(value), _ENVELOPE, [F.col(value).alias("_raw")])
+    parsed = parsed.select("_raw", F.when(F.size("found") == 1, F.col("found")[0]).alias("e"))
     valid = F.col("e").isNotNull() & F.col("e.seq").isNotNull() & F.col("e.run_id").isNotNull() \
         & F.col("e.type").isNotNull()
     return parsed.select(*[F.col(f"e.{f.name}").alias(f.name) for f in EVENT.fields],
