@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from runscope.operators import triage as T
 from runscope.plans import oracle as O
 from runscope.plans.registry import register
+from runscope.session import scratch_path
 from runscope.sources import bindings as B
+from runscope.sources import files as S
 
 
 def context(spark, sf_dir):
@@ -159,3 +163,64 @@ def q_latest_failed_run(spark, sf_dir):
 SELECT * FROM manifests ORDER BY started_at DESC, run_id DESC LIMIT 1"""), "WI-1")
 def q_latest_manifest(spark, sf_dir):
     return T.latest_run(B.manifests(spark, sf_dir), failed_only=False)
+
+
+# ---- the same inputs as files: written below the shared folder, then read by the file sources -------------------
+
+def write_logs(spark, sf_dir, base) -> str:
+    path = os.path.join(base, "logs")
+    lines = B.log_lines(spark, sf_dir).select(F.concat("run_id", F.lit(".log")).alias("path"), "line_no", "value")
+    S.write_text_files(lines, path, "line_no")
+    return path
+
+
+def write_manifests(spark, sf_dir, base) -> str:
+    """One file a run; that of the run which ended last is written after all others, as a build would."""
+    path = os.path.join(base, "manifests")
+    man = B.manifests(spark, sf_dir)
+    newest = T.latest_run(man, failed_only=False)
+    for part in (man.join(newest, "run_id", "left_anti"), newest):
+        S.write_text_files(part.select(F.concat("run_id", F.lit(".manifest.json")).alias("path"),
+                                       F.to_json(F.struct(*man.columns)).alias("value")), path)
+    return path
+
+
+def write_models(spark, sf_dir, base) -> str:
+    path = os.path.join(base, "project")
+    S.write_text_files(B.model_files(spark, sf_dir).select("path", F.col("sql").alias("value")), path)
+    return path
+
+
+#: The lines of a log file are numbered from 0 within their run.
+FILE_ENTRIES = ENTRIES.strip().replace("entries AS", "by_event AS", 1) + """,
+numbered AS (
+  SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events
+),
+entries AS (SELECT by_event.* REPLACE (place AS line_no) FROM by_event JOIN numbered ON event_id = line_no)"""
+
+
+@register("log_file_entries", O.with_ctes([FILE_ENTRIES], "SELECT * FROM entries"), "IO-7 FT-1")
+def q_log_file_entries(spark, sf_dir):
+    return T.log_entries(S.read_log_files(spark, write_logs(spark, sf_dir, scratch_path(spark, "log-files"))))
+
+
+@register("latest_manifest_file", O.with_ctes([MANIFESTS], """
+SELECT * FROM manifests ORDER BY started_at DESC, run_id DESC LIMIT 1"""), "IO-8 WI-1")
+def q_latest_manifest_file(spark, sf_dir):
+    path = write_manifests(spark, sf_dir, scratch_path(spark, "manifest-files"))
+    return S.read_newest_manifest(spark, path).drop("modified_at")
+
+
+@register("model_sql_files", O.with_ctes([MODEL_SQL], "SELECT model_name, sql FROM model_sql"), "IO-9 JO-3")
+def q_model_sql_files(spark, sf_dir):
+    path = write_models(spark, sf_dir, scratch_path(spark, "model-files"))
+    return T.model_sql(S.read_model_files(spark, path)).select("model_name", F.regexp_replace("sql", "\n$", "").alias("sql"))
+
+
+@register("failure_context_files", O.with_ctes(TRIAGE_CTES, "SELECT * FROM context"), "FT-3 IO-7 IO-8 IO-9")
+def q_failure_context_files(spark, sf_dir):
+    base = scratch_path(spark, "build-files")
+    entries = T.log_entries(S.read_log_files(spark, write_logs(spark, sf_dir, base)))
+    man = S.read_manifests(spark, write_manifests(spark, sf_dir, base))
+    sql = T.model_sql(S.read_model_files(spark, write_models(spark, sf_dir, base)))
+    return T.failure_context(man, entries, sql.withColumn("sql", F.regexp_replace("sql", "\n$", "")))

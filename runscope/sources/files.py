@@ -3,7 +3,10 @@ telemetry event files. Schemas are declared; nothing is inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runscope.schemas import EVENT, MANIFEST
@@ -13,18 +16,69 @@ def _stem(path_col, suffix_regex: str):
     return F.regexp_extract(path_col, r"([^/]+?)" + suffix_regex + "$", 1)
 
 
+def write_text_files(rows: DataFrame, base: str, order: str | None = None) -> None:
+    """Write (path, value) rows as text files below ``base``, a folder that all executors share: the rows of a path,
+    in their ``order``, are the file's lines.
+
+    The rows are sorted by path inside partitions and streamed, so a worker holds one batch, however long a file is. A
+    file is moved to its name when it is complete: a task that runs again replaces it, readers never see a part.
+    """
+    def write(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(base)
+        current, part, out, n = None, None, None, 0
+
+        def close():
+            out.close()
+            store.move(part, f"{root}/{current}")
+            return pa.RecordBatch.from_pydict({"path": [current], "n_lines": [n]})
+
+        for batch in batches:
+            for path, value in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist()):
+                if path != current:
+                    if out is not None:
+                        yield close()
+                    current, n = path, 0
+                    folder, name = os.path.split(f"{root}/{path}")
+                    store.create_dir(folder, recursive=True)
+                    part = f"{folder}/_{name}.{uuid.uuid4().hex}"  # readers pass over names that start so
+                    out = store.open_output_stream(part)
+                out.write((value + "\n").encode())
+                n += 1
+        if out is not None:
+            yield close()
+
+    keys = ["path"] + ([order] if order else [])
+    rows = rows.where("path IS NOT NULL AND value IS NOT NULL").repartition("path").sortWithinPartitions(*keys)
+    rows.select("path", "value").mapInArrow(write, "path string, n_lines long").write.format("noop").mode(
+        "overwrite").save()
+
+
 def read_log_files(spark: SparkSession, path: str, suffix: str = ".log") -> DataFrame:
-    """IO-7: build logs ``<run_id>.log`` -> (run_id, line_no, value).
+    """IO-7: build logs ``<run_id>.log`` -> (run_id, line_no, value), line numbers from 0.
 
-    A log file is one run's output, so it is read whole and split into numbered lines: line order is what
-    orders the error messages of a run, and a line-split text scan gives no line positions.
+    A long log is read in several splits by several tasks. A first pass counts the lines of each split (no text leaves
+    the reader); the counts of the splits before it, summed up over the small table of splits, are added to a line's
+    place in its own split. Should the two passes of a query be split differently (the number of cores changed between
+    them), the query fails with an error instead of giving wrong numbers.
     """
     raw = (spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True)
-           .text(path, wholetext=True)
-           .select(F.col("value"), F.col("_metadata.file_name").alias("file")))
-    return raw.select(_stem(F.col("file"), suffix.replace(".", r"\.")).alias("run_id"),
-                      F.posexplode(F.split(F.col("value"), "\n")).alias("line_no", "value")
-                      ).select("run_id", F.col("line_no").cast("bigint"), "value")
+           .option("lineSep", "\n").text(path)
+           .select("value", F.col("_metadata.file_path").alias("file"),
+                   F.col("_metadata.file_block_start").alias("start"),
+                   F.col("_metadata.file_block_length").alias("length"),
+                   F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")))
+    split = ["file", "start", "length", "part"]
+    counts = raw.groupBy(*split).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*split, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    line_no = F.when(F.col("shift").isNotNull(), F.col("id") + F.col("shift")).otherwise(
+        F.raise_error(F.lit("the log files were split anew between two passes")).cast("bigint"))
+    return raw.join(shifts, split, "left").select(
+        _stem(F.col("file"), suffix.replace(".", r"\.")).alias("run_id"), line_no.alias("line_no"), "value")
 
 
 def read_manifests(spark: SparkSession, path: str, suffix: str = ".manifest.json") -> DataFrame:
@@ -38,6 +92,19 @@ def read_manifests(spark: SparkSession, path: str, suffix: str = ".manifest.json
                      "success", F.col("_mtime").alias("modified_at"))
 
 
+def newest_file(spark: SparkSession, path: str, suffix: str) -> str | None:
+    """The file below ``path`` that was modified last (of several the last in path order); no file is opened."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}")
+             .option("recursiveFileLookup", True).load(path).select("path", "modificationTime"))
+    return files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
+
+
+def read_newest_manifest(spark: SparkSession, path: str, suffix: str = ".manifest.json") -> DataFrame:
+    """IO-8 / WI-1: the manifest file that was modified last, chosen by file time alone; the only one that is read."""
+    newest = newest_file(spark, path, suffix)
+    return read_manifests(spark, newest, suffix) if newest else read_manifests(spark, path, suffix).limit(0)
+
+
 def read_model_files(spark: SparkSession, root: str) -> DataFrame:
     """IO-9: every ``*.sql`` under ``root`` (recursive) -> (path, sql); the model name is the file stem."""
     return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.sql")

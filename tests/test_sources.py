@@ -71,3 +71,53 @@ def test_shared_folder_is_required_on_a_cluster():
 
     with pytest.raises(ValueError):
         checkpoint_dir(Session())
+
+
+def test_log_lines_of_many_splits(spark, tmpdir_path):
+    """Logs much larger than a split are numbered as if they were read whole; short and empty logs, too."""
+    from runscope.sources.files import read_log_files
+
+    texts = {"long": "".join(f"line {i} {'x' * (i * 7 % 90)}\n" for i in range(5000)), "short": "a\n\nb\r\nlast",
+             "empty": "", "blank": "\n\n"}
+    for name, text in texts.items():
+        with open(os.path.join(tmpdir_path, f"{name}.log"), "w", newline="") as f:
+            f.write(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        lines = read_log_files(spark, tmpdir_path)
+        assert lines.rdd.getNumPartitions() > 10
+        got = sorted(tuple(r) for r in lines.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    expected = [(name, i, x) for name, text in texts.items()
+                for i, x in enumerate(text.removesuffix("\n").split("\n") if text else [])]
+    assert got == sorted(expected)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "wholetext" not in plan
+
+
+def test_newest_manifest_opens_one_file(spark, tmpdir_path):
+    from runscope.sources.files import read_newest_manifest, write_text_files
+
+    assert read_newest_manifest(spark, tmpdir_path).collect() == []
+    for i, run in enumerate(("b", "c", "a")):
+        write_text_files(spark.createDataFrame([(f"{run}.manifest.json", f'{{"run_id": "{run}", "exit_code": {i}}}')],
+                                               "path string, value string"), tmpdir_path)
+        os.utime(os.path.join(tmpdir_path, f"{run}.manifest.json"), (1_700_000_000 + i, 1_700_000_000 + i))
+    newest = read_newest_manifest(spark, tmpdir_path)
+    assert [(r["run_id"], r["exit_code"]) for r in newest.collect()] == [("a", 2)]
+    assert [os.path.basename(f) for f in newest.inputFiles()] == ["a.manifest.json"]
+
+
+def test_written_text_files(spark, tmpdir_path):
+    from runscope.sources.files import write_text_files
+
+    rows = [(f"d{i % 3}/run.log", i, f"line {i}") for i in range(1000)] + [(None, 0, "x"), ("n.log", 0, None)]
+    df = spark.createDataFrame(rows, "path string, at int, value string").repartition(7)
+    write_text_files(df, tmpdir_path, "at")
+    write_text_files(df, tmpdir_path, "at")  # again: the same files
+    for d in range(3):
+        assert os.listdir(os.path.join(tmpdir_path, f"d{d}")) == ["run.log"]
+        with open(os.path.join(tmpdir_path, f"d{d}", "run.log")) as f:
+            assert f.read() == "".join(f"line {i}\n" for i in range(d, 1000, 3))
