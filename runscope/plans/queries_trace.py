@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runscope.operators import runs as R
 from runscope.operators import trace as TR
 from runscope.plans import oracle as O
+from runscope.plans.queries_runs import EV
 from runscope.plans.registry import register
 from runscope.sources import bindings as B
 
@@ -80,13 +81,62 @@ def q_trace_spans_hybrid(spark, sf_dir):
     return TR.trace_spans_hybrid(trace_events(spark, sf_dir)).select(*TR.SPAN_COLS)
 
 
-@register("telemetry_spans_hybrid", None, "TR-1 TR-2")
+# The stack replay of the telemetry mix, event by event: the open spans are a list, innermost last.
+TELEMETRY_SPANS = """
+placed AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS pos,
+                  CASE WHEN type IN ('tool_start', 'tool_end') THEN CASE WHEN k % 10 = 0 THEN '' ELSE 'tu_' || k END END
+                    AS tool FROM ev),
+steps AS (
+  SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS made, CAST(NULL AS BIGINT) AS closed,
+         CAST(NULL AS BIGINT) AS opened, []::STRUCT(id BIGINT, kind VARCHAR, tool VARCHAR, depth INTEGER, root BIGINT)[]
+           AS stack FROM ev
+  UNION ALL
+  SELECT run_id, pos, made + CAST(type LIKE '%_start' AS BIGINT), target, CASE WHEN type LIKE '%_start' THEN made END,
+         CASE WHEN type = 'run_start' THEN list_append(stack, {'id': made, 'kind': 'run', 'tool': NULL, 'depth': 0,
+                                                               'root': made})
+              WHEN type = 'tool_start' THEN list_append(stack, {'id': made, 'kind': 'tool', 'tool': tool,
+                'depth': coalesce(stack[-1].depth + 1, 0), 'root': coalesce(stack[-1].root, made)})
+              ELSE list_filter(stack, lambda x: target IS NULL OR x.id <> target) END
+  FROM (SELECT s.run_id, e.pos, s.made, s.stack, e.type, e.tool,
+               CASE e.type
+                 WHEN 'tool_end' THEN coalesce(
+                   list_max([x.id for x in s.stack if e.tool <> '' AND x.tool = e.tool]),
+                   list_max([x.id for x in s.stack if x.kind = 'tool']))
+                 WHEN 'run_end' THEN list_max([x.id for x in s.stack if x.kind = 'run']) END AS target
+        FROM steps s JOIN placed e ON e.run_id = s.run_id AND e.pos = s.pos + 1)),
+opens AS (
+  SELECT s.run_id, s.opened AS id, s.stack[-1].depth AS depth, s.stack[-1].root AS root,
+         s.stack[-2].id AS below, e.* EXCLUDE (run_id, pos) FROM steps s JOIN placed e USING (run_id, pos)
+  WHERE s.opened IS NOT NULL),
+ends AS (SELECT s.run_id, s.closed AS id, e.* EXCLUDE (run_id, pos)
+         FROM steps s JOIN placed e USING (run_id, pos) WHERE s.closed IS NOT NULL),
+telemetry_spans AS (
+  SELECT o.run_id, 'n' || o.id AS span_id, CASE WHEN o.type <> 'run_start' THEN 'n' || o.below END AS parent_id,
+         CAST(o.depth AS INTEGER) AS depth,
+         CAST(row_number() OVER (PARTITION BY o.run_id ORDER BY o.root, o.id) - 1 AS INTEGER) AS preorder,
+         CASE WHEN o.type = 'run_start' THEN 'run' ELSE 'tool' END AS span_type,
+         CASE WHEN o.type = 'run_start' THEN 'Run: ' || o.agent ELSE 'Tool: tool_' || o.k % 5 END AS name,
+         o.seq AS start_seq, e.seq AS end_seq, o.timestamp AS start_time, e.timestamp AS end_time,
+         CASE WHEN e.seq IS NULL THEN NULL WHEN e.type = 'run_end' AND e.k % 4 <> 0 THEN e.value
+              WHEN e.type = 'tool_end' AND e.k % 3 <> 0 THEN e.value / CAST(10.0 AS DOUBLE)
+              ELSE CAST(greatest(0, epoch_us(e.ts) // 1000 - epoch_us(o.ts) // 1000) AS DOUBLE) / CAST(1000 AS DOUBLE) END AS duration_s,
+         CASE WHEN e.seq IS NULL THEN 'running' WHEN e.type = 'run_end' THEN
+                CASE WHEN e.value >= 100 THEN 'success' ELSE 'error' END
+              WHEN e.k % 7 = 0 THEN 'error' ELSE 'success' END AS status,
+         o.tool AS tool_use_id, '' AS token_text, '' AS reasoning_text
+  FROM opens o LEFT JOIN ends e ON e.run_id = o.run_id AND e.id = o.id
+)"""
+TELEMETRY_SPANS_SQL = O.with_ctes([EV, TELEMETRY_SPANS], "SELECT * FROM telemetry_spans").replace(
+    "WITH", "WITH RECURSIVE", 1)
+
+
+@register("telemetry_spans_hybrid", TELEMETRY_SPANS_SQL, "TR-1 TR-2")
 def q_telemetry_spans_hybrid(spark, sf_dir):
     """The production path on the unordered telemetry mix: disturbed runs are replayed, the rest native."""
     return TR.trace_spans_hybrid(B.telemetry_events(spark, sf_dir)).select(*TR.SPAN_COLS)
 
 
-@register("telemetry_spans", None, "TR-1")
+@register("telemetry_spans", TELEMETRY_SPANS_SQL, "TR-1")
 def q_telemetry_spans(spark, sf_dir):
     """The exact replay on the unordered telemetry mix (unmatched ends, repeated run_start, empty tool ids)."""
     return TR.trace_spans(B.telemetry_events(spark, sf_dir)).select(*TR.SPAN_COLS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins from runtime sizes (a small side becomes a broadcast only
 # once its measured size is under the threshold) and splits skewed shuffle partitions.
@@ -65,6 +65,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame below the shared folder and read it back: what made it runs once, and a lost executor costs a
+    re-read of the table."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _count():
     i = 0
     while True:

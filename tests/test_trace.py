@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from runscope.operators import trace as TR
 from tests.events_util import ev, frame, random_well_nested
 
@@ -149,11 +151,55 @@ def test_replay_holds_open_spans_only():
     import pyarrow as pa
 
     names, read = ["seq", "run_id", "type", "agent", "timestamp", "data"], []
+    schema = pa.schema([(c, pa.int64() if c in ("seq", "_part", "idx", "innermost") else pa.bool_()
+                         if c == "never_closed" else pa.struct([]) if c == "start" else pa.string())
+                        for c in TR._PART_COLUMNS])
 
     def batches():
         for b in range(20):
             read.append(b)
             rows = [ev(b * 100 + i, ("tool_start", "tool_end")[i % 2], tool_use_id="t") for i in range(100)]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
-    out = [(len(read), batch.num_rows) for batch in TR.replay_sorted(batches())]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) | {"_run": "=r1", "_part": TR.WHOLE} for r in rows],
+                                             schema=schema)
+    out = [(len(read), batch.num_rows) for batch in TR.replay_parts(batches())]
     assert out == [(b + 1, 50) for b in range(20)]
+
+
+def calls(rng, run, n, ids):
+    """Calls of tools and agents with ends that are missing, doubled or in the wrong place, and run spans in between."""
+    out = []
+    for i in range(n):
+        etype = rng.choice(["run_start", "run_end", "tool_start", "tool_end", "tool_end", "sub_agent_start",
+                            "sub_agent_end", "sub_agent_end", "model_call_start", "model_call_end", "model_call_end",
+                            "invocation_end", "token", "metrics", "reasoning"])
+        data = {"text": f"t{i}", "agent_type": f"a{i}", "success": i % 3 > 0}
+        if etype.startswith(("tool", "sub")):
+            data["tool_use_id"] = rng.choice(ids(etype))
+        out.append(ev(i, etype, run=run, **data))
+    return out
+
+
+@pytest.mark.parametrize("shared_ids", [False, True])
+def test_cut_runs_equal_whole_runs(spark, monkeypatch, shared_ids):
+    """Runs cut into parts give what their whole replay gives, also where run spans stay open over many parts, and
+    where tool ids may close spans of other types (those are replayed whole)."""
+    monkeypatch.setattr(TR, "SEQ_CHUNK", 16)
+    rng = random.Random(21)
+    ids = lambda e: ["x", "y", "", None, 7] if shared_ids else ["a" + e[:3], "b" + e[:3], "", None]
+    rows = [r for i in range(6) for r in calls(rng, f"c{i}", rng.randint(1, 400), ids)]
+    rows += [(s, None, *rest) for s, _, *rest in calls(rng, "none", 150, ids)]
+    rows += random_well_nested(rng, "nested", 300)
+    df = frame(spark, rows)
+    cols = TR.SPAN_SCHEMA_NAMES
+    whole = sorted((tuple(r) for r in TR.trace_spans(df, run_events=1 << 30).select(*cols).collect()), key=repr)
+    parts = sorted((tuple(r) for r in TR.trace_spans(df, run_events=20).select(*cols).collect()), key=repr)
+    assert len(whole) > 300 and parts == whole
+
+
+def test_a_long_run_is_several_tasks(spark, monkeypatch):
+    """One run with a third of all events is replayed by several tasks."""
+    monkeypatch.setattr(TR, "SEQ_CHUNK", 64)
+    rng = random.Random(3)
+    rows = [(s, "hot", *rest) for s, _, *rest in calls(rng, "hot", 2000, lambda e: [e[:3], ""])]
+    parts = TR._cut_runs(TR._keyed(frame(spark, rows))).groupBy("_part").count().collect()
+    assert len(parts) >= 10 and max(r["count"] for r in parts) < 600
