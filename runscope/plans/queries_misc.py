@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runscope.functions.columns import CODE_FIX_FAILURE_MARKERS, TICKET_FAILURE_MARKERS, response_succeeded, \
     truncate_payload
 from runscope.operators import inspect as I
+from runscope.operators import quality as Q
 from runscope.operators import triage as T
 from runscope.plans import oracle as O
 from runscope.plans.pipeline import run_pipeline
@@ -27,6 +28,49 @@ def q_pipeline(spark, sf_dir):
     return res.tests
 
 
+def _built(spark, sf_dir, prefix):
+    return run_pipeline(spark, B.raw_users(spark, sf_dir), B.raw_bets(spark, sf_dir), B.raw_transactions(spark, sf_dir),
+                        scratch_path(spark, "warehouse"), select="mart_bet_daily", prefix=prefix)
+
+
+BUILT = [("conformed", "dim_user"), ("conformed", "fct_bet"), ("mart", "mart_bet_daily")]
+
+
+@register("built_tables", O.with_ctes(O.WAREHOUSE_CTES, "\nUNION ALL\n".join(
+    f"SELECT 'listed_{d}' AS table_schema, '{t}' AS table_name, 'BASE TABLE' AS table_type, COUNT(*) AS n_rows FROM {t}"
+    for d, t in BUILT)), "IO-12 FI-3 IO-5 IO-6")
+def q_built_tables(spark, sf_dir):
+    """The listing of the tables that a build left in the catalog, with their rows."""
+    _built(spark, sf_dir, "listed_")
+    listed = I.list_tables(spark).where("table_schema LIKE 'listed\\_%'")
+    counts = None
+    for d, t in BUILT:
+        n = spark.table(f"listed_{d}.{t}").agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(f"listed_{d}").alias("table_schema"), F.lit(t).alias("table_name"), "n_rows")
+        counts = n if counts is None else counts.union(n)
+    return listed.join(counts, ["table_schema", "table_name"], "left")
+
+
+FCT_TYPES = {"bet_id": "bigint", "user_id": "bigint", "country_code": "string", "is_kyc_verified": "boolean",
+             "is_user_active": "boolean", "status": "string", "bet_type": "string", "sport": "string",
+             "wager_amount": "double", "potential_payout": "double", "settled_amount": "double", "outcome": "string",
+             "odds": "double", "currency_code": "string", "placed_at": "timestamp_ntz", "settled_at": "timestamp_ntz",
+             "gross_gaming_revenue": "double", "is_same_day_settled": "boolean"}
+
+
+@register("described_table", O.with_ctes(O.WAREHOUSE_CTES, "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS col_name, '{t}' AS data_type, COUNT({c}) AS n_values FROM fct_bet"
+    for c, t in FCT_TYPES.items())), "IO-13")
+def q_described_table(spark, sf_dir):
+    """Columns and types of a built table, with the number of values of each."""
+    _built(spark, sf_dir, "described_")
+    table = "described_conformed.fct_bet"
+    described = I.describe_table(spark, table)
+    values = Q.table_profile(spark.table(table), list(FCT_TYPES)).select(
+        F.col("column_name").alias("col_name"), (F.col("n_rows") - F.col("n_nulls")).alias("n_values"))
+    return described.join(values, "col_name").select("col_name", "data_type", "n_values")
+
+
 @register("sample_orders", None, "SO-3")
 def q_sample_orders(spark, sf_dir):
     return I.sample_rows(read_table(spark, sf_dir, "orders"), 10, seed=42)

@@ -73,7 +73,7 @@ SELECT 4 * COUNT(*) AS n_dead_letters FROM events WHERE event_id % 97 = 0""", "I
 def q_ingest_dead_letters(spark, sf_dir):
     base = scratch_path(spark, "ingest")
     _, dead = _ingest(spark, [B.telemetry_events(spark, sf_dir)], base, _broken_lines(spark, sf_dir))
-    return spark.read.parquet(dead).agg(F.count(F.lit(1)).alias("n_dead_letters"))
+    return S.read_dead_letters(spark, dead).agg(F.count(F.lit(1)).alias("n_dead_letters"))
 
 
 LIVE_COLS = [c for c in SPAN_COLS if c != "preorder"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +74,42 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class SharedFolder:
+    """Folders of the shared store that appear all at once: written aside, then moved to their name."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self) -> list[str]:
+        """Names in the folder, but for those that readers pass over."""
+        if not self._fs.exists(self._path("")):
+            return []
+        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(self._path("")))
+                      if not n.startswith(("_", ".")))
+
+    def publish(self, name: str, write) -> bool:
+        """``write(path)`` the folder ``name``, unless it is there already: what stands under a name never changes, so a
+        step that is run again after a crash changes nothing. A crash before the move leaves nothing to read."""
+        if self._fs.exists(self._path(name)):
+            return False
+        aside = f"_aside-{uuid.uuid4().hex}"
+        write(f"{self.path}/{aside}")
+        self.move(aside, name)
+        return True
+
+    def move(self, old: str, new: str) -> None:
+        if not self._fs.rename(self._path(old), self._path(new)):
+            raise OSError(f"{self.path}/{old} could not be moved to {new}")
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
+
 def _count():
     i = 0
     while True:

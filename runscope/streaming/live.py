@@ -1,28 +1,32 @@
 """Structured Streaming: event ingest (ST-1), the live run fold (ST-2/ST-4/ST-5) and live span building (ST-3).
 
-* Ingest reads JSON-lines event files, splits valid events from bad lines (dead letters) and appends both to
-  Parquet with their own checkpoints (file sinks are exactly-once), the event log partitioned by event date.
-* The run fold is the batch fold's aggregate run as a streaming ``update`` aggregation; each micro-batch's
-  changed runs are written as an idempotent batch partition (``batch_id=N``, overwritten on replay), and
-  readers take each run's newest row. No driver-side state, nothing collected.
-* Live spans keep only the open spans of each run in ``applyInPandasWithState`` state, however long a run
+* Ingest reads JSON-lines event files once, splits valid events from bad lines (dead letters) and writes both as one
+  folder a batch, which appears all at once and is never written twice: a batch that is run again after a crash
+  changes nothing, downstream either.
+* The run fold is the batch fold's aggregate run as a streaming ``update`` aggregation. Each micro-batch's changed
+  runs are a folder of their own; every few batches they are folded into a snapshot, so readers open the newest
+  snapshot and a bounded number of batches, however long the stream has run.
+* Live spans keep one state entry for each open span of a run (``transformWithStateInPandas``), however long a run
   pauses; a span gets a row when it is left running by the batch that opened it, and one when it closes.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
+import pickle
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from runscope.operators import runs as R
 from runscope.operators.trace import SPAN_SCHEMA, SPAN_SCHEMA_NAMES, SpanReplay, span_row
+from runscope.session import SharedFolder
 from runscope.sources.files import parse_event_lines
 
 EVENT_LOG_SCHEMA = "seq bigint, run_id string, type string, agent string, timestamp string, data string"
@@ -35,23 +39,37 @@ def _trigger(writer, available_now: bool, interval: str):
 def ingest(spark: SparkSession, source: str, event_log: str, dead_letters: str, checkpoint: str,
            available_now: bool = True, interval: str = "10 seconds", max_files: int | None = None,
            glob: str | None = None) -> list[StreamingQuery]:
-    """ST-1 / IO-10 / IO-11: JSON-lines files -> event log (Parquet, by event date) + dead-letter lines."""
+    """ST-1 / IO-10 / IO-11: JSON-lines files -> event log (Parquet, by batch and event date) + dead-letter lines.
+
+    One query: each batch's lines are read and parsed once, kept while both outputs are written, and published under
+    the batch's number. A batch that is run again leaves published outputs as they are and writes those that miss.
+    """
     reader = spark.readStream.format("text")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    parsed = parse_event_lines(reader.load(source))
-    good = (parsed.filter("valid").drop("valid", "raw")
-            .withColumn("event_date", F.to_date(F.col("timestamp").try_cast("timestamp"))))
-    bad = parsed.filter(~F.col("valid")).select(F.col("raw").alias("line"))
-    q1 = _trigger(good.writeStream.format("parquet").option("path", event_log)
-                  .option("checkpointLocation", os.path.join(checkpoint, "events"))
-                  .partitionBy("event_date").outputMode("append"), available_now, interval).start()
-    q2 = _trigger(bad.writeStream.format("parquet").option("path", dead_letters)
-                  .option("checkpointLocation", os.path.join(checkpoint, "dead_letters"))
-                  .outputMode("append"), available_now, interval).start()
-    return [q1, q2]
+    events, letters = SharedFolder(spark, event_log), SharedFolder(spark, dead_letters)
+
+    def write_batch(lines: DataFrame, batch_id: int) -> None:
+        parsed = parse_event_lines(lines).persist()
+        try:
+            good = (parsed.filter("valid").drop("valid", "raw")
+                    .withColumn("event_date", F.to_date(F.col("timestamp").try_cast("timestamp"))))
+            bad = parsed.filter(~F.col("valid")).select(F.col("raw").alias("line"))
+            events.publish(f"batch_id={batch_id}",
+                           lambda path: good.write.partitionBy("event_date").parquet(path))
+            letters.publish(f"batch_id={batch_id}", lambda path: bad.write.parquet(path))
+        finally:
+            parsed.unpersist()
+
+    w = (reader.load(source).writeStream.option("checkpointLocation", os.path.join(checkpoint, "ingest"))
+         .foreachBatch(write_batch))
+    return [_trigger(w, available_now, interval).start()]
+
+
+def read_dead_letters(spark: SparkSession, dead_letters: str) -> DataFrame:
+    return spark.read.schema("line string").parquet(dead_letters).select("line")
 
 
 def read_event_log(spark: SparkSession, event_log: str) -> DataFrame:
@@ -66,57 +84,165 @@ def event_stream(spark: SparkSession, event_log: str, max_files: int | None = No
     return reader.load(event_log)
 
 
+#: Batches of the run fold that are folded into a snapshot at a time.
+COMPACT_EVERY = 16
+
+
 def fold_runs(events: DataFrame, out: str, checkpoint: str, available_now: bool = True,
-              interval: str = "10 seconds") -> StreamingQuery:
-    """ST-2: streaming run fold (update mode). Each micro-batch's changed runs land in ``out/batch_id=N``."""
+              interval: str = "10 seconds", compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """ST-2: streaming run fold (update mode). Each micro-batch's changed runs land in ``out/batches/batch_id=N``; every
+    ``compact_every`` batches they are folded into a snapshot (``compact_runs``)."""
     agg = R.parse_events(events).groupBy("run_id").agg(*R.fold_aggregates())
 
     def write_batch(df: DataFrame, batch_id: int) -> None:
-        (df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}")))
+        batches = SharedFolder(df.sparkSession, os.path.join(out, "batches"))
+        batches.publish(f"batch_id={batch_id}", lambda path: df.write.parquet(path))
+        if (batch_id + 1) % compact_every == 0:
+            compact_runs(df.sparkSession, out, batch_id)
 
     w = (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write_batch))
     return _trigger(w, available_now, interval).start()
 
 
+def _numbers(folder: SharedFolder) -> list[int]:
+    return sorted(int(name.split("=")[1]) for name in folder.names())
+
+
+def _run_parts(spark: SparkSession, out: str, upto: int | None = None) -> tuple[int, list[str]]:
+    """The newest snapshot's number (-1: none), and the folders that make up the run table."""
+    snapshots, batches = (SharedFolder(spark, os.path.join(out, x)) for x in ("snapshots", "batches"))
+    # Batches are listed first: a snapshot that appears in between holds them, and more.
+    later = [n for n in _numbers(batches) if upto is None or n <= upto]
+    newest = max([n for n in _numbers(snapshots) if upto is None or n <= upto], default=-1)
+    parts = [f"{snapshots.path}/batch_id={newest}"] if newest >= 0 else []
+    return newest, parts + [f"{batches.path}/batch_id={n}" for n in later if n > newest]
+
+
+def _newest_rows(spark: SparkSession, parts: list[str]) -> DataFrame:
+    """Each run's row from its newest batch. The folders are read on their own, so that each gives its number."""
+    found = None
+    for path in parts:
+        number = int(path.rsplit("=", 1)[1])
+        rows = spark.read.parquet(path).withColumn("batch_id", F.lit(number).cast("bigint"))
+        found = rows if found is None else found.unionByName(rows)
+    rest = [c for c in found.columns if c != "run_id"]
+    return found.groupBy("run_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select("run_id", "r.*")
+
+
+def compact_runs(spark: SparkSession, out: str, batch_id: int) -> bool:
+    """Fold the newest snapshot and the batches up to ``batch_id`` into a snapshot of that number.
+
+    The snapshot appears by one move, which is what switches readers to it; a crash before it changes nothing. What
+    the snapshot before last replaced is deleted then, so readers that began with the last one can end.
+    """
+    snapshots, batches = (SharedFolder(spark, os.path.join(out, x)) for x in ("snapshots", "batches"))
+    last, parts = _run_parts(spark, out, batch_id)
+    made = bool(parts) and snapshots.publish(
+        f"batch_id={batch_id}", lambda path: _newest_rows(spark, parts).drop("batch_id").write.parquet(path))
+    if made:
+        for n in _numbers(batches):
+            if n <= last:
+                batches.remove(f"batch_id={n}")
+        for n in _numbers(snapshots):
+            if n < last:
+                snapshots.remove(f"batch_id={n}")
+    return made
+
+
 def read_runs(spark: SparkSession, out: str) -> DataFrame:
-    """The current runs table from the fold's batch outputs: each run's row from its newest batch."""
-    rows = spark.read.parquet(out)
-    latest = (rows.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("run_id",)]),
-                                                  F.col("batch_id")).alias("r"))
-              .select("run_id", "r.*"))
+    """The current runs table: the newest snapshot and the batches after it, each run's newest row."""
+    latest = _newest_rows(spark, _run_parts(spark, out)[1])
     return latest.filter(F.col("first_start").isNotNull()).select(*R.fold_select())
 
 
 # ---- ST-3: live spans ---------------------------------------------------------------------------------------
 
-SPAN_STATE_SCHEMA = "next_id long, open string"
-
-
-def _span_updates(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    next_id, spans = state.get if state.exists else (0, "[]")
-    replay = SpanReplay(next_id, json.loads(spans))
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    for ev in pdf.itertuples(index=False):
-        replay.feed(ev.type, int(ev.seq), ev.timestamp, ev.agent, ev.data)
-    still_open = list(replay.open.spans.values())
-    state.update((replay.next_id, json.dumps(still_open)))
-    # Spans that closed, and those that opened in this batch and are running: one row of either kind for a span.
-    rows = replay.done + [x for x in still_open if x["id"] >= next_id]
-    yield pd.DataFrame([span_row(key[0], x, None) for x in rows], columns=SPAN_SCHEMA_NAMES)
+#: Events of a run that are sorted at once, and span rows that leave together.
+SORT_EVENTS, SPAN_ROWS = 1 << 16, 4096
+
+
+def _chunk(events: list[tuple]) -> Iterator[tuple]:
+    """Sorted events, written to a nameless temporary file and read back one by one."""
+    with tempfile.TemporaryFile() as f:
+        for e in events:
+            pickle.dump(e, f)
+        f.seek(0)
+        events.clear()
+        yield  # written: the caller goes on
+        while True:
+            try:
+                yield pickle.load(f)
+            except EOFError:
+                return
+
+
+def in_order(batches: Iterator[pd.DataFrame], sort_events: int = SORT_EVENTS) -> Iterator[tuple]:
+    """The (seq, type, timestamp, agent, data) events of a run by seq: sorted in chunks, which are merged. A worker
+    holds one chunk and the head of each other one."""
+    held, chunks = [], []
+    for pdf in batches:
+        for e in zip(pdf["seq"].tolist(), pdf["type"].tolist(), pdf["timestamp"].tolist(), pdf["agent"].tolist(),
+                     pdf["data"].tolist()):
+            held.append(e)
+            if len(held) >= sort_events:
+                held.sort(key=lambda x: x[0])
+                chunk = _chunk(held)
+                next(chunk)
+                chunks.append(chunk)
+    held.sort(key=lambda x: x[0])
+    return heapq.merge(*chunks, held, key=lambda x: x[0])
+
+
+class LiveSpans(StatefulProcessor):
+    """State of a run: the next span number, and an entry for each open span."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next_id = handle.getValueState("next_id", "next_id long")
+        self.open = handle.getMapState("open", "id long", "span string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = self.next_id.get()[0] if self.next_id.exists() else 0
+        kept = {k[0]: v[0] for k, v in self.open.iterator()} if first else {}
+        replay = SpanReplay(first, [json.loads(kept[i]) for i in sorted(kept)])
+        for seq, etype, ts, agent, raw in in_order(rows):
+            replay.feed(etype, int(seq), ts, agent, raw)
+            if len(replay.done) >= SPAN_ROWS:
+                yield self._rows(key, replay.done)
+                replay.done = []
+        # Only entries that changed are written: spans that opened, gained text or closed.
+        now = {i: json.dumps(span | {"tree": None}) for i, span in replay.open.spans.items()}
+        for i in kept.keys() - now.keys():
+            self.open.removeKey((i,))
+        for i, span in now.items():
+            if kept.get(i) != span:
+                self.open.updateValue((i,), (span,))
+        self.next_id.update((replay.next_id,))
+        # Spans that closed, and those that opened in this batch and are running: one row of either kind for a span.
+        rest = replay.done + [x for x in replay.open.spans.values() if x["id"] >= first]
+        for at in range(0, len(rest), SPAN_ROWS):
+            yield self._rows(key, rest[at:at + SPAN_ROWS])
+
+    @staticmethod
+    def _rows(key, spans: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame([span_row(key[0], x, None) for x in spans], columns=SPAN_SCHEMA_NAMES)
+
+    def close(self) -> None:
+        pass
 
 
 def live_spans(events: DataFrame) -> DataFrame:
     """ST-3: a streaming frame of span rows: one when a span is seen running at the end of the batch that opened it,
     one when it closes (pre-order is not known live).
 
-    No event is ever dropped as late, and a run may pause for any time: its state (the next span number and the open
-    spans) stays in the state store. The events of a run must arrive in the order of seq, batch by batch.
+    No event is ever dropped as late, and a run may pause for any time: its state (the next span number, one entry for
+    each open span) stays in the state store. The events of a run may stand in any order within a batch, and must
+    arrive in the order of seq, batch by batch. Needs the RocksDB state store, which this sets for the session.
     """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
+                                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     ev = events.select("run_id", "seq", "type", "agent", "timestamp", "data")
-    return ev.groupBy("run_id").applyInPandasWithState(
-        _span_updates, outputStructType=SPAN_SCHEMA, stateStructType=SPAN_STATE_SCHEMA, outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout)
+    return ev.groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=LiveSpans(), outputStructType=SPAN_SCHEMA, outputMode="Append", timeMode="None")
 
 
 def write_live_spans(events: DataFrame, out: str, checkpoint: str, available_now: bool = True,

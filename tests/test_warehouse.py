@@ -1,5 +1,7 @@
 """Warehouse layers, data tests and invariants on the seed fixture (hand-derived expected values)."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from runscope.operators import quality as Q
@@ -111,3 +113,36 @@ def test_approx_profile_close_to_exact(spark):
     for c in cols:
         assert approx[c].n_rows == exact[c].n_rows and approx[c].n_nulls == exact[c].n_nulls
         assert abs(approx[c].n_distinct - exact[c].n_distinct) <= 0.1 * exact[c].n_distinct + 1
+
+
+def test_replaced_tables_are_whole(spark, tmpdir_path):
+    """A reader of the old version goes on; a failed build leaves the table as it was; old versions go."""
+    import os
+
+    import pytest
+
+    from runscope.plans.pipeline import replace_table, schema_name
+
+    assert (schema_name(" mart "), schema_name(None, "dev")) == ("mart", "dev")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS swap_test LOCATION '{tmpdir_path}/db'")
+    folder = os.path.join(tmpdir_path, "t")
+    replace_table(spark, "swap_test.t", spark.range(5), folder)
+    before = spark.read.parquet(spark.table("swap_test.t").inputFiles()[0].rsplit("/", 1)[0])
+    with pytest.raises(Exception):
+        replace_table(spark, "swap_test.t", spark.range(9).selectExpr("assert_true(id < 4) AS x", "id").select("id", "x"),
+                      folder)
+    assert spark.table("swap_test.t").count() == 5
+    for n in (7, 8, 9):
+        replace_table(spark, "swap_test.t", spark.range(n), folder)
+        assert spark.table("swap_test.t").count() == n
+        if n == 7:
+            assert before.count() == 5  # the replaced version stays until the next build
+    assert len([x for x in os.listdir(folder) if x.startswith("v-")]) == 3  # two, and what the failed build left
+
+
+def test_builds_with_prefixes_keep_apart(spark, tmpdir_path):
+    u, b, t = seed_frames(spark)
+    run_pipeline(spark, u, b, t, os.path.join(tmpdir_path, "a"), prefix="a_")
+    run_pipeline(spark, u.where("id < 6"), b.where("user_id < 6"), t, os.path.join(tmpdir_path, "b"), prefix="b_")
+    run_pipeline(spark, u, b, t, os.path.join(tmpdir_path, "a"), prefix="a_")
+    assert (spark.table("a_conformed.dim_user").count(), spark.table("b_conformed.dim_user").count()) == (15, 5)
