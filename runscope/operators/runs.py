@@ -7,12 +7,17 @@ map-side before the shuffle, and the same expression runs unchanged as a streami
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runscope.functions.columns import cost_units, micro_usd, run_status
+from runscope.operators.sequences import running_previous
 from runscope.schemas import PAYLOAD
 
+#: Width in seq of a chunk of the look-up of earlier events.
+SEQ_CHUNK = 1 << 16
+
+
 def parse_events(events: DataFrame) -> DataFrame:
     """Event envelope -> + ``p`` (typed payload struct), ``ts`` (UTC timestamp), ``has_metrics``."""
     metrics_raw = F.get_json_object(F.col("data"), "$.metrics")
@@ -174,9 +179,10 @@ def tool_calls(events: DataFrame) -> DataFrame:
           .select("run_id", "seq", "type", "ts", F.coalesce(F.col("p.tool_use_id"), F.lit("")).alias("tool_use_id"),
                   F.coalesce(F.col("p.tool_name"), F.col("p.sub_agent_name")).alias("tool_name"),
                   F.col("p.status").alias("status")))
-    w = Window.partitionBy("run_id", "tool_use_id").orderBy("seq")
-    prev = F.lag(F.struct("seq", "type", "ts"), 1).over(w)
-    ends = (tl.withColumn("prev", prev).filter(F.col("type").isin("tool_end", "sub_agent_end")))
+    # The empty id may stand on very many events of a run: the event before is looked up chunk by chunk.
+    tl = running_previous(tl, ["run_id", "tool_use_id"], F.col("seq"), ["seq"], F.struct("seq", "type", "ts"), "prev",
+                          chunk_width=SEQ_CHUNK)
+    ends = tl.filter(F.col("type").isin("tool_end", "sub_agent_end"))
     paired = F.col("prev.type").isin("tool_start", "sub_agent_start")
     micros = F.unix_micros(F.col("ts")) - F.unix_micros(F.col("prev.ts"))
     return ends.select(

@@ -70,3 +70,18 @@ def running_last(df: DataFrame, keys: list[str], chunk_of: Column, order_cols: l
     out = out.select("*", *[F.coalesce(F.last(tmp[n], ignorenulls=True).over(inside), F.col(f"_o_{tmp[n]}"))
                             .alias(n) for n in names])
     return out.drop("_chunk", *tmp.values(), *[f"_o_{t}" for t in tmp.values()])
+
+
+def running_previous(df: DataFrame, keys: list[str], chunk_of: Column, order_cols: list[str], value: Column, out: str,
+                     chunk_width: int = DAY_MICROS) -> DataFrame:
+    """Add ``out``: the value (never NULL) of the row before this one among rows of the same ``keys``, in
+    ``order_cols`` order. In two levels like the sums: the first row of a chunk takes the last value of the chunk
+    before it, which is found by a map-side combinable ``max_by``. Rows with a NULL key get none across chunks."""
+    order = F.struct(*[F.col(c) for c in order_cols])
+    d = df.select("*", value.alias("_v"), F.floor(chunk_of / F.lit(chunk_width)).alias("_chunk"))
+    lasts = d.groupBy(*keys, "_chunk").agg(F.max_by("_v", order).alias("_last"))
+    carried = lasts.select(*keys, "_chunk", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk"))
+                           .alias("_carried"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order_cols)
+    rows = _attach(d, carried, keys).withColumn(out, F.coalesce(F.lag("_v").over(inside), F.col("_carried")))
+    return rows.drop("_v", "_chunk", "_carried")

@@ -3,10 +3,13 @@ for all failed runs at once (the reference does one run per agent call)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runscope.functions.columns import estimate_of, model_name, priority_of
+from runscope.operators.sequences import running_sums
 from runscope.sources.files import strict_json
 
 _LOG_SCHEMA = ("struct<info:struct<level:string,msg:string,ts:string,data:map<string,string>>,"
@@ -92,11 +95,45 @@ def failure_context(manifests: DataFrame, entries: DataFrame, sql: DataFrame) ->
                     F.coalesce("missing_models", empty).alias("missing_models")))
 
 
+#: Lines of a log that are numbered together.
+LINE_CHUNK = 1 << 16
+
+
+def failure_sections(manifests: DataFrame, entries: DataFrame, sql: DataFrame) -> DataFrame:
+    """FT-3 / AG-10 in parts: (run_id, section, place, text) of every failed run, one row for each distinct error
+    message, failed model, its SQL, and each model without a file; places from 0 within a section.
+
+    Messages are numbered in the order of their first line by chunked running sums, so a run that has very many of them
+    is spread over tasks and never one row. Models are numbered by name: as many as a project has models.
+    """
+    failed = manifests.filter(F.col("exit_code") != 0).select("run_id")
+    errors = entries.filter(F.col("level") == "ERROR").join(failed, "run_id", "left_semi")
+    messages = errors.groupBy("run_id", "message").agg(F.min("line_no").alias("line"))
+    messages = running_sums(messages, ["run_id"], F.col("line"), ["line", "message"],
+                            {"upto": F.lit(1).cast("bigint")}, chunk_width=LINE_CHUNK)
+    messages = messages.select("run_id", F.lit("error").alias("section"), (F.col("upto") - 1).alias("place"),
+                               F.col("message").alias("text"))
+    models = failed_models(errors).join(sql.select("model_name", "sql"), "model_name", "left")
+    known = F.col("sql").isNotNull()
+    parts = models.select("run_id", "model_name", F.inline(F.array(
+        F.struct(F.lit("model").alias("section"), F.col("model_name").alias("text")),
+        F.struct(F.when(known, "sql").otherwise("missing").alias("section"),
+                 F.coalesce("sql", "model_name").alias("text")))))
+    by_name = Window.partitionBy("run_id", "section").orderBy("model_name")
+    parts = parts.select("run_id", "section", (F.row_number().over(by_name) - 1).cast("bigint").alias("place"), "text")
+    return messages.unionByName(parts)
+
+
 def _bullets(arr: Column, fmt_open: str, fmt_close: str, placeholder: str) -> Column:
     body = F.array_join(F.transform(arr, lambda x: F.concat(F.lit(fmt_open), x, F.lit(fmt_close))), "\n")
     return F.when(F.size(arr) > 0, body).otherwise(F.lit(placeholder))
 
 
+# The texts of a record that are in all of them.
+_FIXED_TEXT = ("Summary Failed Models Error Details SQL Source Run Metadata Field Value Run ID Command Exit Code "
+               "Started At none identified no error messages captured no SQL captured sql unknown -------|-------")
+
+
 def render_description(summary: Column, models: Column, errors: Column, snippets: Column, run_id: Column,
                        command: Column, exit_code: Column, started_at: Column) -> Column:
     """PR-15: the markdown body of a failure record (sections, bullet lists, fenced blocks, metadata table)."""
@@ -138,3 +175,21 @@ def latest_run(manifests: DataFrame, order_col: str = "started_at", failed_only:
 def find_record(records: DataFrame, run_id: str) -> DataFrame:
     """FI-8: the first record (by run id) whose description contains the exact run id."""
     return records.filter(F.col("description").contains(run_id)).orderBy("run_id").limit(1)
+
+
+def find_failure_record(context: DataFrame, title: Column, severity: Column, summary: Column, estimate_size: Column,
+                        run_id: str) -> DataFrame:
+    """FI-8 without rendering every record: the run is chosen from the parts of the records, and one is rendered.
+
+    A text of word characters, dots and dashes only can't reach over the marks that stand around each part. One that
+    holds others, or stands in the titles themselves, is looked for in the rendered records.
+    """
+    rendered = lambda c: failure_records(c, title, severity, summary, estimate_size)
+    if not re.fullmatch(r"[\w.-]+", run_id) or run_id in _FIXED_TEXT:
+        return find_record(rendered(context), run_id)
+    lists = [F.exists(c, lambda x: x.contains(run_id)) for c in ("failed_models", "error_messages", "sql_snippets")]
+    holds = F.coalesce(summary.contains(run_id), F.lit(False))
+    for x in lists + [F.coalesce(F.col(c).cast("string").contains(run_id), F.lit(False))
+                      for c in ("run_id", "command", "exit_code", "started_at")]:
+        holds = holds | x
+    return rendered(context.filter(holds).orderBy("run_id").limit(1))

@@ -116,4 +116,4 @@ def q_response_outcomes(spark, sf_dir):
 def q_find_failure_record(spark, sf_dir):
     ctx = context(spark, sf_dir)
     title, sev, summary, size = severity_inputs(ctx)
-    return T.find_record(T.failure_records(ctx, title, sev, summary, size), "run_7")
+    return T.find_failure_record(ctx, title, sev, summary, size, "run_7")

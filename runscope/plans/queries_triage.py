@@ -112,6 +112,22 @@ def q_failure_context(spark, sf_dir):
     return context(spark, sf_dir)
 
 
+@register("failure_sections", O.with_ctes(TRIAGE_CTES, """
+SELECT run_id, section, CAST(place - 1 AS BIGINT) AS place, text FROM (
+  SELECT run_id, 'error' AS section, unnest(error_messages) AS text, generate_subscripts(error_messages, 1) AS place
+  FROM context
+  UNION ALL
+  SELECT run_id, 'model', unnest(failed_models), generate_subscripts(failed_models, 1) FROM context
+  UNION ALL
+  SELECT run_id, 'sql', unnest(sql_snippets), generate_subscripts(sql_snippets, 1) FROM context
+  UNION ALL
+  SELECT run_id, 'missing', unnest(missing_models), generate_subscripts(missing_models, 1) FROM context)"""),
+          "FT-3 AG-10")
+def q_failure_sections(spark, sf_dir):
+    entries = T.log_entries(B.log_lines(spark, sf_dir))
+    return T.failure_sections(B.manifests(spark, sf_dir), entries, T.model_sql(B.model_files(spark, sf_dir)))
+
+
 RECORDS_SQL = O.with_ctes(TRIAGE_CTES + ["""
 inputs AS (
   SELECT *, 'Build failure in ' || run_id AS title,

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from runscope.operators import warehouse as W
 from runscope.plans import oracle as O
 from runscope.plans.registry import register
+from runscope.session import scratch_path
 from runscope.sources import bindings as B
+from runscope.sources.tables import Sources, load_raw
 
 
 def layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -46,3 +51,32 @@ def q_fct_bet(spark, sf_dir):
 @register("mart_bet_daily", _layer_sql("mart_bet_daily"), "IO-5 AG-1 AG-2 AG-3 AG-4 AG-5 AG-6")
 def q_mart_bet_daily(spark, sf_dir):
     return layers(spark, sf_dir)["mart_bet_daily"]
+
+
+# ---- the raw layer as written files: loaded with its declared schema, looked up by name ---------------------------
+
+def _source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """IO-1, IO-2: a raw table written below the shared folder, loaded with its declared schema and defaults, and taken
+    from the sources by its name."""
+    made = {"users": B.raw_users, "bets": B.raw_bets, "transactions": B.raw_transactions}[table]
+    path = os.path.join(scratch_path(spark, "raw"), table)
+    # The loader leaves out columns that hold the declared default: the source fills them.
+    raw = made(spark, sf_dir)
+    raw.withColumn("currency_code", F.when(F.upper("currency_code") != "GBP", F.col("currency_code"))).write.parquet(path)
+    sources = Sources(spark, {f"raw.{table}": load_raw(spark, table, path)})
+    return sources.source("raw", table)
+
+
+@register("loaded_users", _layer_sql("std_user"), "IO-1 IO-2 PR-1")
+def q_loaded_users(spark, sf_dir):
+    return W.std_user(_source(spark, sf_dir, "users"))
+
+
+@register("loaded_bets", _layer_sql("std_bet"), "IO-1 IO-2 PR-2")
+def q_loaded_bets(spark, sf_dir):
+    return W.std_bet(_source(spark, sf_dir, "bets"))
+
+
+@register("loaded_transactions", _layer_sql("std_transaction"), "IO-1 IO-2 PR-3")
+def q_loaded_transactions(spark, sf_dir):
+    return W.std_transaction(_source(spark, sf_dir, "transactions"))

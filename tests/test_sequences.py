@@ -35,3 +35,17 @@ def test_null_keys_are_kept(spark):
     df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), (1, 1, 7)], "k int, seq long, v long")
     got = {(r.k, r.seq): r.s for r in running_sums(df, ["k"], F.col("seq"), ["seq"], {"s": F.col("v")}).collect()}
     assert len(got) == 3 and got[(1, 1)] == 7 and got[(None, 1)] is None
+
+
+def test_running_previous_of_a_hot_key(spark):
+    """A third of the rows share one key: the row before each one, also across chunks."""
+    from runscope.operators.sequences import running_previous
+
+    rows = [(i, "" if i % 3 == 0 else f"k{i % 40}") for i in range(600)]
+    df = spark.createDataFrame(rows, "seq long, id string").repartition(5)
+    got = running_previous(df, ["id"], F.col("seq"), ["seq"], F.struct("seq"), "prev", chunk_width=32).collect()
+    last, expected = {}, {}
+    for seq, k in rows:
+        expected[seq] = last.get(k)
+        last[k] = seq
+    assert {r["seq"]: r["prev"] and r["prev"]["seq"] for r in got} == expected

@@ -97,3 +97,17 @@ def test_unknown_severity_has_no_priority(spark):
     from runscope.functions.columns import estimate_of, priority_of
     r = df.select(priority_of("s").alias("p"), estimate_of("z").alias("e")).first()
     assert r.p is None and r.e is None
+
+
+def test_found_record_equals_the_rendered_search(spark):
+    from runscope.plans import queries_triage as QT
+    from tests.conftest import SF_SMALL
+
+    ctx = QT.context(spark, SF_SMALL)
+    inputs = QT.severity_inputs(ctx)
+    records = T.failure_records(ctx, *inputs).persist()
+    title, sev, summary, size = inputs
+    for text in ("run_7", "run_1", "t_3", "invalid", "Command", "2024-01", "no such text", "| Field", "dbt build"):
+        a = [tuple(r) for r in T.find_record(records, text).collect()]
+        b = [tuple(r) for r in T.find_failure_record(ctx, title, sev, summary, size, text).collect()]
+        assert a == b, text
