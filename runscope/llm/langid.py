@@ -150,9 +150,16 @@ def train(docs: DataFrame, learn: Column, max_docs: int = SAMPLE_DOCS, epochs: i
                        F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     # Rows of one doc_id, however many, are one document: that of the smallest text hash.
-    ids = rows.groupBy("doc_id", "lang").agg(F.min("th").alias("th"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("at", F.row_number().over(order)).where(F.col("at") <= max_docs).drop("at")
+    ids = rows.groupBy("doc_id", "lang").agg(F.min("th").alias("th")).withColumn("h", F.xxhash64("doc_id"))
+    ids = cut(ids.withColumn("range", F.shiftright("h", 48)), "langid-ids")
+    # The first ranges of hashes that hold enough ids of a language, by counts; then the first ids of those few rows.
+    counts = ids.groupBy("lang", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    enough = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(
+        F.col("before") < max_docs).select("lang", "range")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = ids.join(enough, ["lang", "range"], "left_semi").withColumn("at", F.row_number().over(order))
+    ids = ids.where(F.col("at") <= max_docs).select("doc_id", "lang", "th")
     ids = small(cut(ids, "langid-sample"), 64)
     # At most SAMPLE_WINDOWS windows of a text leave the task that read it, and of a document once.
     found = rows.join(ids, ["doc_id", "lang", "th"]).select("doc_id", "lang", "text").mapInArrow(
