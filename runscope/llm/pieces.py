@@ -35,8 +35,9 @@ class PieceEncoder:
     """
 
     def __init__(self, whole: Callable[[list[str]], list[bytes]], spaced: Callable[[list[str]], list[bytes]],
-                 entries: int = MEMO_ENTRIES, group_chars: int = GROUP_CHARS):
+                 entries: int = MEMO_ENTRIES, group_chars: int = GROUP_CHARS, at_once: int = AT_ONCE):
         self._whole, self._spaced, self._entries, self._group_chars = whole, spaced, entries, group_chars
+        self._at_once = at_once
         self._memo: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -82,8 +83,8 @@ class PieceEncoder:
                     memo[w] = old[w]
                 elif w:
                     missing.append(w)
-        for at in range(0, len(missing), AT_ONCE):
-            some = missing[at:at + AT_ONCE]
+        for at in range(0, len(missing), self._at_once):
+            some = missing[at:at + self._at_once]
             for word, ids in zip(some, self._spaced(some)):
                 (memo if len(word) <= MEMO_CHARS else extra)[word] = ids
         memo[""] = b""  # stands for texts without words only

@@ -25,6 +25,8 @@ from runscope.llm.pieces import PieceEncoder
 #: A block is closed when it holds this many ids (a longer document is a block of its own).
 BLOCK_IDS = 1 << 19
 
+#: Words that are encoded as one text: this library takes more time a word for longer texts.
+AT_ONCE = 128
 #: Characters of the text by which rows of one doc_id are ordered before its hash.
 HEAD_CHARS = 64
 
@@ -63,7 +65,7 @@ def _encoder(tokenizer: bytes) -> tuple[PieceEncoder, int]:
             raise ValueError("this vocabulary does not start words with their space")
         return [data[a:b] for a, b in zip(at, [*at[1:], len(data)])]
 
-    return PieceEncoder(whole, spaced), width
+    return PieceEncoder(whole, spaced, at_once=AT_ONCE), width
 
 
 def _blocks(tokenizer: bytes, end_id: int):
@@ -129,9 +131,10 @@ def read_token_blocks(spark, path: str) -> tuple[DataFrame, dict[int, int]]:
 
 def spans(code: EliasFano, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets in a block's ids at which these of its documents (ascending) start and end, by select on the block."""
-    ends = code.at(places)
-    starts = np.where(places > 0, code.at(np.maximum(places - 1, 0)), 0)
-    return starts, ends
+    asked = np.union1d(places, np.maximum(places - 1, 0))  # neighbours share a boundary: it is selected once
+    found = code.at(asked)
+    starts = np.where(places > 0, found[np.searchsorted(asked, np.maximum(places - 1, 0))], 0)
+    return starts, found[np.searchsorted(asked, places)]
 
 
 def _wanted(wanted: list[int]):
