@@ -151,7 +151,7 @@ def train(docs: DataFrame, learn: Column, max_docs: int = SAMPLE_DOCS, epochs: i
     rows = rows.withColumn("th", F.xxhash64("text"))
     # Rows of one doc_id, however many, are one document: that of the smallest text hash.
     ids = rows.groupBy("doc_id", "lang").agg(F.min("th").alias("th")).withColumn("h", F.xxhash64("doc_id"))
-    ids = cut(ids.withColumn("range", F.shiftright("h", 48)), "langid-ids")
+    ids = cut(ids.withColumn("range", F.shiftright("h", 52)), "langid-ids")
     # The first ranges of hashes that hold enough ids of a language, by counts; then the first ids of those few rows.
     counts = ids.groupBy("lang", "range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
