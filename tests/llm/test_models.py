@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,45 +65,49 @@ def lm_tokens(text):
 
 
 class BruteModel:
-    def __init__(self, texts):
+    """The same model from dictionaries: ``top`` are raw counts of the longest n-grams, each shorter n-gram counts the
+    different words before it; those of a document's begin, which nothing precedes, keep their raw counts."""
+
+    def __init__(self, texts, order):
         docs = [lm_tokens(t) for t in texts]
+        self.order = order
         self.count = Counter(t for d in docs for t in d)
-        self.pairs = Counter(p for d in docs for p in zip(["<s>", *d], d))
-        self.total, self.after, self.before = Counter(), {}, Counter()
-        for (v, w), c in self.pairs.items():
-            self.total[v] += c
-            self.after.setdefault(v, []).append(c)
-            self.before[w] += 1
-        self.high, self.low = (ngram_lm.discounts(*[list(c.values()).count(i) for i in (1, 2, 3, 4)])
-                               for c in (self.pairs, self.before))
-
-    @staticmethod
-    def cut(c, d):
-        return d[min(c, 3) - 1] if c else 0.0
-
-    def p(self, v, w):
-        n = len(self.pairs)
-        low = 1 / (len(self.count) + 1)
-        if n:
-            spare = sum(self.cut(c, self.low) for c in self.before.values()) / n
-            low = (self.before[w] - self.cut(self.before[w], self.low)) / n + spare * low
-        if not self.total[v]:
+        self.grams = {n: Counter() for n in range(1, order + 1)}
+        for d in docs:
+            for i, w in enumerate(d):
+                self.grams[min(order, i + 2)][(*self.context(d, i), w)] += 1
+        for n in range(order, 1, -1):
+            for g in list(self.grams[n]):
+                self.grams[n - 1][g[1:]] += 1
+        self.after, self.cuts = {}, {}
+        for n, c in self.grams.items():
+            for g, x in c.items():
+                self.after.setdefault(g[:-1], []).append(x)
+            self.cuts[n] = ngram_lm.discounts(*[list(c.values()).count(i) for i in (1, 2, 3, 4)])
+
+    def context(self, d, i):
+        return tuple(["<s>", *d][max(0, i + 2 - self.order):i + 1])
+
+    def p(self, context, w):
+        low = self.p(context[1:], w) if context else 1 / (len(self.count) + 1)
+        after = self.after.get(context)
+        if not after:
             return low
-        spare = sum(self.cut(c, self.high) for c in self.after[v])
-        c = self.pairs[v, w]
-        return (c - self.cut(c, self.high) + spare * low) / self.total[v]
+        cut = lambda c: self.cuts[len(context) + 1][min(c, 3) - 1] if c else 0.0
+        c = self.grams[len(context) + 1][(*context, w)]
+        return (c - cut(c) + sum(map(cut, after)) * low) / sum(after)
 
     def score(self, text):
         d = lm_tokens(text)
         n, v = sum(self.count.values()), len(self.count)
         return (len(d), sum(t in self.count for t in d), n,
                 sum(math.log10((self.count[t] + 0.5) / (n + 0.5 * (v + 1))) for t in d),
-                sum(math.log10(self.p(a, b)) for a, b in zip(["<s>", *d], d)))
+                sum(math.log10(self.p(self.context(d, i), w)) for i, w in enumerate(d)))
 
 
-def lm_check(spark, rows, docs, learn, learns, shards):
-    got = ngram_lm.score_documents(docs, ngram_lm.train(docs, learn, shards), learn).collect()
-    model = BruteModel([r[1] for r in rows if learns(r)])
+def lm_check(spark, rows, docs, learn, learns, shards, order):
+    got = ngram_lm.score_documents(docs, ngram_lm.train(docs, learn, shards, order), learn).collect()
+    model = BruteModel([r[1] for r in rows if learns(r)], order)
     expected = sorted([(r[0], not learns(r), *model.score(r[1])) for r in rows], key=lambda r: key(r[:4]))
     got = sorted([tuple(r)[:7] for r in got], key=lambda r: key(r[:4]))
     assert [r[:5] for r in got] == [r[:5] for r in expected]
@@ -112,24 +117,37 @@ def lm_check(spark, rows, docs, learn, learns, shards):
     return model
 
 
-@pytest.mark.parametrize("shards", [1, 5])
-def test_language_model(spark, shards):
+@pytest.mark.parametrize("shards,order", [(1, 2), (5, 2), (1, 3), (5, 3), (40, 3)])
+def test_language_model(spark, monkeypatch, shards, order):
+    """Some chunks, so that counts meet in the shards; few shards make every word frequent, many none but a few."""
+    monkeypatch.setattr(ngram_lm, "CHUNK_TOKENS", 200)
     rng = random.Random(shards)
     vocabulary = [f"W{i}" for i in range(30)]
     rows = [(i, " ".join(rng.choice(vocabulary[:rng.randrange(1, 31)]) for _ in range(rng.randrange(0, 25))))
             for i in range(80)]
-    rows += [(80, "w1 " * 700), (81, None), (82, "never seen w1")]
+    rows += [(80, "w1 " * 700), (81, None), (82, "never seen w1"), (84, "w2 w1 w9 " * 300), (85, "w1 unseen w2 w1 w9")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    model = lm_check(spark, rows, docs, F.col("doc_id") % 4 != 2, lambda r: r[0] % 4 != 2, shards)
-    for v in ("<s>", "w1", "w9"):
-        assert sum(model.p(v, w) for w in [*model.count, "unknown"]) == pytest.approx(1)
+    model = lm_check(spark, rows, docs, F.col("doc_id") % 4 != 2, lambda r: r[0] % 4 != 2, shards, order)
+    for context in ("<s>",), ("w1",), ("w9",), ("w1", "w1"), ("<s>", "w2"), ("w9", "w1"):
+        if len(context) < order:
+            assert sum(model.p(context, w) for w in [*model.count, "unknown"]) == pytest.approx(1)
+
+
+def test_language_model_packing():
+    rng = random.Random(9)
+    keys = np.sort(np.array([rng.getrandbits(64) for _ in range(500)], np.uint64))
+    few = np.array([rng.randrange(300) for _ in range(500)], np.uint64)
+    for a, b in ((keys, few), (keys[:0], few[:1])):
+        steps, numbers = ngram_lm._unpacked(ngram_lm._packed(ngram_lm._steps(a), b))
+        assert np.cumsum(steps, dtype=np.uint64).tolist() == a.tolist() and numbers.tolist() == b.tolist()
 
 
-def test_language_model_edges(spark):
-    lm_check(spark, ROWS, edge_docs(spark), F.lit(True), lambda r: True, 3)
-    lm_check(spark, ROWS, edge_docs(spark), F.lit(False), lambda r: False, 3)
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_edges(spark, order):
+    lm_check(spark, ROWS, edge_docs(spark), F.lit(True), lambda r: True, 3, order)
+    lm_check(spark, ROWS, edge_docs(spark), F.lit(False), lambda r: False, None, order)
     empty = empty_docs(spark)
-    model = ngram_lm.train(empty, F.lit(True), 2)
+    model = ngram_lm.train(empty, F.lit(True), 2, order)
     assert ngram_lm.score_documents(empty, model, F.lit(True)).collect() == []
 
 
