@@ -34,6 +34,8 @@ from runscope.llm.shards import map_arrays, write_arrays
 
 #: Tokens that are counted together in a task before they are sent on.
 CHUNK_TOKENS = 1_500_000
+#: Tokens that are scored together: fewer, as a trigram's look-ups hold more arrays at once than its counting.
+SCORE_TOKENS = 600_000
 #: Bytes of text that are hashed at once.
 HASH_BYTES = 2 << 20
 #: Bytes of learned text for each shard: what one task merges.
@@ -102,8 +104,11 @@ def hashed_tokens(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], np.ndarray, np.ndarray]]:
-    """(row values, token hashes, tokens of each row) of about CHUNK_TOKENS tokens at a time; rows stay whole."""
+def _chunks(batches: Iterator[pa.RecordBatch],
+            most: int | None = None) -> Iterator[tuple[list[dict], np.ndarray, np.ndarray]]:
+    """(row values, token hashes, tokens of each row) of about CHUNK_TOKENS (or ``most``) tokens at a time; rows stay
+    whole."""
+    most = most or CHUNK_TOKENS
     rows, hashes, counts, total = [], [], [], 0
     for batch in batches:
         names = [n for n in batch.schema.names if n != "text"]
@@ -121,7 +126,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], np.
             rows += list(zip(*(c[at:to] for c in columns)))
             total += len(h)
             at = to
-            if total >= CHUNK_TOKENS:
+            if total >= most:
                 yield rows, np.concatenate(hashes), np.concatenate(counts)
                 rows, hashes, counts, total = [], [], [], 0
     if hashes:  # not ``rows``: training reads no column besides the text
@@ -773,7 +778,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens",
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, hashes, n in _chunks(batches):
+        for rows, hashes, n in _chunks(batches, SCORE_TOKENS):
             log, count = _log_probabilities(model, hashes, n)
             base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))
             at = np.concatenate([[0], np.cumsum(n)[:-1]])
