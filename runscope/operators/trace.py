@@ -531,10 +531,13 @@ def _paired(lv: DataFrame) -> DataFrame:
     return cut(spans, "trace-pairs")
 
 
-def _sunk(lv: DataFrame) -> DataFrame:
-    """Runs with an end where nothing is open (depth below 0), or a run_start below the top level."""
-    below = (F.col("level_after") < 0) | ((F.col("type") == "run_start") & (F.col("level") > 0))
-    return cut(lv.filter(below).select("run_id").distinct(), "trace-sunk")
+def _sunk(events: DataFrame) -> DataFrame:
+    """Runs with an end where nothing is open (depth below 0), or a run_start below the top level. Told from the types
+    and places of the events alone, before anything is made of their payloads."""
+    depth = running_sums(events.select("run_id", "seq", "type"), ["run_id"], F.col("seq"), ["seq"], {"depth": _delta()},
+                         chunk_width=SEQ_CHUNK)
+    below = (F.col("depth") < 0) | ((F.col("type") == "run_start") & (F.col("depth") > 1))
+    return cut(depth.filter(below).select("run_id").distinct(), "trace-sunk")
 
 
 def _crossed(paired: DataFrame) -> DataFrame:
@@ -619,16 +622,22 @@ def _native(lv: DataFrame, spans: DataFrame) -> DataFrame:
 def trace_spans_hybrid(events: DataFrame) -> DataFrame:
     """TR-1 rows for every run. Runs are told apart before any span is built: well-nested ones take the Catalyst-only
     path (no step holds a whole run); runs where the stack is disturbed (unmatched ends, closes from the middle, tool-id
-    mismatches), and events without a run_id, go to the exact replay. Each run takes one path only."""
+    mismatches), and events without a run_id, go to the exact replay. Each run takes one path only, and a path that no
+    run takes is left out."""
     ev = events.select("run_id", "seq", "type", "agent", "timestamp", "data")
-    lv = _levelled(ev.where("run_id IS NOT NULL"))
-    sunk = _sunk(lv)
-    lv = lv.join(sunk, "run_id", "left_anti")
+    named = ev.where("run_id IS NOT NULL")
+    sunk = _sunk(named)
+    if named.select("run_id").join(sunk, "run_id", "left_anti").isEmpty():
+        return trace_spans(ev).select(*SPAN_COLS)
+    lv = _levelled(named.join(sunk, "run_id", "left_anti"))
     paired = _paired(lv)
     crossed = _crossed(paired)
     good = _native(lv.join(crossed, "run_id", "left_anti"), paired.join(crossed, "run_id", "left_anti"))
     bad = sunk.union(crossed)
-    rest = ev.join(bad, "run_id", "left_semi").unionByName(ev.where("run_id IS NULL"))
+    nameless = ev.where("run_id IS NULL")
+    if bad.isEmpty() and nameless.isEmpty():
+        return good
+    rest = ev.join(bad, "run_id", "left_semi").unionByName(nameless)
     return good.unionByName(trace_spans(rest).select(*SPAN_COLS))
 
 

@@ -120,6 +120,23 @@ def test_hybrid_equals_replay_on_telemetry_binding(spark):
     assert len(a) > 50 and a == b
 
 
+@pytest.mark.parametrize("good,bad,nameless", [(2, 0, False), (0, 2, False), (2, 0, True), (0, 0, True), (1, 1, True),
+                                               (0, 0, False)])
+def test_hybrid_leaves_out_the_path_no_run_takes(spark, good, bad, nameless):
+    rng = random.Random(3)
+    rows = []
+    for i in range(good):
+        rows += random_well_nested(rng, f"ok{i}", 20, seq0=i * 10_000)
+    for i in range(bad):
+        rows += [ev(100_000 + i, "tool_end", run=f"bad{i}"), ev(110_000 + i, "run_start", run=f"bad{i}")]
+    if nameless:
+        rows += [ev(200_000, "run_start", run=None), ev(200_001, "run_end", run=None, success=True)]
+    df = frame(spark, rows)
+    a = sorted((tuple(r) for r in TR.trace_spans(df).select(*COLS).collect()), key=repr)
+    b = sorted((tuple(r) for r in TR.trace_spans_hybrid(df).select(*COLS).collect()), key=repr)
+    assert a == b and bool(a) == bool(rows)
+
+
 def disturbed(rng, run, n):
     kinds = ["run_start", "invocation_start", "model_call_start", "tool_start", "sub_agent_start", "metrics", "run_end",
              "invocation_end", "model_call_end", "tool_end", "sub_agent_end", "token", "tool_end", "model_call_end"]
