@@ -6,8 +6,8 @@
 * The run fold is the batch fold's aggregate run as a streaming ``update`` aggregation. Each micro-batch's changed
   runs are a folder of their own; every few batches they are folded into a snapshot, so readers open the newest
   snapshot and a bounded number of batches, however long the stream has run.
-* Live spans keep one state entry for each open span of a run (``transformWithStateInPandas``), however long a run
-  pauses; a span gets a row when it is left running by the batch that opened it, and one when it closes.
+* Live spans keep the open spans of a run as its state (``applyInPandasWithState``), however long a run pauses; a
+  span gets a row when it is left running by the batch that opened it, and one when it closes.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runscope.operators import runs as R
 from runscope.operators.trace import SPAN_SCHEMA, SPAN_SCHEMA_NAMES, SpanReplay, span_row
@@ -39,7 +40,10 @@ def _trigger(writer, available_now: bool, interval: str):
 def ingest(spark: SparkSession, source: str, event_log: str, dead_letters: str, checkpoint: str,
            available_now: bool = True, interval: str = "10 seconds", max_files: int | None = None,
            glob: str | None = None) -> list[StreamingQuery]:
-    """ST-1 / IO-10 / IO-11: JSON-lines files -> event log (Parquet, by batch and event date) + dead-letter lines.
+    """ST-1 / IO-10 / IO-11: JSON-lines files -> event log (Parquet, a folder a batch) + dead-letter lines.
+
+    The files of the log are sorted by event date, and hold it as a column: the number of files follows the size of the
+    events, not the number of days they name, and a filter on the date skips files and row groups by their bounds.
 
     One query: each batch's lines are read and parsed once, kept while both outputs are written, and published under
     the batch's number. A batch that is run again leaves published outputs as they are and writes those that miss.
@@ -58,7 +62,7 @@ def ingest(spark: SparkSession, source: str, event_log: str, dead_letters: str,
                     .withColumn("event_date", F.to_date(F.col("timestamp").try_cast("timestamp"))))
             bad = parsed.filter(~F.col("valid")).select(F.col("raw").alias("line"))
             events.publish(f"batch_id={batch_id}",
-                           lambda path: good.write.partitionBy("event_date").parquet(path))
+                           lambda path: good.sortWithinPartitions("event_date").write.parquet(path))
             letters.publish(f"batch_id={batch_id}", lambda path: bad.write.parquet(path))
         finally:
             parsed.unpersist()
@@ -73,7 +77,7 @@ def read_dead_letters(spark: SparkSession, dead_letters: str) -> DataFrame:
 
 
 def read_event_log(spark: SparkSession, event_log: str) -> DataFrame:
-    """The appended event log (batch read; filters on event_date prune partitions)."""
+    """The appended event log (batch read; filters on event_date skip files and row groups)."""
     return spark.read.schema(EVENT_LOG_SCHEMA + ", event_date date").parquet(event_log)
 
 
@@ -193,56 +197,51 @@ def in_order(batches: Iterator[pd.DataFrame], sort_events: int = SORT_EVENTS) ->
     return heapq.merge(*chunks, held, key=lambda x: x[0])
 
 
-class LiveSpans(StatefulProcessor):
-    """State of a run: the next span number, and an entry for each open span."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next_id = handle.getValueState("next_id", "next_id long")
-        self.open = handle.getMapState("open", "id long", "span string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = self.next_id.get()[0] if self.next_id.exists() else 0
-        kept = {k[0]: v[0] for k, v in self.open.iterator()} if first else {}
-        replay = SpanReplay(first, [json.loads(kept[i]) for i in sorted(kept)])
-        for seq, etype, ts, agent, raw in in_order(rows):
-            replay.feed(etype, int(seq), ts, agent, raw)
-            if len(replay.done) >= SPAN_ROWS:
-                yield self._rows(key, replay.done)
-                replay.done = []
-        # Only entries that changed are written: spans that opened, gained text or closed.
-        now = {i: json.dumps(span | {"tree": None}) for i, span in replay.open.spans.items()}
-        for i in kept.keys() - now.keys():
-            self.open.removeKey((i,))
-        for i, span in now.items():
-            if kept.get(i) != span:
-                self.open.updateValue((i,), (span,))
-        self.next_id.update((replay.next_id,))
-        # Spans that closed, and those that opened in this batch and are running: one row of either kind for a span.
-        rest = replay.done + [x for x in replay.open.spans.values() if x["id"] >= first]
-        for at in range(0, len(rest), SPAN_ROWS):
-            yield self._rows(key, rest[at:at + SPAN_ROWS])
-
-    @staticmethod
-    def _rows(key, spans: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame([span_row(key[0], x, None) for x in spans], columns=SPAN_SCHEMA_NAMES)
-
-    def close(self) -> None:
-        pass
+#: State of a run: the next span number and its open spans (a JSON list, by number).
+LIVE_STATE = "next_id long, open string"
+
+
+def live_rows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The span rows of the events of a run in one batch, and its new state."""
+    first, kept = state.get if state.exists else (0, "[]")
+    replay = SpanReplay(first, json.loads(kept))
+    for seq, etype, ts, agent, raw in in_order(batches):
+        replay.feed(etype, int(seq), ts, agent, raw)
+        if len(replay.done) >= SPAN_ROWS:
+            yield _span_frame(key, replay.done)
+            replay.done = []
+    # Spans that closed, and those that opened in this batch and are running: one row of either kind for a span.
+    rest = replay.done + [x for x in replay.open.spans.values() if x["id"] >= first]
+    state.update((replay.next_id, json.dumps([x | {"tree": None} for x in replay.open.spans.values()])))
+    for at in range(0, len(rest), SPAN_ROWS):
+        yield _span_frame(key, rest[at:at + SPAN_ROWS])
+
+
+#: Types that hold nulls beside exact numbers: the frames of several runs are joined into one.
+_FRAME_TYPES = {"int": "Int32", "long": "Int64", "double": "float64", "string": "object"}
+
+
+def _span_frame(key: tuple, spans: list[dict]) -> pd.DataFrame:
+    rows = [span_row(key[0], x, None) for x in spans]
+    return pd.DataFrame({name: pd.Series([r[name] for r in rows], dtype=_FRAME_TYPES[kind])
+                         for name, kind in (c.split() for c in SPAN_SCHEMA.split(", "))})
 
 
 def live_spans(events: DataFrame) -> DataFrame:
     """ST-3: a streaming frame of span rows: one when a span is seen running at the end of the batch that opened it,
     one when it closes (pre-order is not known live).
 
-    No event is ever dropped as late, and a run may pause for any time: its state (the next span number, one entry for
-    each open span) stays in the state store. The events of a run may stand in any order within a batch, and must
-    arrive in the order of seq, batch by batch. Needs the RocksDB state store, which this sets for the session.
+    No event is ever dropped as late, and a run may pause for any time: its state (the next span number, the open
+    spans) stays in the state store. The state travels with the events of its run, many runs to an Arrow batch, so a
+    run costs no call to the store of its own. The events of a run may stand in any order within a batch, and must
+    arrive in the order of seq, batch by batch. Sets the RocksDB state store for the session.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
                                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     ev = events.select("run_id", "seq", "type", "agent", "timestamp", "data")
-    return ev.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=LiveSpans(), outputStructType=SPAN_SCHEMA, outputMode="Append", timeMode="None")
+    return ev.groupBy("run_id").applyInPandasWithState(
+        live_rows, outputStructType=SPAN_SCHEMA, stateStructType=LIVE_STATE, outputMode="append",
+        timeoutConf=GroupStateTimeout.NoTimeout)
 
 
 def write_live_spans(events: DataFrame, out: str, checkpoint: str, available_now: bool = True,

@@ -191,3 +191,30 @@ def test_live_spans_of_shuffled_batches(spark, tmpdir_path):
         S.ingest(spark, src, log, dead, ck)[0].awaitTermination()
         S.write_live_spans(S.event_stream(spark, log), out, os.path.join(ck, "spans")).awaitTermination()
     assert sorted((tuple(r) for r in S.read_live_spans(spark, out).select(*LIVE_COLS).collect()), key=str) == expected
+
+
+def test_event_log_files_do_not_follow_days(spark, tmpdir_path):
+    """Events of 300 days: a few files, still sorted and filtered by date."""
+    src, log, dead, ck = (os.path.join(tmpdir_path, x) for x in ("src", "log", "dead", "ck"))
+    rows = [(i, f"r{i % 7}", "run_start", "a", str(pd.Timestamp("2023-01-01") + pd.Timedelta(days=i)), "{}")
+            for i in range(300)]
+    _write_lines(src, "a.jsonl", rows)
+    S.ingest(spark, src, log, dead, ck)[0].awaitTermination()
+    files = [f for _, _, names in os.walk(log) for f in names if f.endswith(".parquet")]
+    assert len(files) <= 8
+    logged = S.read_event_log(spark, log)
+    assert logged.count() == 300
+    assert [r["seq"] for r in logged.where("event_date = '2023-02-01'").collect()] == [31]
+
+
+def test_live_spans_keep_large_numbers(spark, tmpdir_path):
+    """Sequence numbers above 2^53 are exact, beside spans that are still running."""
+    src, log, dead, ck, out = (os.path.join(tmpdir_path, x) for x in ("src", "log", "dead", "ck", "out"))
+    big = (1 << 60) + 1
+    rows = [(big, "r", "run_start", "a", None, "{}"), (big + 2, "r", "model_call_start", "a", None, "{}"),
+            (big + 4, "r", "model_call_end", "a", None, "{}")]
+    _write_lines(src, "a.jsonl", rows)
+    S.ingest(spark, src, log, dead, ck)[0].awaitTermination()
+    S.write_live_spans(S.event_stream(spark, log), out, os.path.join(ck, "spans")).awaitTermination()
+    got = S.read_live_spans(spark, out).select("span_type", "start_seq", "end_seq").collect()
+    assert sorted(tuple(r) for r in got) == [("llm", big + 2, big + 4), ("run", big, None)]
