@@ -121,3 +121,28 @@ def test_written_text_files(spark, tmpdir_path):
         assert os.listdir(os.path.join(tmpdir_path, f"d{d}")) == ["run.log"]
         with open(os.path.join(tmpdir_path, f"d{d}", "run.log")) as f:
             assert f.read() == "".join(f"line {i}\n" for i in range(d, 1000, 3))
+
+
+def test_files_are_listed_by_tasks(spark, tmpdir_path):
+    """No file of many is listed on the driver: the names stand in a table; hidden ones and empty texts are passed over."""
+    from runscope.sources import files as S
+
+    for i in range(40):
+        os.makedirs(os.path.join(tmpdir_path, f"m/d{i % 5} x/p{i}"))
+        with open(os.path.join(tmpdir_path, f"m/d{i % 5} x/p{i}/t_{i}.sql"), "w") as f:
+            f.write(f"SELECT {i}\n" if i else "")
+    for name in ("_hidden.sql", ".dot.sql", "other.txt"):
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write("x")
+    with open(os.path.join(tmpdir_path, "r 1.manifest.json"), "w") as f:
+        f.write('[{"command": "a"}, {"run_id": "q", "exit_code": 2}]')
+    with open(os.path.join(tmpdir_path, "r 1.log"), "w") as f:
+        f.write("a\nb")
+    models = S.read_model_files(spark, tmpdir_path)
+    got = {os.path.basename(r["path"]): r["sql"] for r in models.collect()}
+    assert got == {f"t_{i}.sql": f"SELECT {i}\n" for i in range(1, 40)}
+    logs, manifests = S.read_log_files(spark, tmpdir_path), S.read_manifests(spark, tmpdir_path)
+    assert sorted(tuple(r) for r in logs.collect()) == [("r%201", 0, "a"), ("r%201", 1, "b")]
+    assert sorted(tuple(r)[:3] for r in manifests.collect()) == [("q", None, 2), ("r%201", "a", None)]
+    for df in (models, logs, manifests):
+        assert not any(tmpdir_path in f for f in df.inputFiles())
