@@ -105,6 +105,21 @@ def fct_bet(std_bets: DataFrame, dim_users: DataFrame) -> DataFrame:
             ))
 
 
+# Bets for each task of the mart: most have a (group, user) of their own, so a task's hash tables grow with its bets.
+TASK_BETS = 200_000
+
+
+def deal_bets(bets: DataFrame, n: int) -> DataFrame:
+    """About ``n`` bets by user, dealt out to as many tasks as that number asks for.
+
+    A shuffle that AQE sizes by the cores gives a task the more bets the more there are; it is kept where a core has
+    no more than a task's bets. The join to the users and the mart's count of distinct users need bets by user too, so
+    neither shuffles them again.
+    """
+    tasks = -(-n // TASK_BETS)
+    return bets if tasks <= bets.sparkSession.sparkContext.defaultParallelism else bets.repartition(tasks, "user_id")
+
+
 MART_KEYS = ["bet_date", "sport", "bet_type", "currency_code", "country_code"]
 
 
@@ -114,6 +129,7 @@ def mart_bet_daily(fct: DataFrame) -> DataFrame:
     Money and odds are summed as DECIMAL(28,8) and returned as DOUBLE, so the result does not depend on the
     order in which partial sums meet after the shuffle. Partial aggregation runs map-side; the exact distinct
     user count is planned as a two-phase (group, user) aggregate, so a hot group is pre-reduced before it moves.
+    Both phases hold a row for each (group, user) of a task: give it bets that ``deal_bets`` dealt out.
     """
     return (fct.groupBy(F.to_date("placed_at").alias("bet_date"), "sport", "bet_type", "currency_code",
                         "country_code")
@@ -130,10 +146,15 @@ def mart_bet_daily(fct: DataFrame) -> DataFrame:
                  F.count_distinct("user_id").alias("unique_bettors")))
 
 
-def build_layers(users: DataFrame, bets: DataFrame, transactions: DataFrame) -> dict[str, DataFrame]:
-    """All models in dependency order: raw -> std_* -> dim_user -> fct_bet -> mart_bet_daily."""
+def conformed_layers(users: DataFrame, bets: DataFrame, transactions: DataFrame) -> dict[str, DataFrame]:
+    """The models below the mart in dependency order: raw -> std_* -> dim_user -> fct_bet."""
     su, sb, st = std_user(users), std_bet(bets), std_transaction(transactions)
     du = dim_user(su)
-    fb = fct_bet(sb, du)
-    return {"std_user": su, "std_bet": sb, "std_transaction": st, "dim_user": du, "fct_bet": fb,
-            "mart_bet_daily": mart_bet_daily(fb)}
+    return {"std_user": su, "std_bet": sb, "std_transaction": st, "dim_user": du, "fct_bet": fct_bet(sb, du)}
+
+
+def build_layers(users: DataFrame, bets: DataFrame, transactions: DataFrame) -> dict[str, DataFrame]:
+    """All models in dependency order: raw -> std_* -> dim_user -> fct_bet -> mart_bet_daily. Counts the bets."""
+    m = conformed_layers(users, bets, transactions)
+    dealt = fct_bet(deal_bets(m["std_bet"], bets.count()), m["dim_user"])
+    return m | {"mart_bet_daily": mart_bet_daily(dealt)}

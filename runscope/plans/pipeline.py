@@ -91,5 +91,6 @@ def run_pipeline(spark: SparkSession, users: DataFrame, bets: DataFrame, transac
     m["std_transaction"] = _materialise(spark, "std_transaction", W.std_transaction(transactions), base_path, prefix)
     m["dim_user"] = _materialise(spark, "dim_user", W.dim_user(m["std_user"]), base_path, prefix)
     m["fct_bet"] = _materialise(spark, "fct_bet", W.fct_bet(m["std_bet"], m["dim_user"]), base_path, prefix)
-    m["mart_bet_daily"] = _materialise(spark, "mart_bet_daily", W.mart_bet_daily(m["fct_bet"]), base_path, prefix)
+    dealt = W.deal_bets(m["fct_bet"], m["fct_bet"].count())
+    m["mart_bet_daily"] = _materialise(spark, "mart_bet_daily", W.mart_bet_daily(dealt), base_path, prefix)
     return PipelineResult(m, Q.check_results(m, checks, select))

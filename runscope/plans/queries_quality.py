@@ -48,7 +48,7 @@ def _results_sql(select: str | None = None) -> str:
 
 @register("dq_results", _results_sql(), "DQ-1 DQ-2 DQ-3 DQ-5")
 def q_dq_results(spark, sf_dir):
-    return Q.check_results(layers(spark, sf_dir))
+    return Q.check_results(layers(spark, sf_dir, mart=True))
 
 
 @register("dq_results_dim_user", _results_sql("dim_user"), "DQ-4")
@@ -59,7 +59,7 @@ def q_dq_results_dim_user(spark, sf_dir):
 @register("dq_failures", O.with_ctes(O.WAREHOUSE_CTES, "\nUNION ALL\n".join(_sql_failures(c) for c in Q.DECLARED_CHECKS)),
           "DQ-1 DQ-2 DQ-3")
 def q_dq_failures(spark, sf_dir):
-    return Q.check_failures(layers(spark, sf_dir))
+    return Q.check_failures(layers(spark, sf_dir, mart=True))
 
 
 @register("dq_lineitem_unique", """

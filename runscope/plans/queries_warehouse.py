@@ -15,8 +15,10 @@ from runscope.sources import bindings as B
 from runscope.sources.tables import Sources, load_raw
 
 
-def layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return W.build_layers(B.raw_users(spark, sf_dir), B.raw_bets(spark, sf_dir), B.raw_transactions(spark, sf_dir))
+def layers(spark: SparkSession, sf_dir: str, mart: bool = False) -> dict[str, DataFrame]:
+    """The models; the mart, for which the bets are counted, only where it is asked for."""
+    build = W.build_layers if mart else W.conformed_layers
+    return build(B.raw_users(spark, sf_dir), B.raw_bets(spark, sf_dir), B.raw_transactions(spark, sf_dir))
 
 
 def _layer_sql(name: str) -> str:
@@ -50,7 +52,7 @@ def q_fct_bet(spark, sf_dir):
 
 @register("mart_bet_daily", _layer_sql("mart_bet_daily"), "IO-5 AG-1 AG-2 AG-3 AG-4 AG-5 AG-6")
 def q_mart_bet_daily(spark, sf_dir):
-    return layers(spark, sf_dir)["mart_bet_daily"]
+    return layers(spark, sf_dir, mart=True)["mart_bet_daily"]
 
 
 # ---- the raw layer as written files: loaded with its declared schema, looked up by name ---------------------------

@@ -1,6 +1,9 @@
 """Warehouse layers, data tests and invariants on the seed fixture (hand-derived expected values)."""
 
 import os
+import re
+from collections import defaultdict
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -50,6 +53,43 @@ def test_mart_totals(spark):
     assert len(open_row) == 4 and all(r.total_ggr is None and r.settled_bets == 0 for r in open_row)
 
 
+def test_mart_tasks_follow_the_bets(spark, monkeypatch, capsys):
+    """More bets, more tasks, whatever the shuffle setting; null keys and users, and rows that come twice, count as ever."""
+    monkeypatch.setattr(W, "TASK_BETS", 1, raising=False)
+    rows = []
+    for i in range(300):
+        i = i if i % 7 else 0  # every 7th is the same row
+        lost, won = i % 4 == 1, i % 4 == 2
+        wager, settled = 1 + i % 8 / 4, None if i % 4 == 0 else 0.0 if lost else 2.5
+        rows.append((None if i % 11 == 5 else datetime(2024, 1, 1) + timedelta(hours=i), ["football", None, "tennis"][i % 3],
+                     "single", "GBP", None if i % 5 == 0 else f"C{i % 2}", None if i % 6 == 1 else i % 13,
+                     "open" if settled is None else "settled", "lost" if lost else "won" if won else None, wager,
+                     settled, wager if lost else wager - 2.5 if won else None, None if i % 9 == 0 else 1 + i % 16 / 8))
+    fct = spark.createDataFrame(rows, "placed_at timestamp_ntz, sport string, bet_type string, currency_code string, "
+                                      "country_code string, user_id long, status string, outcome string, "
+                                      "wager_amount double, settled_amount double, gross_gaming_revenue double, odds double")
+    groups = defaultdict(list)
+    for r in rows:
+        groups[(r[0] and r[0].date(), *r[1:5])].append(r[5:])
+
+    def total(bets, at):
+        return sum(values) if (values := [b[at] for b in bets if b[at] is not None]) else None
+
+    def metrics(bets):
+        odds = [b[6] for b in bets if b[6] is not None]
+        return (len(bets), sum(b[1] == "settled" for b in bets), sum(b[1] == "open" for b in bets),
+                sum(b[2] == "won" for b in bets), sum(b[2] == "lost" for b in bets), total(bets, 3), total(bets, 4),
+                total(bets, 5), sum(odds) / len(odds) if odds else None, len({b[0] for b in bets} - {None}))
+
+    W.build_layers(*seed_frames(spark))["mart_bet_daily"].explain()  # 15 bets
+    dealt = re.findall(r"hashpartitioning\(user_id#\w+, (\d+)\), (\w+)", capsys.readouterr().out)
+    assert dealt == [("15", "REPARTITION_BY_NUM"), ("15", "ENSURE_REQUIREMENTS")]
+    bets = W.deal_bets(fct, len(rows))
+    assert bets.rdd.getNumPartitions() == len(rows)
+    mart = W.mart_bet_daily(bets)
+    assert sorted(map(tuple, mart.collect()), key=str) == sorted((k + metrics(v) for k, v in groups.items()), key=str)
+
+
 def test_data_tests_on_seed(spark):
     res = Q.check_results(_layers(spark)).collect()
     assert len(res) == 26
