@@ -110,6 +110,15 @@ def small(df: DataFrame, row_bytes: int, items: str | None = None, item_bytes: i
     return F.broadcast(df) if rows * row_bytes + elements * item_bytes <= BROADCAST_BYTES else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Hint joins of this frame to shuffle both sides and broadcast neither.
+
+    For joins with a frame made by an explode: Spark sizes it by the table below, without the rows that the explode adds,
+    so it may broadcast (and collect on the driver) many times what its threshold allows.
+    """
+    return df.hint("merge")
+
+
 def doc_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, text, th) of a document table: the columns by which rows are told apart.
 

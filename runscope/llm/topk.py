@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runscope.llm.common import cut, map_batches
+from runscope.llm.common import cut, map_batches, shuffled
 
 #: Rows of a query tile and of a candidate tile; lists merged into one in a step.
 QUERY_TILE, SHARD_TILE, FAN_IN = 2048, 4096, 16
@@ -150,7 +150,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256, query
                           F.col("matrix").alias("q_matrix"),
                           F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     dealt = shards.withColumn("group", F.pmod(F.xxhash64("part", "ids"), F.lit(groups)).cast("int"))
-    met = dealt.join(sent, ["group", "dim"])
+    met = dealt.join(shuffled(sent), ["group", "dim"])
     lists = map_batches(met.select("part", "dim", "kind", "ids", "matrix", "q_kind", "q_ids", "q_matrix"), _best(k),
                         "query_id long, part int, vec_id long, score long")
 
