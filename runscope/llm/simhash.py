@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runscope.llm.common import connected_components, cut, doc_rows, map_batches, texts, without
+from runscope.llm.common import connected_components, cut, doc_rows, map_batches, shuffled, texts, without
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
 #: Rows of one table entry that are compared pair by pair; larger entries take the ball index.
@@ -83,7 +83,7 @@ def links(nodes: DataFrame, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """
     keys = nodes.select("fp", F.explode(F.expr(_KEYS)).alias("k")).select("fp", "k.key", "k.entry")
     used = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("entry").alias("has")).where("n > 1 AND has")
-    met = cut(keys.join(used.select("key", "n"), "key"), "simhash-met")
+    met = cut(keys.join(shuffled(used.select("key", "n")), "key"), "simhash-met")
 
     cold, hot = met.where(F.col("n") <= hot_entries), met.where(F.col("n") > hot_entries)
     entry = cold.where("entry").select("key", F.col("fp").alias("a"))
@@ -109,7 +109,7 @@ def _hot_links(hot: DataFrame) -> DataFrame:
     points = hot.select("key", "fp", "entry", F.explode(F.expr(
         f"IF(entry, concat({near}, {two}), {near})")).alias("p")).select("key", "fp", "entry", "p.x", "p.d")
     centres = points.where("entry AND d <= 1").groupBy("key", "x").agg(F.min("fp").alias("c"))
-    found = points.join(centres, ["key", "x"]).where("fp <> c")
+    found = points.join(shuffled(centres), ["key", "x"]).where("fp <> c")
     found = found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("c"))) <= MAX_BITS)
     return found.select(F.col("fp").alias("a"), F.col("c").alias("b")).distinct()
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from runscope.llm import topk
+from runscope.llm import simhash, topk
 
 
 @pytest.fixture()
@@ -51,3 +51,13 @@ def test_top_k_sends_no_copies_of_queries_to_the_driver(spark, plans):
         (0, 1), (0, 2), (10, 39), (10, 38), (20, 39), (20, 38), (30, 39), (30, 38)]
     joins = [p for p in found if "Join" in p]
     assert joins and not any(map(exploded_broadcasts, joins))
+
+
+@pytest.mark.parametrize("hot", [0, 64])
+def test_simhash_sends_no_table_entries_to_the_driver(spark, plans, hot):
+    found = plans(simhash)
+    nodes = spark.createDataFrame([(i,) for i in (0, 1, 3, 1 << 40, (1 << 40) + 5, -1)], "fp long")
+    links = simhash.links(nodes, hot)
+    found.append(links._jdf.queryExecution().executedPlan().toString())
+    assert len(found) == 2 and all("Join" in p for p in found)
+    assert not any(map(exploded_broadcasts, found))
