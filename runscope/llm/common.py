@@ -101,13 +101,13 @@ BROADCAST_BYTES = 16 << 20
 
 
 def small(df: DataFrame, row_bytes: int, items: str | None = None, item_bytes: int = 8) -> DataFrame:
-    """Hint a broadcast of a frame if its size, counted now, is within BROADCAST_BYTES; else leave the join to shuffle.
+    """Hint a broadcast of a frame if its size, counted now, is within BROADCAST_BYTES; else a join that shuffles.
 
     ``items`` names an array column, whose elements count ``item_bytes`` each. The frame should be a written table.
     """
     inside = F.sum(F.size(items)) if items else F.lit(0)
     rows, elements = df.agg(F.count("*"), F.coalesce(inside, F.lit(0))).first()
-    return F.broadcast(df) if rows * row_bytes + elements * item_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if rows * row_bytes + elements * item_bytes <= BROADCAST_BYTES else shuffled(df)
 
 
 def shuffled(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runscope.llm.common import ascii_lower, cut, doc_rows, same_doc, small, without
+from runscope.llm.common import ascii_lower, cut, doc_rows, same_doc, shuffled, small, without
 
 #: Words of a window, words of a hashed k-gram, k-grams of which the smallest hash is kept.
 WINDOW, K = 10, 5
@@ -95,7 +95,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                   64)
     lined_up = diagonals.join(words, "item").withColumn("pos", F.col("d") + F.col("q"))
     in_docs = near.select("no", F.posexplode("w").alias("pos", "word"))
-    equal = lined_up.join(in_docs, ["no", "pos", "word"]).groupBy("no", "item", "d", "l").agg(
+    equal = lined_up.join(shuffled(in_docs), ["no", "pos", "word"]).groupBy("no", "item", "d", "l").agg(
         F.array_sort(F.collect_list("q")).alias("at"))
     starts = equal.where(F.size("at") >= F.col("l")).select("no", "item", "l", F.explode(F.expr(
         "transform(filter(sequence(0, size(at) - l), i -> at[i + l - 1] = at[i] + l - 1), i -> d + at[i])")).alias("s"))
@@ -105,7 +105,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.expr("aggregate(spans, struct(0 AS e, 0L AS n), (a, x) -> struct(greatest(a.e, x.e) AS e, "
                    "a.n + greatest(0, x.e - greatest(a.e, x.s)) AS n)).n")
     hits = cut(spans.select("no", n_hit.alias("n_hit"), "hit_items"), "decontam-spans")
-    ids = hits.select("no", F.explode("hit_items").alias("item")).join(items.select("item", "item_id"), "item")
+    names = small(items.select("item", "item_id"), 64)
+    ids = hits.select("no", F.explode("hit_items").alias("item")).join(names, "item")
     ids = ids.groupBy("no").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     hits = found.join(hits.select("no", "n_hit"), "no").join(ids, "no").select("doc_id", "th", "n_hit", "ids")
     hits = cut(hits, "decontam-hits")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runscope.llm.common import columns_of, cut, doc_rows, keyed, map_batches, same_doc, small, texts
+from runscope.llm.common import columns_of, cut, doc_rows, keyed, map_batches, same_doc, shuffled, small, texts
 
 #: Edits within which two lines count as one. A line of n characters has about (2n)**k variants for k edits.
 MAX_EDITS = 1
@@ -267,7 +267,7 @@ def _near_classes(docs: DataFrame, classes: DataFrame, max_edits: int) -> DataFr
     # is two values of an aggregate, not a group.
     keys = classes.select(F.xxhash64("digest").alias("id"), F.explode("segments").alias("segment"))
     shared = keys.groupBy("segment").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    met = keys.join(shared, "segment", "left_semi").select("id").distinct()
+    met = keys.join(shuffled(shared), "segment", "left_semi").select("id").distinct()
     able = classes.where(F.size("segments") > 0).withColumn("id", F.xxhash64("digest")).join(met, "id", "left_semi")
     able = cut(able.select("digest", "first"), "lines-able")
     # Numbers in the order of the first places: a distributed sort, then ids that ascend with the partitions.

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from runscope.llm import simhash, topk
+from runscope.llm import common, decontam, line_dedup, simhash, topk
+from tests.llm.edge import edge_docs
 
 
 @pytest.fixture()
@@ -61,3 +62,21 @@ def test_simhash_sends_no_table_entries_to_the_driver(spark, plans, hot):
     found.append(links._jdf.queryExecution().executedPlan().toString())
     assert len(found) == 2 and all("Join" in p for p in found)
     assert not any(map(exploded_broadcasts, found))
+
+
+@pytest.mark.parametrize("limit", [common.BROADCAST_BYTES, -1])
+def test_decontamination_sends_no_words_of_documents_to_the_driver(spark, plans, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    found, items = plans(decontam), spark.createDataFrame([(2, "lazy dog"), (5, "all to see")], "item_id int, text string")
+    got = decontam.drop_contaminated(edge_docs(spark), items).collect()
+    assert {1, 2, 10, 11}.isdisjoint(r["doc_id"] for r in got)
+    lines = [x for p in found if "Join" in p for x in exploded_broadcasts(p)]
+    # The words of items may be, by their count; a document's list of item ids is one row for each document again.
+    assert not [x for x in lines if "explode(hit_items" not in x and (limit < 0 or "posexplode(iw" not in x)]
+
+
+def test_line_dedup_sends_no_segments_to_the_driver(spark, plans):
+    found = plans(line_dedup)
+    line_dedup.dedup_lines(edge_docs(spark)).collect()
+    joins = [x for p in found for x in p.splitlines() if "Join" in x and "segment" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
